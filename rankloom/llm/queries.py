@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import packing, token_files
+from . import bpe_automaton, minhash, packing, pivot_index, token_files
 
 
 def queries() -> dict:
     return {
+        "op2_bpe_automaton": bpe_automaton.op2_bpe_automaton,
         "op5_packing": packing.op5_packing,
+        "op7_pivot_index": pivot_index.op7_pivot_index,
+        "op8_minhash_dedup": minhash.op8_minhash_dedup,
         "op9_token_files": token_files.op9_token_files,
     }
 
