@@ -50,3 +50,16 @@ def open_store(uri: str):
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(uri)
+
+
+def filtered(docs: DataFrame, keep) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, for which ``keep(list of texts)`` says True."""
+    import pyarrow as pa
+
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(keep(b.column(at).to_pylist()), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
