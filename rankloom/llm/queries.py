@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe_automaton, language_mix, minhash, packing, pivot_index, token_files, toxicity
+from . import bpe_automaton, language_mix, minhash, packing, pii, pivot_index, token_files, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_toxicity_chain": toxicity.op1_toxicity_chain,
         "op2_bpe_automaton": bpe_automaton.op2_bpe_automaton,
+        "op3_pii_surrogates": pii.op3_pii_surrogates,
         "op4_language_mix": language_mix.op4_language_mix,
         "op5_packing": packing.op5_packing,
         "op7_pivot_index": pivot_index.op7_pivot_index,
