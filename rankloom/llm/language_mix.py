@@ -132,6 +132,20 @@ def predict(docs: DataFrame, model: Mixture) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, languages map<string,double>")
 
 
+def keep_identified(docs: DataFrame, model: Mixture, least: float = 0.5) -> DataFrame:
+    """The rows, with all columns, that have a language with at least the share ``least``; a null lang gets it."""
+    shared, at, lang = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text"), docs.columns.index("lang")
+
+    def run(batches):
+        mixture = shared.value
+        for b in batches:
+            found = [mixture.proportions(t) for t in b.column(at).to_pylist()]
+            named = pa.array([n or next(iter(x), None) for n, x in zip(b.column(lang).to_pylist(), found)], b.schema.field(lang).type)
+            yield b.set_column(lang, b.schema.field(lang), named).filter(pa.array([next(iter(x.values()), 0.0) >= least for x in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 

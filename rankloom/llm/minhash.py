@@ -199,5 +199,16 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """The rows, with all columns, of one document of each component; of rows that share a doc_id, one."""
+    gone = near_duplicates(docs, percent).where("not kept").select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    repeated = common.staged(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "repeated")
+    if not repeated.limit(1).count():
+        return left
+    once = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    return left.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(once)
+
+
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.documents(spark, sf_dir), percent=85)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_automaton, language_mix, minhash, packing, pii, pivot_index, token_files, toxicity
+from . import bpe_automaton, language_mix, masked_lm, minhash, packing, pii, pivot_index, spot_signatures, token_files, toxicity
 
 
 def queries() -> dict:
@@ -12,9 +12,11 @@ def queries() -> dict:
         "op3_pii_surrogates": pii.op3_pii_surrogates,
         "op4_language_mix": language_mix.op4_language_mix,
         "op5_packing": packing.op5_packing,
+        "op6_masked_lm": masked_lm.op6_masked_lm,
         "op7_pivot_index": pivot_index.op7_pivot_index,
         "op8_minhash_dedup": minhash.op8_minhash_dedup,
         "op9_token_files": token_files.op9_token_files,
+        "op10_spot_signatures": spot_signatures.op10_spot_signatures,
     }
 
 

@@ -198,6 +198,12 @@ def predict(docs: DataFrame, model: Chain) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, p_junk double, p_toxic double, toxic boolean")
 
 
+def keep_clean(docs: DataFrame, model: Chain) -> DataFrame:
+    """The rows, with all columns, that aren't toxic."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return common.filtered(docs, lambda texts: [not shared.value.toxic(t, shared.value.probabilities(t)) for t in texts])
+
+
 def op1_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
     return predict(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
