@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,3 +28,14 @@ def connected_components(links: DataFrame) -> DataFrame:
         if not labels.where("moved").limit(1).count():
             return labels.drop("moved")
         labels = labels.drop("moved")
+
+
+def least_linked(link: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The least id in each row's component, by spreading least ids over a symmetric matrix of links."""
+    least = ids
+    while True:
+        near = np.where(link, least[None, :], np.iinfo(np.int64).max).min(axis=1)
+        new = np.minimum(least, near)
+        if (new == least).all():
+            return least
+        least = new

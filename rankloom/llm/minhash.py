@@ -6,9 +6,10 @@ by chance; pairs whose estimate lies clearly under the threshold go, and the res
 At a similarity of 0.85, all 24 bands of 5 differ with a probability of 1e-6; the estimate has a standard deviation of
 0.04 there and goes only when 0.2 under.
 
-Documents with equal sets form a class, which one document stands for. In a bucket, each class is compared with the
-bucket's least; links that are found make components, and only in buckets that still hold several components are the
-others compared, between components. No bucket has a cap.
+Documents with equal sets form a class, which one document stands for. Classes that share a bucket and have a near enough
+estimate make clusters, found from the least class of each bucket, then between what is still apart. Within a cluster, all
+whole sets are compared, in blocks of bounded size, two blocks a task, which leaves a spanning star of the links and never a
+row for each pair. No bucket and no cluster has a cap.
 
 Cases: null, empty and blank text has no shingle and links with nothing; a null doc_id can't be named and links with
 nothing (component_id null, kept true); rows that share a doc_id are one document; an empty table gives an empty result;
@@ -31,6 +32,7 @@ from . import common, graph
 WORDS, BANDS, ROWS, BITS = 5, 24, 5, 2
 HASHES = BANDS * ROWS
 MARGIN = 0.2
+BLOCK = 256
 WORD_CACHE = 1_000_000
 _U64 = np.uint64
 _RNG = np.random.default_rng(20_240_229)
@@ -132,67 +134,86 @@ def bit_similarity(a: str, b: str):
     return (agree - chance) / (1 - chance)
 
 
-def _likely(a: str, b: str, percent: int):
-    """Sizes allow the threshold and the estimate isn't clearly under it."""
-    small, large = F.least(f"n_{a}", f"n_{b}"), F.greatest(f"n_{a}", f"n_{b}")
-    return (small * 100 >= large * percent) & (bit_similarity(f"bits_{a}", f"bits_{b}") >= percent / 100 - MARGIN)
-
-
-def confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of documents whose whole shingle sets meet the threshold."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+def compare_blocks(table: pa.Table, percent: int) -> pa.Table:
+    """Links among the sets of two blocks of a cluster, on whole sets: for each linked node, the least it reaches."""
+    low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+    ids, block = np.array(table.column("node")), np.array(table.column("block"))
+    sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("shingles")]
+    sizes = np.array([len(x) for x in sets])
+    flat, rows = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
+    some = count[column] > 1  # what only one set has is in no intersection
+    rows, column = rows[some], np.unique(column[some], return_inverse=True)[1]
+    both = np.zeros((len(sets), len(sets)))
+    for start in range(0, int(column.max(initial=-1)) + 1, 8192):
+        own = (column >= start) & (column < start + 8192)
+        hot = np.zeros((len(sets), 8192), np.float32)
+        hot[rows[own], column[own] - start] = 1
+        both += hot @ hot.T
+    link = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
+    if low == high:
+        np.fill_diagonal(link, False)
+    else:
+        link &= block[:, None] != block[None, :]
+    some = link.any(axis=1)
+    least = graph.least_linked(link[some][:, some], ids[some]) if some.any() else ids[:0]
+    return pa.table({"a": pa.array(ids[some], pa.int64()), "b": pa.array(least, pa.int64())})
+
+
+def links_within(docs: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links (a, b) among the documents of each cluster (node, component), as spanning stars of block pairs."""
 
     def sets(batches):
         for b in batches:
             own = [shingle_set(t.as_py() or b"").tobytes() for t in b.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.binary())], names=["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.binary())], names=["node", "shingles"])
 
-    def compare(batches):
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    nodes = clusters.select(F.col("node").alias("doc_id")).hint("merge")  # grows with the input: not for a broadcast
+    own = docs.select("doc_id", "text").join(nodes, "doc_id", "left_semi").mapInArrow(sets, "node long, shingles binary")
+    sizes = clusters.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = clusters.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    entries = own.join(placed, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    entries = entries.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+    entries = entries.select("component", "low", "high", "block", "node", "shingles")
+    return entries.groupBy("component", "low", "high").applyInArrow(lambda t: compare_blocks(t, percent), "a long, b long")
 
-    own = common.staged(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, shingles binary"), "sets")
-    side = lambda k: own.select(F.col("doc_id").alias(k), F.col("shingles").alias(f"shingles_{k}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "shingles_a", "shingles_b").mapInArrow(compare, "a long, b long")
 
+def candidate_clusters(nodes: DataFrame, least: float) -> DataFrame:
+    """(node, component): nodes that a chain of shared buckets with an estimate of at least ``least`` connects.
 
-def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: documents are linked if 100 * intersection >= percent * union."""
-    signed = common.staged(signatures(docs), "minhash")
-    named = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = named.groupBy("set_key").agg(F.min("doc_id").alias("node"))
-    nodes = common.staged(
-        named.join(classes, (named.set_key == classes.set_key) & (named.doc_id == classes.node)).select("node", "n_shingles", "bands", "bits"), "nodes"
-    )
+    Each node meets the least node of each of its buckets; where that leaves a bucket in several components, those that
+    aren't with it meet the nodes of the other components."""
     banded = nodes.select("node", F.explode("bands").alias("bucket"))
     hubs = banded.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").drop("top")
     members = common.staged(banded.join(hubs, "bucket"), "members")
-    side = lambda k: nodes.select(F.col("node").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}"))
+    bits = lambda k: nodes.select(F.col("node").alias(k), F.col("bits").alias(f"bits_{k}"))
+    near = bit_similarity("bits_a", "bits_b") >= least
 
     star = members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    star = common.staged(star.join(side("a"), "a").join(side("b"), "b").where(_likely("a", "b", percent)).select("a", "b"), "pairs")
-    first = common.staged(confirmed(docs, star, percent), "confirmed")
-    found = graph.connected_components(first)
+    star = common.staged(star.join(bits("a"), "a").join(bits("b"), "b").where(near).select("a", "b"), "pairs")
+    found = graph.connected_components(star)
 
     labelled = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("bucket")
-    # a bucket's hub has met all others already
-    rest = labelled.join(mixed, "bucket").where("node <> hub").select("bucket", "node", "component")
-    left = rest.select("bucket", F.col("node").alias("a"), F.col("component").alias("of_a")).join(side("a"), "a")
-    right = rest.select("bucket", F.col("node").alias("b"), F.col("component").alias("of_b")).join(side("b"), "b")
-    across = left.join(right, "bucket").where((F.col("a") < F.col("b")) & (F.col("of_a") != F.col("of_b")) & _likely("a", "b", percent))
+    of_hub = labelled.where("node = hub").select("bucket", F.col("component").alias("hub_component"))
+    labelled = common.staged(labelled.where("node <> hub").join(of_hub, "bucket").withColumn("apart", F.col("component") != F.col("hub_component")), "members")
+    mixed = labelled.where("apart").select("bucket").distinct()
+    left = labelled.where("apart").select("bucket", F.col("node").alias("a"), F.col("component").alias("of_a"))
+    right = labelled.join(mixed, "bucket", "left_semi").select("bucket", F.col("node").alias("b"), F.col("component").alias("of_b"))
+    across = left.join(bits("a"), "a").join(right.join(bits("b"), "b"), "bucket").where((F.col("of_a") != F.col("of_b")) & near)
     across = common.staged(across.select("a", "b").distinct(), "pairs")
-    links = first
-    if across.limit(1).count():
-        second = common.staged(confirmed(docs, across, percent), "confirmed")
-        links = first.unionByName(second)
-        found = graph.connected_components(links)
+    return graph.connected_components(star.unionByName(across)) if across.limit(1).count() else found
+
 
+def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: documents are linked if 100 * intersection >= percent * union."""
+    signed = common.staged(signatures(docs), "minhash")
+    named = signed.where("n_shingles > 0 and doc_id is not null")
+    classes = named.groupBy("set_key").agg(F.min("doc_id").alias("node"))
+    nodes = common.staged(
+        named.join(classes, (named.set_key == classes.set_key) & (named.doc_id == classes.node)).select("node", "bands", "bits"), "nodes"
+    )
+    clusters = candidate_clusters(nodes, percent / 100 - MARGIN)
+    found = graph.connected_components(common.staged(links_within(docs, clusters, percent), "links"))
     by_class = classes.join(found, "node", "left").select("set_key", F.coalesce("component", "node").alias("of_class"))
     out = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(by_class, "set_key", "left")
     component = F.coalesce("of_class", "doc_id")
