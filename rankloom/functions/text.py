@@ -10,6 +10,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import tables as t
 
@@ -123,7 +124,7 @@ def clean_institute(c: Column) -> Column:
     return F.when(blank_to_null(c).isNotNull(), let(text, of))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def ascii_fold(s: pd.Series) -> pd.Series:
     """Compatibility-decomposed and without what isn't ASCII. Spark has no function for it; meant for distinct values."""
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode())
