@@ -27,7 +27,7 @@ def decode_group_id(c: Column) -> Column:
     plain = F.translate(c, "-_", "+/")
     padded = F.rpad(plain, (F.ceil(F.length(plain) / 4) * 4).cast("int"), F.lit("="))
     valid = plain.rlike("^[A-Za-z0-9+/]+$") & (F.length(plain) % 4 != 1)
-    raw = F.when(valid, F.decode(F.try_to_binary(padded, F.lit("base64")), "UTF-8"))
+    raw = F.when(valid, F.try_validate_utf8(F.try_to_binary(padded, F.lit("base64")).cast("string")))
     key = F.from_json(raw, ", ".join(f"`{k}` string" for k in GROUP_FIELDS))
     return F.when(key["i"].isNotNull(), key)
 
