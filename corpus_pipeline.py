@@ -15,7 +15,7 @@ def clean_speech(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with letters and a predominant language."""
-    return language_mix.keep_identified(docs, language_mix.fit(docs))
+    return language_mix.keep_identified(docs, language_mix.fit(docs), least=0.4)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, graph, minhash
 
 #: Common words of the languages at hand.
 ANCHORS = frozenset(
@@ -116,6 +116,47 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_spots long, fingerprint string")
 
 
+def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """doc_id, component_id, kept: documents are linked if their fingerprints' Jaccard similarity is at least ``percent``.
+
+    Sets are partitioned by length so that similar ones lie in the same partition or in neighbours. In a partition, sets
+    meet in the lists of the rarest signatures of each, as many as similar sets can't all miss; lists are compared in blocks,
+    two a task, on whole sets, and leave spanning stars of links. Empty fingerprints and rows without doc_id link with nothing."""
+
+    def spots(batches):
+        for b in batches:
+            own = [signatures(t or "") for t in b.column(1).to_pylist()]
+            keys = [hashlib.sha256(x.tobytes()).hexdigest()[:32] for x in own]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(keys, pa.string()), pa.array([x.astype(np.int64) for x in own], pa.list_(pa.int64())), pa.array([x.astype(np.uint64).tobytes() for x in own], pa.binary())],
+                names=["doc_id", "set_key", "spots", "shingles"],
+            )
+
+    found = common.staged(docs.select("doc_id", "text").mapInArrow(spots, "doc_id long, set_key string, spots array<long>, shingles binary"), "spots")
+    named = found.where("size(spots) > 0 and doc_id is not null")
+    classes = named.groupBy("set_key").agg(F.min("doc_id").alias("node"))
+    nodes = common.staged(named.join(classes, (named.set_key == classes.set_key) & (named.doc_id == classes.node)).select("node", "spots", "shingles").dropDuplicates(["node"]), "nodes")
+    each = nodes.select("node", F.explode("spots").alias("spot"), F.size("spots").alias("n"))
+    rarity = each.groupBy("spot").agg(F.count("*").alias("df")).where("df > 1")
+    least = F.ceil(F.col("n") * percent / 100).cast("int")
+    common_spots = each.join(rarity, "spot").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "spot"))).alias("shared"))
+    # of the n - least + 1 rarest signatures, those that no other set has come first and lead to no list
+    prefix = F.greatest(F.lit(0), F.col("n") - least + 1 - (F.col("n") - F.size("shared")))
+    part = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")
+    listed = common_spots.withColumn("part", F.explode(F.sequence(part, part + 1))).select("node", "part", F.explode(F.slice("shared", F.lit(1), prefix.cast("int"))).alias("s"))
+    lists = listed.select("node", "part", F.col("s.spot").alias("spot"))
+    sizes = lists.groupBy("part", "spot").agg(F.count("*").alias("size")).where("size > 1")
+    entries = lists.join(sizes, ["part", "spot"]).withColumn("blocks", F.ceil(F.col("size") / minhash.BLOCK).cast("int"))
+    entries = entries.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    entries = entries.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).join(nodes.select("node", "shingles"), "node")
+    links = entries.groupBy("part", "spot", "low", "high").applyInArrow(lambda t: minhash.compare_blocks(t, percent), "a long, b long")
+    linked = graph.connected_components(common.staged(links, "links"))
+    by_class = classes.join(linked, "node", "left").select("set_key", F.coalesce("component", "node").alias("of_class"))
+    out = found.select("doc_id", F.when((F.size("spots") > 0) & F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(by_class, "set_key", "left")
+    component = F.coalesce("of_class", "doc_id")
+    return out.select("doc_id", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
 COMPARED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 

@@ -175,3 +175,14 @@ def test_edited_texts_with_repeated_and_missing_ids(docs, odd):
     assert spot_signatures.compare_with_edited(docs([])).count() == 0
     (alone,) = spot_signatures.compare_with_edited(docs([(1, "just one text here")])).collect()
     assert alone.near_next == 1.0
+
+
+def test_spot_duplicates_are_those_of_brute_force(docs, odd, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 3)
+    rows = corpus(4) + [(1000 + r[0], r[1]) for r in odd if r[0] is not None and r[0] != 9]
+    sets = {k: set(spot_signatures.signatures(t or "").tolist()) for k, t in rows}
+    want = components(list(sets), lambda a, b: bool(sets[a]) and bool(sets[b]) and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]))
+    got = spot_signatures.near_duplicates(docs(rows + [(None, rows[0][1])], clash=True)).collect()
+    assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == want
+    assert len({v for v in want.values()}) < len(want)
+    assert spot_signatures.near_duplicates(docs([])).count() == 0
