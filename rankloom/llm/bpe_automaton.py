@@ -38,13 +38,6 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def byte_symbols() -> list[str]:
-    """The printable character that stands for each byte in a byte-level vocabulary."""
-    keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(keep)]
-    return [chr(b) if b in set(keep) else chr(256 + rest.index(b)) for b in range(256)]
-
-
 class Automaton:
     """States and arcs for a list of merges; labels are token strings, numbered by the vocabulary."""
 
@@ -136,9 +129,13 @@ class WordBpe:
         self.suffix = model["end_of_word_suffix"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.labels = {i: x for x, i in [*self.vocab.items(), *self.special.items()]}  # arc labels, by id
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.plain = regex.compile("[\\x00-\u052f\u2010-\u2027]*")
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.split = regex.compile(SPLIT)
-        self.symbols = byte_symbols()
+        self.symbols = byte_bpe.byte_symbols()
         self.words: dict[str, list[int]] = {}
         self.chunks: dict[str, tuple[int, str, str]] = {}
 
@@ -157,11 +154,17 @@ class WordBpe:
             if k % 2:
                 out.append(self.special[part])
                 continue
-            part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-            for word in self.split.findall(part):
+            for word in self.words_of(part):
                 out.extend(self.word_ids(word))
         return out
 
+    def words_of(self, part: str) -> list[str]:
+        """Normalised words. Scripts whose letters depend on the version of Unicode are split by the library itself."""
+        if self.plain.fullmatch(part):
+            return self.split.findall(unicodedata.normalize("NFC", part).replace("Σ", "σ").lower())
+        part = self.library.normalizer.normalize_str(part)
+        return [part[low:high] for _, (low, high) in self.library.pre_tokenizer.pre_tokenize_str(part)]
+
     def decode(self, ids: list[int]) -> str:
         return " ".join([self.labels[i] for i in ids])
 

@@ -17,7 +17,8 @@ CACHE_ENTRIES = 1_200_000
 
 _SPACE_AFTER_SPACE = re.compile(r"\s ")
 _CUT = re.compile(r"(?<!\s) ")
-_PARTS = re.compile(r"^( ?[^\W\d_]+)([^\w\s'<>|]+)$")
+#: Letters that every version of Unicode agrees on, then signs: two pieces.
+_PARTS = re.compile(r"^( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:;=?@\[-`{}~]*)$")
 
 
 def default_path() -> str:
@@ -26,6 +27,13 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def byte_symbols() -> list[str]:
+    """The printable character that stands for each byte in a byte-level vocabulary."""
+    keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(keep)]
+    return [chr(b) if b in set(keep) else chr(256 + rest.index(b)) for b in range(256)]
+
+
 class ByteBpe:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -35,38 +43,47 @@ class ByteBpe:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.cache: dict[str, bytes] = {}
+        self.symbols = byte_symbols()
+        self.first: dict[str, bytes] = {}  # ids of a text's first chunk
+        self.later: dict[str, bytes] = {}  # ids of a chunk after a space, by the chunk without it
+        self.pieces: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, without special tokens added. Empty text: no ids."""
-        if len(self.cache) > CACHE_ENTRIES:
-            self.cache.clear()
-        cache, chunked = self.cache, []
+        if len(self.later) + len(self.pieces) > CACHE_ENTRIES:
+            for kept in (self.first, self.later, self.pieces):
+                kept.clear()
+        first, later, heads, tails = self.first, self.later, [], []
         for text in texts:
-            chunks = text.split(" ") if not _SPACE_AFTER_SPACE.search(text) else _CUT.split(text)
-            chunks[1:] = [" " + c for c in chunks[1:]]
-            chunked.append(chunks)
-        missing = {c for chunks in chunked for c in chunks if c not in cache}
-        self._learn(missing)
-        return [np.frombuffer(b"".join([cache[c] for c in chunks]), self.dtype) for chunks in chunked]
-
-    def _learn(self, missing: set[str]) -> None:
-        """A chunk that is letters and then punctuation is the two pieces one after the other."""
-        cache, split, whole = self.cache, {}, set()
+            head, *tail = _CUT.split(text) if _SPACE_AFTER_SPACE.search(text) else text.split(" ")
+            heads.append(head)
+            tails.append(tail)
+        self._learn({c for c in heads if c not in first}, "", first)
+        self._learn({c for tail in tails for c in tail if c not in later}, " ", later)
+        return [np.frombuffer(b"".join([first[head], *[later[c] for c in tail]]), self.dtype) for head, tail in zip(heads, tails)]
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of one piece of the splitting pattern, from the library's model."""
+        ids = self.pieces.get(piece)
+        if ids is None:
+            plain = "".join([self.symbols[b] for b in piece.encode()])
+            ids = self.pieces[piece] = np.array([t.id for t in self.tokenizer.model.tokenize(plain)], self.dtype).tobytes()
+        return ids
+
+    def _learn(self, missing: set[str], before: str, known: dict[str, bytes]) -> None:
+        """A chunk that is letters and then signs is one or two pieces; any other goes through the whole tokenizer."""
+        whole, piece = [], self._piece
         for chunk in missing:
-            parts = _PARTS.match(chunk)
+            parts = _PARTS.match(before + chunk)
             if parts:
-                split[chunk] = parts.groups()
-                whole.update(p for p in parts.groups() if p not in cache)
+                letters, signs = parts.groups()
+                known[chunk] = piece(letters) + piece(signs) if signs else piece(letters)
             else:
-                whole.add(chunk)
-        names = list(whole)
-        for low in range(0, len(names), 20_000):
-            part = names[low : low + 20_000]
-            for name, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                cache[name] = np.array(e.ids, self.dtype).tobytes()
-        for chunk, (a, b) in split.items():
-            cache[chunk] = cache[a] + cache[b]
+                whole.append(chunk)
+        for low in range(0, len(whole), 20_000):
+            part = whole[low : low + 20_000]
+            for chunk, e in zip(part, self.tokenizer.encode_batch_fast([before + c for c in part], add_special_tokens=False)):
+                known[chunk] = np.array(e.ids, self.dtype).tobytes()
 
 
 _LOADED: dict[str, ByteBpe] = {}
