@@ -49,7 +49,7 @@ def format_inr(c: Column) -> Column:
 
 
 def format_lakh(c: Column) -> Column:
-    """In units of 100,000, with one decimal."""
+    """In units of 100,000, with one decimal; halves round up."""
     return F.format_string("₹%.1fL", c.cast("double") / 100000)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import fixtures
 from .functions import format as fm
@@ -17,7 +18,8 @@ from .operators import similarity as sm
 from .plans import dims, grid
 from .plans.grid import RankFilters
 from .sources import io
-from .streaming.ingest import ingest_once
+from .sources.workspace import fresh_dir
+from .streaming.ingest import ingest_once, progress_of
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -198,7 +200,7 @@ def _(c):
     return c.inst.select("institute_code", t.is_missing(F.col("bond_years")).alias("no_years"), t.is_missing(F.col("bond_forfeit")).alias("no_bond"), fl.is_unmatched(F.col("match_status") == "EXACT").alias("unmatched"))
 
 
-@query("n25_p7_p8_money", f"SELECT institute_code, {REAL.format(c='annual_fee')} AS fee, {REAL.format(c='bond_forfeit')} AS bond, printf('₹%.1fL', {REAL.format(c='bond_forfeit')} / 100000) AS lakh FROM inst")
+@query("n25_p7_p8_money", f"SELECT institute_code, {REAL.format(c='annual_fee')} AS fee, {REAL.format(c='bond_forfeit')} AS bond, printf('₹%.1fL', floor({REAL.format(c='bond_forfeit')} / 10000 + 0.5) / 10) AS lakh FROM inst")
 def _(c):
     bond = t.sqlite_real(F.col("bond_forfeit"))
     return c.inst.select("institute_code", t.sqlite_real(F.col("annual_fee")).alias("fee"), bond.alias("bond"), fm.format_lakh(bond).alias("lakh"))
@@ -492,6 +494,131 @@ def _(c):
     return ingest_once(c.spark, c.events)
 
 
+@query("d1_d6_logical_rows", "SELECT CAST(page_num AS INT) AS page_num, sno, institute FROM (SELECT page_num, base_no, max(CASE WHEN is_base THEN CAST(row_idx AS VARCHAR) END) AS sno, string_agg(CASE WHEN is_base THEN 'Inst ' ELSE 'more ' END || CAST(row_idx AS VARCHAR), ' ' ORDER BY row_idx) AS institute FROM (SELECT *, sum(CAST(is_base AS INT)) OVER (PARTITION BY page_num ORDER BY row_idx ROWS UNBOUNDED PRECEDING) AS base_no FROM turn_rows) WHERE base_no > 0 GROUP BY page_num, base_no)")
+def _(c):
+    text = F.concat(F.when(F.col("is_base"), F.lit("Inst  ")).otherwise(F.lit(" more ")), F.col("row_idx").cast("string"))
+    cells = F.array(F.when(F.col("is_base"), F.col("row_idx").cast("string")), F.lit(None), F.lit(None), text)
+    header = F.array(F.lit("SNo."), F.lit("Rank"))
+    raw = c.turn_rows.select(F.lit("f").alias("file"), F.col("page_num").cast("int").alias("page_num"), F.lit(0).alias("table_idx"), (F.col("row_idx") * 2).cast("int").alias("row_idx"), cells.alias("cells"))
+    headers = raw.withColumns({"row_idx": F.col("row_idx") + 1, "cells": header})
+    return rw.logical_rows(raw.unionByName(headers), "r1").select("page_num", "sno", "institute")
+
+
+@query("s1_page_range", "SELECT count(*) AS n, min(page_num) AS first_page, max(page_num) AS last_page FROM turn_rows WHERE page_num BETWEEN 2 AND 11")
+def _(c):
+    path = fresh_dir(c.spark, "raw")
+    c.turn_rows.select(F.lit("f").alias("file"), F.col("page_num").cast("int").alias("page_num"), F.lit(0).alias("table_idx"), F.col("row_idx").cast("int").alias("row_idx"), F.array("cell").alias("cells")).write.parquet(path)
+    rows = io.read_raw(c.spark, path, "r1", test_pages=10)
+    return rows.agg(F.count("*").alias("n"), F.min(F.col("page_num").cast("long")).alias("first_page"), F.max(F.col("page_num").cast("long")).alias("last_page"))
+
+
+@query("s4_csv_round_trip", "SELECT institute_code, institute_name, state, pincode FROM inst")
+def _(c):
+    path = fresh_dir(c.spark, "csv")
+    io.write_csv(c.inst.select("institute_code", "institute_name", "state", "pincode"), path)
+    return io.read_csv_table(c.spark, path, "institute_code bigint, institute_name string, state string, pincode string")
+
+
+@query("s14_json_round_trip", "SELECT institute_code, display_name FROM inst")
+def _(c):
+    path = fresh_dir(c.spark, "json")
+    io.write_json(c.inst.select("institute_code", "display_name"), path)
+    return c.spark.read.schema("institute_code bigint, display_name string").json(path)
+
+
+@query("s15_conform", "SELECT CAST(institute_code AS INT) AS institute_code, CAST(NULL AS DOUBLE) AS fee_yr1, state FROM inst")
+def _(c):
+    return io.conform(c.inst, T.StructType([T.StructField("institute_code", T.IntegerType()), T.StructField("fee_yr1", T.DoubleType()), T.StructField("state", T.StringType())]))
+
+
+@query("s12_resume_copy", "SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey % 3 <> 0")
+def _(c):
+    rows = c.supplier.select("s_suppkey", "s_name")
+    return jn.key_difference(rows, rows.where("s_suppkey % 3 = 0"), ["s_suppkey"])
+
+
+@query("f18_degree_filter", "SELECT rank, l_linenumber, l_partkey, l_suppkey FROM allot WHERE course_norm LIKE 'S%'")
+def _(c):
+    degrees = c.courses.select("course_norm", F.when(F.col("course_norm").startswith("S"), "MD").otherwise("MS").alias("degree"))
+    return fl.degree_filter(c.allot, degrees, ["MD"]).select(*ROW)
+
+
+@query("f22_u3_distinct_cities", "SELECT DISTINCT institute_city FROM allot WHERE institute_city IS NOT NULL AND institute_city <> ''")
+def _(c):
+    return c.allot.select("institute_city").where(fl.facet_guard(F.col("institute_city"))).distinct()
+
+
+@query("f12_my_rank_at_least", "SELECT rank, l_linenumber, l_partkey, l_suppkey FROM allot WHERE " + MINE.format(test=">= 900", more=""))
+def _(c):
+    return fl.has_rank(c.allot, c.allot, 900, mode="at_least").select(*ROW)
+
+
+@query("a3_closing_of_groups", "SELECT institute_name, course_norm, year, max(rank) AS closing_rank, count(*) AS n FROM allot GROUP BY institute_name, course_norm, year")
+def _(c):
+    return c.allot.groupBy("institute_name", "course_norm", "year").agg(F.max("rank").alias("closing_rank"), F.count("*").alias("n"))
+
+
+@query("j17_dictionary_lookup", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE category_raw WHEN 'UR' THEN 'GEN' WHEN 'x' THEN 'other' ELSE 'UNKNOWN' END AS value FROM raw_alias")
+def _(c):
+    table = c.spark.createDataFrame([("UR", "GEN"), ("x", "other")], "key string, value string")
+    return jn.lookup(c.raw_alias, "category_raw", table, "UNKNOWN").select("l_orderkey", *TIE, "value")
+
+
+@query("n18_n21_addresses", "SELECT institute_code, 'Town ' || state AS city, 'Town ' || state AS address FROM inst")
+def _(c):
+    name, raw = F.col("institute_name"), F.concat("institute_name", F.lit(", Town "), "state", F.lit(", Karnataka, 560001"))
+    return c.inst.select("institute_code", t.city_from_address(name, raw).alias("city"), t.clean_address(name, raw).alias("address"))
+
+
+@query("n29_composite", "SELECT institute_code, score, CASE WHEN core >= 90 THEN 'EXACT' WHEN core >= 85 AND score >= 90 THEN 'FUZZY' ELSE 'UNKNOWN' END AS confidence FROM (SELECT institute_code, core, core + CASE WHEN bond_years IS NULL THEN 0 WHEN bond_years = '2' THEN 10 ELSE -20 END + CASE WHEN pincode = '100007' THEN 15 ELSE -10 END AS score FROM (SELECT *, CAST(80 + institute_code % 20 AS DOUBLE) AS core FROM inst))")
+def _(c):
+    core = (F.col("institute_code") % 20 + 80).cast("double")
+    score = sm.composite(core, F.col("bond_years"), F.lit("2"), F.col("pincode"), F.lit("100007"))
+    return c.inst.select("institute_code", score.alias("score"), sm.confidence(core, score).alias("confidence"))
+
+
+@query("n27_n28_ratios")
+def _(c):
+    names = c.part.select("p_name", F.reverse("p_name").alias("other")).distinct()
+    return names.select("p_name", sm.token_sort_ratio(F.col("p_name"), F.col("other")).alias("sorted"), sm.token_set_ratio(F.col("p_name"), F.col("other")).alias("shared"))
+
+
+@query("o4_effective_seat_r3", f"SELECT rank, l_linenumber, l_partkey, l_suppkey, CASE WHEN r2_institute = 'Inst' THEN r2_institute END AS institute_raw FROM r2_remarks")
+def _(c):
+    none = F.lit(None).cast("string")
+    df = c.r2_remarks.withColumn("seat_outcome", oc.outcome_r3(F.col("r1_status"), F.col("r2_remarks"), ~t.is_dash(F.col("r2_institute")), F.lit(False)))
+    df = df.withColumns({"institute": F.col("r2_institute"), **{x: none for x in ("quota", "course", "allotted_category", "candidate_category")}})
+    return oc.effective_seat_r3(df).select(*ROW, "institute_raw")
+
+
+@query("o6_fact_12", f"SELECT rank, seat_outcome, CASE WHEN seat_outcome = 'RETAINED' THEN 'Older' WHEN seat_outcome IN ('UPGRADED', 'FRESH') AND r2_institute = 'Inst' THEN 'Inst' END AS institute_name FROM (SELECT CAST(rank AS INT) AS rank, r2_institute, CASE WHEN {STATUS} = 'REPORTED' THEN CASE WHEN {REMARK} = 'UPGRADED' THEN 'UPGRADED' ELSE 'RETAINED' END WHEN {REMARK} LIKE '%FRESH ALLOT%' THEN 'FRESH' WHEN {REMARK} LIKE '%NOT ALLOTTED%' THEN 'NOT_ALLOTTED' WHEN {STATUS} IN ('NOT REPORTED', 'SEAT SURRENDERED') THEN 'LOST' ELSE 'UNKNOWN' END AS seat_outcome FROM r2_remarks)")
+def _(c):
+    cols = {"rank": F.col("rank").cast("string"), "r1_quota": F.lit("AI"), "r1_institute": F.lit("Older, Goa"), "r1_course": F.lit("MD"), "quota": F.lit("AI"), "institute": F.when(F.col("r2_institute") == "Inst", F.lit("Inst, Goa")).otherwise(F.col("r2_institute")), "course": F.lit("MS"), "allotted_category": F.lit("UR"), "candidate_category": F.lit("UR"), "option_no": F.lit("1"), "remarks": F.col("r2_remarks")}
+    return oc.fact_12(c.r2_remarks.withColumns(cols), 2025).select("rank", "seat_outcome", "institute_name")
+
+
+@query("o7_fact_16", "SELECT CAST(rank AS INT) AS rank, CASE WHEN r2_institute = 'Inst' THEN 'Inst' END AS institute_name, CASE WHEN r2_institute = 'Inst' THEN 'MS' END AS course_norm FROM r2_remarks")
+def _(c):
+    cols = {"rank": F.col("rank").cast("string"), "r2_institute": F.lit("-"), "institute": F.when(F.col("r2_institute") == "Inst", F.lit("Inst, Goa")).otherwise(F.col("r2_institute")), "quota": F.lit("AI"), "course": F.lit("M.S."), "allotted_category": F.lit("UR"), "candidate_category": F.lit("UR"), "option_no": F.lit("-"), "remarks": F.col("r2_remarks")}
+    return oc.fact_16(c.r2_remarks.withColumns(cols), 2025).select("rank", "institute_name", "course_norm")
+
+
+@query("o12_legacy_addresses", "SELECT institute_name, 'Area, ' || state AS address FROM (SELECT DISTINCT institute_name, state FROM allot)")
+def _(c):
+    raw = c.allot.withColumn("institute_raw", F.concat("institute_name", F.lit(", Area, "), "state", F.lit(", 560001.")))
+    return dims.legacy_addresses(raw).select("institute_name", "address")
+
+
+@query("t6_drill_order", "SELECT rank, l_linenumber, l_partkey, l_suppkey FROM allot WHERE year = 1996 ORDER BY rank, l_linenumber, l_partkey, l_suppkey LIMIT 200")
+def _(c):
+    return ag.paginate(ag.sort_rows(c.allot.where("year = 1996"), F.col("rank"), tie=TIE), 1, 200).select(*ROW)
+
+
+@query("x3_ingest_progress", "SELECT count(*) AS rows_read FROM events")
+def _(c):
+    return progress_of(c.spark, c.events)
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
