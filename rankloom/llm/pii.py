@@ -28,10 +28,11 @@ SECRET = r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\b[\"']?\s{0,2}
 PATTERNS = {
     "secret": SECRET,
     "email": r"(?<![\w.%+-])[\w.%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+)+",
-    "access_key": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b",
+    "access_key": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\bgh[opsu]_[A-Za-z0-9]{36,64}\b|\bsk-[A-Za-z0-9_-]{20,64}|\bAIza[\w-]{35}|\beyJ[\w-]{8,256}\.[\w-]{8,512}\.[\w-]{8,256}",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "card": r"(?<![\w.+-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\w-])",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)",
+    "ipv6": r"(?<![\w:])(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}(?![\w:])",
     "national_id": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "phone": r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w]|\.\d)|(?<![\w.])\+\d{9,14}(?!\w)",
     "name": r"(?<![\w])(?:(?:Mr|Mrs|Ms|Miss|Dr|Prof)\b\.?|Herr|Frau|Monsieur|Madame|Mme|Señora?|г-н|г-жа|господин|госпожа|κύριος|κυρία) \p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+){0,2}",
@@ -77,7 +78,7 @@ def _letter(alphabet: str, n: Column) -> Column:
 
 def _redrawn(value: Column, h: Column) -> Column:
     """Each letter and digit drawn anew from its own kind; all else stays. Lower hexadecimal stays hexadecimal."""
-    hexadecimal = value.rlike("^[0-9a-f]{8,}$")
+    hexadecimal = value.rlike("^[0-9a-f:]{8,}$")
     def draw(c, i):
         n = _number(h, i)
         lower = F.when(hexadecimal, _letter("abcdef", n)).otherwise(_letter("abcdefghijklmnopqrstuvwxyz", n))

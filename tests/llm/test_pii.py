@@ -25,6 +25,13 @@ def test_kinds_keep_their_format(docs):
     assert sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits)) % 10 == 0
 
 
+def test_more_keys_and_addresses(docs):
+    got = replaced(docs, "a ghp_0123456789abcdefghij0123456789ABCDEF b", "c sk-abcdefghij0123456789KLMN d", "e 2001:0db8:85a3:0000:0000:8a2e:0370:7334 f", "g eyJhbGciOi1.eyJzdWIiOi2.SflKxwRJSM3 h", "it was 12:30:45 and 3:2")
+    for text, shape in zip(got, [r"a ghp_\w{36} b", r"c sk-\w{24} d", r"e ([0-9a-f]{4}:){7}[0-9a-f]{4} f", r"g eyJh[\w-]+\.[\w-]+\.[\w-]+ h", "it was 12:30:45 and 3:2"]):
+        assert re.fullmatch(shape, text), text
+    assert "0123456789" not in got[0] + got[1] and "0db8:85a3" not in got[2] and "SflKxw" not in got[3]
+
+
 def test_mentions_agree_across_texts_and_formats(docs):
     got = replaced(docs, "a John.Doe@Mail8.Example.com b john.doe@mail8.example.com", "only john.doe@mail8.example.com", "+1 (988) 555-2485 or 988-555-2485", "Mr John Smith, Mrs Anna Smith, Mr SMITH", "г-жа Иванова")
     first, second = re.findall(r"\S+@\S+", got[0])
