@@ -191,7 +191,9 @@ _LOADED: dict[str, WordBpe] = {}
 def loaded(path: str) -> WordBpe:
     if path not in _LOADED:
         _LOADED[path] = WordBpe(path)
-    return _LOADED[path]
+    bpe = _LOADED[path]
+    common.sole_cache(f"words {path}", bpe.words, bpe.chunks, bpe.automaton.table)
+    return bpe
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:

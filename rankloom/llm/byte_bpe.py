@@ -12,6 +12,8 @@ import re
 
 import numpy as np
 
+from . import common
+
 #: Entries after which a worker drops its cache; bounds its memory (about 200 bytes an entry), not the work.
 CACHE_ENTRIES = 1_200_000
 
@@ -93,7 +95,9 @@ def loaded(path: str) -> ByteBpe:
     """One encoder for a worker process and vocabulary file."""
     if path not in _LOADED:
         _LOADED[path] = ByteBpe(path)
-    return _LOADED[path]
+    bpe = _LOADED[path]
+    common.sole_cache(f"bytes {path}", bpe.first, bpe.later, bpe.pieces)
+    return bpe
 
 
 def slices(texts: list, most_chars: int = 4_000_000, most_rows: int = 2_000):

@@ -38,6 +38,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_WORD_CACHES: dict[str, tuple[dict, ...]] = {}
+
+
+def sole_cache(owner: str, *caches: dict) -> None:
+    """Called by a task before it uses its operator's word caches: drops those of all other operators, which the worker
+    process may still hold from earlier stages. A worker runs one task at a time."""
+    _WORD_CACHES[owner] = caches
+    for other, kept in _WORD_CACHES.items():
+        if other != owner:
+            for cache in kept:
+                cache.clear()
+
+
 def local_path(uri: str) -> str | None:
     """The plain path of a folder on a mounted file system, or None for a store that needs a client."""
     if uri.startswith("file:"):

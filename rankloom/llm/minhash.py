@@ -33,7 +33,7 @@ WORDS, BANDS, ROWS, BITS = 5, 24, 5, 2
 HASHES = BANDS * ROWS
 MARGIN = 0.2
 BLOCK = 256
-WORD_CACHE = 1_000_000
+WORD_CACHE = 250_000
 _U64 = np.uint64
 _RNG = np.random.default_rng(20_240_229)
 _MULTIPLY = (_RNG.integers(0, 2**31, HASHES, np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
@@ -103,6 +103,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     """One row a document: the size of its set, a 120-bit key of the set, band keys and packed low bits."""
 
     def run(batches):
+        common.sole_cache("shingles", _words)
         for b in batches:
             sizes, keys, bands, bits = [], [], [], []
             for text in b.column(1).cast(pa.binary()):
@@ -164,6 +165,7 @@ def links_within(docs: DataFrame, clusters: DataFrame, percent: int) -> DataFram
     """Confirmed links (a, b) among the documents of each cluster (node, component), as spanning stars of block pairs."""
 
     def sets(batches):
+        common.sole_cache("shingles", _words)
         for b in batches:
             own = [shingle_set(t.as_py() or b"").tobytes() for t in b.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.binary())], names=["node", "shingles"])

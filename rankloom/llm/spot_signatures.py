@@ -34,7 +34,7 @@ ANCHORS = frozenset(
     "el los las y del se por con una su para lo al".split()
 )
 CHAIN, RUN = 3, 12
-WORD_CACHE = 1_000_000
+WORD_CACHE = 300_000
 _U64 = np.uint64
 _words: dict[str, int] = {}
 

@@ -30,7 +30,7 @@ from . import common
 HASHED, FEATURES, TRAIN_ROWS, FOLDS = 1 << 18, 1024, 16_000, 5
 BEGINNINGS = (4, 5, 6)
 CATEGORIES = ("junk", "toxic")
-WORD_CACHE = 800_000
+WORD_CACHE = 250_000
 _words: dict[str, tuple[int, ...]] = {}
 
 
@@ -125,6 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Cha
     sample = common.staged(docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "labelled")
 
     def tally(batches):
+        common.sole_cache("toxic words", _words)
         seen = np.zeros((3, HASHED), np.int64)
         for b in batches:
             for text, toxic, junk in zip(*(b.column(c).to_pylist() for c in ("text", "toxic", "junk"))):
@@ -150,6 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Cha
     selector = Chain(slot, [], [])
 
     def select(batches):
+        common.sole_cache("toxic words", selector.words)
         for b in batches:
             own = [sorted(selector.columns(t)) for t in b.column("text").to_pylist()]
             fold = [zlib.crc32(t.encode("utf-8", "surrogatepass")) % FOLDS for t in b.column("text").to_pylist()]
@@ -189,6 +191,7 @@ def predict(docs: DataFrame, model: Chain) -> DataFrame:
 
     def run(batches):
         chain = shared.value
+        common.sole_cache("toxic words", chain.words)
         for b in batches:
             texts = b.column(1).to_pylist()
             p = [chain.probabilities(t) for t in texts]
@@ -201,7 +204,13 @@ def predict(docs: DataFrame, model: Chain) -> DataFrame:
 def keep_clean(docs: DataFrame, model: Chain) -> DataFrame:
     """The rows, with all columns, that aren't toxic."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return common.filtered(docs, lambda texts: [not shared.value.toxic(t, shared.value.probabilities(t)) for t in texts])
+
+    def clean(texts):
+        chain = shared.value
+        common.sole_cache("toxic words", chain.words)
+        return [not chain.toxic(t, chain.probabilities(t)) for t in texts]
+
+    return common.filtered(docs, clean)
 
 
 def op1_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
