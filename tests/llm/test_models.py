@@ -102,3 +102,32 @@ def test_score_is_the_sum_of_conditionals(docs):
             around = np.array([[classes[at - 2]], [classes[at - 1]], [classes[at + 1]], [classes[at + 2]]])
             want += float(net.log_likelihood(around, np.array([classes[at]]))[0]) + float(words.log_share[i])
         assert got[k] == pytest.approx(want, abs=1e-3)
+
+
+def test_words_outside_the_vocabulary_keep_their_counts(docs, monkeypatch):
+    """A word outside scores by its own count: more often seen, likelier by just the ratio of counts, in the same bin."""
+    monkeypatch.setattr(masked_lm, "VOCABULARY", 2)
+    monkeypatch.setattr(masked_lm, "OTHER", 1)
+    own = docs([(1, "the of " * 50), (2, "rare " * 8), (3, "rarer " * 2), (4, "once")])
+    words = masked_lm.vocabulary(own)
+    assert len(words.index) == 2
+    net = masked_lm.Network.start(words.frequency)
+    got = {r.doc_id: r.log_likelihood for r in masked_lm.score(docs([(1, "rare"), (2, "rarer"), (3, "once"), (4, "never"), (4, "rare"), (None, "the")]), words, net).collect()}
+    assert got[1] - got[3] == pytest.approx(np.log(8), abs=1e-5) and got[2] - got[3] == pytest.approx(np.log(2), abs=1e-5)
+    assert None in got
+
+
+def test_classes_grow_with_the_corpus(docs, monkeypatch):
+    own = docs([(1, " ".join(f"w{i}" for i in range(900)))])
+    small = masked_lm.vocabulary(own)
+    assert len(small.frequency) == masked_lm.CLASSES
+    monkeypatch.setattr(masked_lm, "GROWS", 10)
+    words = masked_lm.vocabulary(own)
+    assert len(words.frequency) == 3 * masked_lm.CLASSES and sum(words.of_class[: len(words.index)] < 3 * masked_lm.SINGLE) == 3 * masked_lm.SINGLE
+    assert masked_lm.score(own, words, masked_lm.train(own, words)).first().n_tokens == 900
+
+
+def test_groups_and_classes_make_one_distribution():
+    net = masked_lm.Network.start(np.arange(1, 131) / 8515)
+    every = net.log_likelihood(np.tile(np.array([[3], [99], [130], [0]]), 130), np.arange(130))
+    assert np.exp(every).sum() == pytest.approx(1, abs=1e-4)
