@@ -131,3 +131,15 @@ def test_groups_and_classes_make_one_distribution():
     net = masked_lm.Network.start(np.arange(1, 131) / 8515)
     every = net.log_likelihood(np.tile(np.array([[3], [99], [130], [0]]), 130), np.arange(130))
     assert np.exp(every).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_each_document_is_trained_on(docs):
+    sizes = np.array([1, 0, 3, 8, 2, 17, 100])
+    masked = masked_lm._masked(sizes, np.random.default_rng(3))
+    each = [m.sum() for m in np.split(masked, np.cumsum(sizes)[:-1])]
+    assert each[1] == 0 and all(s // masked_lm.MASKED <= n <= -(-s // masked_lm.MASKED) and n > 0 for s, n in zip(sizes, each) if s)
+    own = docs([(i, "a b") for i in range(40)])
+    words = masked_lm.vocabulary(own)
+    at = [masked_lm._positions(np.array([2] * 40))[masked_lm._masked(np.array([2] * 40), np.random.default_rng(k))] for k in range(2)]
+    assert all(len(x) == 40 for x in at) and not np.array_equal(*at)
+    assert not np.array_equal(masked_lm.train(own.where("doc_id = 0"), words).flat, masked_lm.Network.start(words.frequency).flat)
