@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 import duckdb
 import pytest
@@ -83,6 +84,25 @@ def test_names_are_matched(spark):
     assert got["grand medical college"] == (1, "EXACT") and got["Unrelated Place"][1] == "UNKNOWN" and got["Citty Hospital"][0] in (2, None)
 
 
+def test_similar_names_equal_brute_force(spark, monkeypatch):
+    """Blocks of few names, names without a shared word beginning, ties and odd names."""
+    monkeypatch.setattr(sm, "OWN_BLOCK", 7)
+    monkeypatch.setattr(sm, "OTHER_BLOCK", 11)
+    rng = random.Random(5)
+    words = "grand medical college city hospital annex institut of sciences nagar".split()
+    others = sorted({" ".join(rng.sample(words, rng.randint(1, 4))) for _ in range(60)} | {"", "é日本"})
+    names = {"".join(c for c in o if rng.random() > 0.15) for o in others} | {"rgand emdical oclleg", "medicalcollege", "日本é", "zzz"}
+    got = sm.fuzzy_topk(spark.createDataFrame([(n,) for n in names] + [("zzz",), (None,)], "name string"), spark.createDataFrame([(o, i) for i, o in enumerate(others)], "other string, idx long")).collect()
+    ordered = lambda n: " ".join(sorted(n.split()))
+    want = {}
+    for n in names:
+        every = sorted((-sm._ratio(ordered(n), ordered(o)), i) for i, o in enumerate(others))
+        for score, i in [x for x in every if x[0] <= -50][:5]:
+            want[n, i] = -score
+    assert {(r.name, r.idx): r.score for r in got} == want and len(got) == len(want)
+    assert any(n == "rgand emdical oclleg" for n, _ in want)
+
+
 def test_token_set_ratio(spark):
     df = spark.createDataFrame([("a b", "b a c"), ("", "a"), ("x y", "x y"), ("abc d", "abd d")], "a string, b string")
     got = [r[0] for r in df.select(sm.token_set_ratio(F.col("a"), F.col("b"))).collect()]
