@@ -478,7 +478,7 @@ def _(c):
 
 @query("o11_name_mapping")
 def _(c):
-    names = c.inst.where("institute_code % 3 = 0").select(F.concat(F.substring("institute_name", 1, 12), F.substring("institute_name", 14, 99)).alias("name"), "state", "pincode")
+    names = c.inst.select(F.concat(F.substring("institute_name", 1, 12), F.substring("institute_name", 14, 99)).alias("name"), "state", "pincode")
     return sm.match_names(names.dropDuplicates(["name"]), c.inst)
 
 

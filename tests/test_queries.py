@@ -103,6 +103,10 @@ def test_similar_names_equal_brute_force(spark, monkeypatch):
     assert any(n == "rgand emdical oclleg" for n, _ in want)
 
 
+def test_all_names_are_mapped(spark):
+    assert queries.queries()["o11_name_mapping"](spark, DATA).count() == fixtures.Catalog(spark, DATA).inst.count()
+
+
 def test_token_set_ratio(spark):
     df = spark.createDataFrame([("a b", "b a c"), ("", "a"), ("x y", "x y"), ("abc d", "abd d")], "a string, b string")
     got = [r[0] for r in df.select(sm.token_set_ratio(F.col("a"), F.col("b"))).collect()]
