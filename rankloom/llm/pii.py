@@ -4,7 +4,7 @@ One pattern finds the entities of a text. An entity's canonical form (an e-mail
 phone number, one word of a name, ...) gives its surrogate by a keyed hash, so that all mentions of it, however
 formatted, get the same one. The surrogate keeps kind, length and format: letters stay letters of their case,
 digits digits, a card that passes the check-digit test passes it again, octets stay octets, a name keeps its gender and
-script, an e-mail its top-level domain, a key its known beginning.
+script, an e-mail its top-level domain, a key its known beginning. An IPv6 address, short or in full, is replaced by one in full.
 
 Distinct canonical forms of the whole corpus are checked for surrogates that collide, or that are themselves an entity of
 the corpus; the later form of a collision takes its next attempt until none is left. Only documents that hold such
@@ -24,15 +24,16 @@ from . import common
 KEY = "rankloom"
 
 #: The patterns of the kinds of entities (Java syntax), tried in this order.
-SECRET = r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\b[\"']?\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9+/_=-]{8,128}+[\"']?"
+SECRET = r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\b[\"']?\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9+/_=-]{8,}+[\"']?"
+HEX = "[0-9A-Fa-f]{1,4}"
 PATTERNS = {
     "secret": SECRET,
     "email": r"(?<![\w.%+-])[\w.%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+)+",
-    "access_key": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\bgh[opsu]_[A-Za-z0-9]{36,64}\b|\bsk-[A-Za-z0-9_-]{20,64}|\bAIza[\w-]{35}|\beyJ[\w-]{8,256}\.[\w-]{8,512}\.[\w-]{8,256}",
+    "access_key": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\bgh[opsu]_[A-Za-z0-9]{36,}+|\bsk-[A-Za-z0-9_-]{20,}+|\bAIza[\w-]{35,}+|\beyJ[\w-]{8,}+\.[\w-]{8,}+\.[\w-]{8,}+",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "card": r"(?<![\w.+-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\w-])",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)",
-    "ipv6": r"(?<![\w:])(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}(?![\w:])",
+    "ipv6": rf"(?<![\w:])(?=:*[0-9A-Fa-f])(?:(?:{HEX}:){{7}}{HEX}|(?:{HEX}(?::{HEX}){{0,6}})?::(?:{HEX}(?::{HEX}){{0,6}})?)(?!\w|:[\w:]|\.\d)",
     "national_id": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "phone": r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w]|\.\d)|(?<![\w.])\+\d{9,14}(?!\w)",
     "name": r"(?<![\w])(?:(?:Mr|Mrs|Ms|Miss|Dr|Prof)\b\.?|Herr|Frau|Monsieur|Madame|Mme|Señora?|г-н|г-жа|господин|госпожа|κύριος|κυρία) \p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+){0,2}",
@@ -146,13 +147,24 @@ def _name_words(v: Column) -> Column:
     return F.slice(F.split(v, " "), 2, 3)
 
 
+def _eight_groups(v: Column) -> Column:
+    """An IPv6 address in lower case and in full."""
+    groups = lambda part: F.filter(F.split(part, ":"), lambda g: g != "")
+    def full(low):
+        head = groups(F.substring_index(low, "::", 1))
+        tail = F.when(low.contains("::"), groups(F.substring_index(low, "::", -1))).otherwise(F.array().cast("array<string>"))
+        zeros = F.array_repeat(F.lit("0"), F.greatest(8 - F.size(head) - F.size(tail), F.lit(0)))
+        return F.array_join(F.transform(F.concat(head, zeros, tail), lambda g: F.lpad(g, 4, "0")), ":")
+    return let(F.lower(v), full)
+
+
 def canonical(v: Column) -> Column:
     """Array of (kind, canon) of an entity: one, but for a name one a word."""
     digits = F.regexp_replace(v, "[^0-9]", "")
     def of(kind):
         canon = (
             F.when(kind == "email", F.lower(v)).when(kind == "phone", F.right(digits, F.lit(10))).when(kind.isin("card", "national_id"), digits)
-            .when(kind == "iban", F.replace(v, F.lit(" "))).when(kind == "secret", _secret_parts(v)[1]).otherwise(v)
+            .when(kind == "iban", F.replace(v, F.lit(" "))).when(kind == "secret", _secret_parts(v)[1]).when(kind == "ipv6", _eight_groups(v)).otherwise(v)
         )
         words = let(_gender(v), lambda g: F.transform(_name_words(v), lambda w: F.struct(F.lit("name").alias("kind"), F.concat(F.lower(w), F.lit("|"), g).alias("canon"))))
         return F.when(kind == "name", words).otherwise(F.array(F.struct(kind.alias("kind"), canon.alias("canon"))))
@@ -184,7 +196,8 @@ def rendered(v: Column, attempts: Column | None, key: str = KEY) -> Column:
         named = F.transform(F.arrays_zip(parts.alias("p"), _name_words(v).alias("w")), lambda x: let(made(x["p"]), lambda m: F.when(x["w"] == F.upper(x["w"]), F.upper(m)).otherwise(F.initcap(m))))
         return (
             F.when(kind == "name", F.concat_ws(" ", title, F.array_join(named, " "))).when(kind == "secret", F.concat(before, first, after))
-            .when(kind == "email", let(first, lambda m: _cased(v, m))).when(kind.isin("phone", "card", "national_id", "iban"), let(first, lambda m: _refilled(v, m))).otherwise(first)
+            .when(kind == "email", let(first, lambda m: _cased(v, m))).when(kind.isin("phone", "card", "national_id", "iban"), let(first, lambda m: _refilled(v, m)))
+            .when((kind == "ipv6") & v.rlike("[A-F]"), F.upper(first)).otherwise(first)
         )
     return let(canonical(v), of)
 

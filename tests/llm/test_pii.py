@@ -32,6 +32,24 @@ def test_more_keys_and_addresses(docs):
     assert "0123456789" not in got[0] + got[1] and "0db8:85a3" not in got[2] and "SflKxw" not in got[3]
 
 
+def test_long_keys_are_replaced_whole(docs):
+    run = "Ab3xY9kLmQ7Zp"
+    long = lambda n: (run * (n // len(run) + 1))[:n]
+    keys = [("token=", long(200)), ("password: ", long(700)), ("", f"sk-proj-{long(164)}"), ("", f"eyJhbGciOiJSUzI1NiJ9.{long(600)}.{long(342)}"), ("", f"eyJ{long(400)}.{long(900)}.{long(500)}"), ("", f"ghp_{long(255)}"), ("", f"AIza{long(80)}")]
+    got = replaced(docs, *[f"x {before}{key} y" for before, key in keys])
+    for text, (before, key) in zip(got, keys):
+        assert len(text) == len(f"x {before}{key} y") and text.startswith(f"x {before}") and text.endswith(" y")
+        assert not any(key[i : i + 8] in text for i in range(8, len(key) - 8)), text
+
+
+def test_short_and_upper_case_addresses(docs):
+    got = replaced(docs, "a 2001:db8::8a2e:370:7334 b", "a 2001:0DB8:0000:0000:0000:8A2E:0370:7334 b", "from fe80::1ff:fe23:4567:890a: hello", "a ::1, b", "a 2001:db8:1:: b", "v ::ffff:42.144.35.254 w", "std::vector x :: y, a::begin 12:30:45 ::")
+    whole = r"([0-9a-f]{4}:){7}[0-9a-f]{4}"
+    for text, shape in zip(got, [f"a {whole} b", f"a {whole.replace('a-f', 'A-F')} b", f"from {whole}: hello", f"a {whole}, b", f"a {whole} b", r"v ::ffff:(\d{1,3}\.){3}\d{1,3} w", "std::vector x :: y, a::begin 12:30:45 ::"]):
+        assert re.fullmatch(shape, text), text
+    assert got[0].lower() == got[1].lower() and "42.144.35.254" not in got[5] and "db8" not in got[0]
+
+
 def test_mentions_agree_across_texts_and_formats(docs):
     got = replaced(docs, "a John.Doe@Mail8.Example.com b john.doe@mail8.example.com", "only john.doe@mail8.example.com", "+1 (988) 555-2485 or 988-555-2485", "Mr John Smith, Mrs Anna Smith, Mr SMITH", "г-жа Иванова")
     first, second = re.findall(r"\S+@\S+", got[0])
