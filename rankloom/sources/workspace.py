@@ -11,11 +11,13 @@ _OWN_ROOT: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``. A local folder of our own stands in only where that setting is missing (tests on one
-    machine)."""
+    """``spark.checkpoint.dir``. Where that setting is missing, a local folder of our own stands in if all tasks run on this
+    machine; on a cluster, where they would not find it, that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _OWN_ROOT:
         _OWN_ROOT.append("file://" + tempfile.mkdtemp(prefix="spark-rankloom-"))
     return _OWN_ROOT[0]
