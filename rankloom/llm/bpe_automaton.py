@@ -4,11 +4,13 @@ The automaton is built by successive merge gadgets. It starts as one state with
 for merge (u, v) -> uv takes the state t that all u-arcs enter, makes a copy of t without its v-arc, lets the u-arcs
 enter the copy, and gives every state with a u-arc a uv-arc to where v-arcs enter. All arcs of a label enter one state,
 so a state is kept as the pair (label, time): the state that the label's arcs entered after the merges up to that time.
-A path spells a word and is accepted exactly if it is the word's encoding, of which there is one. The arcs of a state
-are found from the merges on demand and kept in a transition table.
+A path spells a word and is accepted exactly if it is the word's encoding, of which there is one. States share the arcs that
+no gadget changed: each keeps those that a gadget took from it, and when, and the state that it is a copy of.
 
-A word is encoded left to right: the last arc of each prefix's own path is the longest label that ends there and that the
-path before it can take. Decoding emits arc labels.
+That automaton reads labels. Compiled with it is one that reads symbols: its states are the beginnings of labels, with an arc
+for each symbol that leads to a longer one, a failure arc to the longest that remains, and the labels that end there. A word
+is encoded by one walk through it: after each symbol, of the labels that end there, the longest that the label automaton
+takes after the path before it is the last arc of the prefix's own path. Decoding emits arc labels.
 
 Cases: null text counts as empty (no ids, empty decoded text); rows are independent, so null or repeated doc_ids, empty
 tables and other columns need no rule.
@@ -26,7 +28,10 @@ from pyspark.sql import functions as F
 
 from . import byte_bpe, common
 
-CACHE_ENTRIES = 700_000
+#: Bytes of chunks and of words after which a worker starts that cache anew; bounds its memory, not the work.
+CHUNK_BYTES, WORD_BYTES, PAIRS = 96 << 20, 48 << 20, 1_000_000
+#: Longer chunks and words are encoded each time they occur.
+LONGEST = 200
 #: The splitting pattern of the vocabulary file, with its white space spelled out.
 SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + SPACE + r"\p{L}\p{N}]+"
@@ -62,7 +67,35 @@ class Automaton:
                 self.removed.setdefault(u, {})[v] = k
         self.last = len(merges)
         self.table: dict[tuple[str, str], bool] = {}
-        self.longest = max(map(len, vocab), default=0)
+        self._compile(merges)
+
+    def _compile(self, merges: list[tuple[str, str]]) -> None:
+        """The automaton that reads symbols: arcs, failure arcs, and labels that end at a state with their length, longest first."""
+        spelled = {x: (x,) for x in self.base}
+        for u, v in merges:
+            spelled[u + v] = spelled[u] + spelled[v]
+        self.arcs: list[dict[str, int]] = [{}]
+        self.fails, self.ends, own = [0], [()], {}
+        for x in self.alive:
+            state = 0
+            for symbol in spelled[x]:
+                state = self.arcs[state].setdefault(symbol, len(self.arcs))
+                if state == len(self.arcs):
+                    self.arcs.append({})
+            own[state] = ((x, len(spelled[x])),)
+        self.fails, self.ends = [0] * len(self.arcs), [()] * len(self.arcs)
+        level = [0]
+        while level:  # by length: the state that a failure arc enters is shorter
+            for state in level:
+                for symbol, to in self.arcs[state].items():
+                    self.fails[to] = self._step(self.fails[state], symbol) if state else 0
+                    self.ends[to] = own.get(to, ()) + self.ends[self.fails[to]]
+            level = [to for state in level for to in self.arcs[state].values()]
+
+    def _step(self, state: int, symbol: str) -> int:
+        while symbol not in self.arcs[state] and state:
+            state = self.fails[state]
+        return self.arcs[state].get(symbol, 0)
 
     def arc(self, label: str, at: int, x: str) -> bool:
         """Whether the state that ``label`` entered at time ``at`` has an arc ``x``."""
@@ -85,29 +118,34 @@ class Automaton:
         key = (last, x)
         found = self.table.get(key)
         if found is None:
-            if len(self.table) > 2_000_000:
+            if len(self.table) > PAIRS:
                 self.table.clear()
             found = self.table[key] = self.arc(last, self.last, x)
         return found
 
-    def encode(self, word: str, suffix: str = "") -> list[str]:
-        """The labels of the one accepted path that spells ``word``, whose last symbol carries ``suffix``."""
-        n, alive, table, takes, longest = len(word), self.alive, self.table, self.takes, self.longest
-        begins, labels = [0] * (n + 1), [""] * (n + 1)
-        for i in range(1, n + 1):
-            tail = suffix if i == n else ""
-            for j in range(i - longest if i > longest else 0, i):
-                x = word[j:i] + tail
-                if x in alive:
-                    if j:
-                        found = table.get((labels[j], x))
-                        if found is None:
-                            found = takes(labels[j], x)
-                        if not found:
-                            continue
-                    begins[i], labels[i] = j, x
-                    break
-        out, i = [], n
+    def encode(self, symbols: list[str]) -> list[str]:
+        """The labels of the one accepted path that spells the symbols."""
+        arcs, fails, ends, table, takes = self.arcs, self.fails, self.ends, self.table, self.takes
+        begins, labels, state = [0], [""], 0
+        for i, symbol in enumerate(symbols, 1):
+            to = arcs[state].get(symbol)
+            while to is None:
+                if not state:
+                    raise KeyError(symbol)
+                state = fails[state]
+                to = arcs[state].get(symbol)
+            state = to
+            for x, n in ends[state]:
+                if i > n:
+                    found = table.get((labels[i - n], x))
+                    if found is None:
+                        found = takes(labels[i - n], x)
+                    if not found:
+                        continue
+                begins.append(i - n)
+                labels.append(x)
+                break
+        out, i = [], len(symbols)
         while i:
             out.append(labels[i])
             i = begins[i]
@@ -136,16 +174,26 @@ class WordBpe:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.split = regex.compile(SPLIT)
         self.symbols = byte_bpe.byte_symbols()
+        self.clear()
+
+    def clear(self) -> None:
         self.words: dict[str, list[int]] = {}
         self.chunks: dict[str, tuple[int, str, str]] = {}
+        self.word_bytes = self.chunk_bytes = 0
+        self.automaton.table.clear()
 
     def word_ids(self, word: str) -> list[int]:
         ids = self.words.get(word)
         if ids is None:
-            if len(self.words) > CACHE_ENTRIES:
-                self.words.clear()
-            symbols = "".join([self.symbols[b] for b in word.encode()])
-            ids = self.words[word] = [self.vocab[x] for x in self.automaton.encode(symbols, self.suffix)]
+            symbols = [self.symbols[b] for b in word.encode()]
+            symbols[-1] += self.suffix
+            ids = [self.vocab[x] for x in self.automaton.encode(symbols)]
+            if len(word) <= LONGEST:
+                if self.word_bytes > WORD_BYTES:
+                    self.words.clear()
+                    self.word_bytes = 0
+                self.words[word] = ids
+                self.word_bytes += 220 + 8 * len(ids) + len(word)
         return ids
 
     def ids(self, text: str) -> list[int]:
@@ -176,10 +224,14 @@ class WordBpe:
                 continue
             e = chunks.get(chunk)
             if e is None:
-                if len(chunks) > CACHE_ENTRIES:
-                    chunks.clear()
                 ids = self.ids(chunk)
-                e = chunks[chunk] = (len(ids), " ".join(map(str, ids)), self.decode(ids))
+                e = (len(ids), " ".join(map(str, ids)), self.decode(ids))
+                if len(chunk) <= LONGEST:
+                    if self.chunk_bytes > CHUNK_BYTES:
+                        chunks.clear()
+                        self.chunk_bytes = 0
+                    chunks[chunk] = e
+                    self.chunk_bytes += 320 + len(chunk) + len(e[1]) + len(e[2])
             if e[0]:
                 found.append(e)
         return sum([e[0] for e in found]), " ".join([e[1] for e in found]), " ".join([e[2] for e in found])
@@ -191,9 +243,7 @@ _LOADED: dict[str, WordBpe] = {}
 def loaded(path: str) -> WordBpe:
     if path not in _LOADED:
         _LOADED[path] = WordBpe(path)
-    bpe = _LOADED[path]
-    common.sole_cache(f"words {path}", bpe.words, bpe.chunks, bpe.automaton.table)
-    return bpe
+    return _LOADED[path]
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -201,11 +251,11 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         bpe = loaded(path)
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            for low, high in byte_bpe.slices(texts):
-                ids = pa.array([bpe.ids(t or "") for t in texts[low:high]], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(low, high - low), ids], names=["doc_id", "ids"])
+        with common.task_memory(bpe):
+            for b in batches:
+                for low, high in byte_bpe.slices(b.column(1)):
+                    ids = pa.array([bpe.ids(t or "") for t in b.column(1).slice(low, high - low).to_pylist()], pa.list_(pa.int32()))
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(low, high - low), ids], names=["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -226,13 +276,13 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         bpe, sha = loaded(path), hashlib.sha256
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            for low, high in byte_bpe.slices(texts):
-                own = [bpe.digest(t or "") for t in texts[low:high]]
-                arrays = [b.column(0).slice(low, high - low), pa.array([x[0] for x in own], pa.int64())]
-                arrays += [pa.array([sha(x[k].encode()).hexdigest() for x in own], pa.string()) for k in (1, 2)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        with common.task_memory(bpe):
+            for b in batches:
+                for low, high in byte_bpe.slices(b.column(1)):
+                    own = [bpe.digest(t or "") for t in b.column(1).slice(low, high - low).to_pylist()]
+                    arrays = [b.column(0).slice(low, high - low), pa.array([x[0] for x in own], pa.int64())]
+                    arrays += [pa.array([sha(x[k].encode()).hexdigest() for x in own], pa.string()) for k in (1, 2)]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", F.col("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -2,53 +2,33 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN_ROOT: list[str] = []
+from rankloom.sources.workspace import fresh_dir, shared_root, staged  # noqa: F401
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. A local folder of our own stands in only
-    where that setting is missing (tests on one machine)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root:
-        return root.rstrip("/")
-    if not _OWN_ROOT:
-        _OWN_ROOT.append("file://" + tempfile.mkdtemp(prefix="spark-rankloom-"))
-    return _OWN_ROOT[0]
-
-
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: later steps neither repeat its work nor depend on the
-    executors that did it."""
-    spark = df.sparkSession
-    path = fresh_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-_WORD_CACHES: dict[str, tuple[dict, ...]] = {}
-
-
-def sole_cache(owner: str, *caches: dict) -> None:
-    """Called by a task before it uses its operator's word caches: drops those of all other operators, which the worker
-    process may still hold from earlier stages. A worker runs one task at a time."""
-    _WORD_CACHES[owner] = caches
-    for other, kept in _WORD_CACHES.items():
-        if other != owner:
-            for cache in kept:
-                cache.clear()
+@contextmanager
+def task_memory(*caches):
+    """A task's word caches: cleared at its end, and what was freed given back to the system. A worker process serves the
+    tasks of many operators, and would hold it for all of them."""
+    try:
+        yield
+    finally:
+        for cache in caches:
+            cache.clear()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # not this C library: its own way of giving back must do
+            pass
 
 
 def local_path(uri: str) -> str | None:
@@ -65,14 +45,15 @@ def open_store(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def filtered(docs: DataFrame, keep) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, for which ``keep(list of texts)`` says True."""
-    import pyarrow as pa
-
+def filtered(docs: DataFrame, load, keep) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, for which ``keep(model, text)`` says True; ``load()`` is the model, which
+    has a cache of ``words``."""
     at = docs.columns.index("text")
 
     def run(batches):
-        for b in batches:
-            yield b.filter(pa.array(keep(b.column(at).to_pylist()), pa.bool_()))
+        model = load()
+        with task_memory(model.words):
+            for b in batches:
+                yield b.filter(pa.array([keep(model, t) for t in b.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

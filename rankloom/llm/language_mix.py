@@ -121,7 +121,6 @@ def predict(docs: DataFrame, model: Mixture) -> DataFrame:
 
     def run(batches):
         mixture = shared.value
-        common.sole_cache("languages")
         for b in batches:
             found = [mixture.proportions(t) for t in b.column(1).to_pylist()]
             arrays = [
@@ -139,7 +138,6 @@ def keep_identified(docs: DataFrame, model: Mixture, least: float = 0.5) -> Data
 
     def run(batches):
         mixture = shared.value
-        common.sole_cache("languages")
         for b in batches:
             found = [mixture.proportions(t) for t in b.column(at).to_pylist()]
             named = pa.array([n or next(iter(x), None) for n, x in zip(b.column(lang).to_pylist(), found)], b.schema.field(lang).type)

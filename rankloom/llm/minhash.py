@@ -103,7 +103,10 @@ def signatures(docs: DataFrame) -> DataFrame:
     """One row a document: the size of its set, a 120-bit key of the set, band keys and packed low bits."""
 
     def run(batches):
-        common.sole_cache("shingles", _words)
+        with common.task_memory(_words):
+            yield from signed(batches)
+
+    def signed(batches):
         for b in batches:
             sizes, keys, bands, bits = [], [], [], []
             for text in b.column(1).cast(pa.binary()):
@@ -165,10 +168,10 @@ def links_within(docs: DataFrame, clusters: DataFrame, percent: int) -> DataFram
     """Confirmed links (a, b) among the documents of each cluster (node, component), as spanning stars of block pairs."""
 
     def sets(batches):
-        common.sole_cache("shingles", _words)
-        for b in batches:
-            own = [shingle_set(t.as_py() or b"").tobytes() for t in b.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.binary())], names=["node", "shingles"])
+        with common.task_memory(_words):
+            for b in batches:
+                own = [shingle_set(t.as_py() or b"").tobytes() for t in b.column(1).cast(pa.binary())]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.binary())], names=["node", "shingles"])
 
     nodes = clusters.select(F.col("node").alias("doc_id")).hint("merge")  # grows with the input: not for a broadcast
     own = docs.select("doc_id", "text").join(nodes, "doc_id", "left_semi").mapInArrow(sets, "node long, shingles binary")

@@ -2,9 +2,9 @@
 
 A document's full windows stand alone. Its tail goes to the fill level for which the sum of squares of the counts of
 partially filled windows, by level, is least (a level array of counts; ties go to the fuller window). Each partition
-packs what it reads, so that nothing is shuffled. At most ``MAX_OPEN`` windows stay open; beyond that, and at the end,
-windows are completed by cutting the pieces of the emptiest ones, and the last remainder is cut at powers of two, which
-need no padding.
+packs what it reads, so that nothing is shuffled. However many windows stay open, each piece is placed so; a task's memory is bounded by the
+text of its partition. At the end of a partition, the fullest open windows are completed by cutting the pieces of the
+emptiest ones, and the last remainder is cut at powers of two, which need no padding.
 
 Cases: null text counts as empty: its end id alone; null and repeated doc_ids are kept as they are; an empty table has
 no pieces; other columns are ignored.
@@ -23,18 +23,17 @@ from pyspark.sql import functions as F
 from . import byte_bpe, common
 
 WINDOW = 1024
-MAX_OPEN = 2048
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
 class SumOfSquares:
     """Places pieces ``(doc_id, start, ids, doc_tokens)``; ``done`` gathers them with their sequence and offset."""
 
-    def __init__(self, window: int, first_sequence: int = 0, max_open: int = MAX_OPEN):
-        self.window, self.next_id, self.max_open = window, first_sequence, max_open
+    def __init__(self, window: int, first_sequence: int = 0):
+        self.window, self.next_id = window, first_sequence
         self.counts = np.zeros(window + 1, np.int64)
         self.open: dict[int, list[list]] = defaultdict(list)
-        self.n_open, self.done = 0, []
+        self.done: list[tuple] = []
 
     def emit(self, pieces: list) -> None:
         at = 0
@@ -49,7 +48,7 @@ class SumOfSquares:
         for start in range(0, full, w):
             self.emit([(doc_id, start, ids[start : start + w], total)])
         if full < total:
-            self.place((doc_id, full, ids[full:], total))
+            self.place((doc_id, full, ids[full:].copy(), total))  # an open window doesn't hold a whole slice
 
     def place(self, piece: tuple) -> None:
         w, counts, size = self.window, self.counts, len(piece[2])
@@ -64,22 +63,17 @@ class SumOfSquares:
         pieces.append(piece)
         if level:
             counts[level] -= 1
-            self.n_open -= 1
         if level + size == w:
             self.emit(pieces)
         else:
             self.open[level + size].append(pieces)
             counts[level + size] += 1
-            self.n_open += 1
-            if self.n_open > self.max_open:
-                self.close(final=False)
 
-    def close(self, final: bool = True) -> None:
-        """Fills the fullest open windows with what the emptiest hold; the one left over stays open or ends here."""
+    def close(self) -> None:
+        """Fills the fullest open windows with what the emptiest hold, and ends the one left over."""
         bins = [p for level in sorted(self.open, reverse=True) for p in self.open[level]]
         self.open.clear()
         self.counts[:] = 0
-        self.n_open = 0
         pool: list[tuple] = []
         low, high = 0, len(bins)
         while low < high:
@@ -95,29 +89,24 @@ class SumOfSquares:
                 if len(ids) > gap:
                     pool.append((doc_id, start + gap, ids[gap:], total))
                 gap -= len(pieces[-1][2])
-            self._leave(pieces, gap, final)
+            self._end(pieces, gap)
         if pool:
-            self._leave(pool, self.window - sum(len(p[2]) for p in pool), final)
+            self._end(pool, self.window - sum(len(p[2]) for p in pool))
 
-    def _leave(self, pieces: list, gap: int, final: bool) -> None:
+    def _end(self, pieces: list, gap: int) -> None:
         if not gap:
             self.emit(pieces)
-        elif not final:
-            level = self.window - gap
-            self.open[level].append(pieces)
-            self.counts[level] += 1
-            self.n_open += 1
-        else:
-            while pieces:
-                size = 1 << (sum(len(p[2]) for p in pieces).bit_length() - 1)
-                own = []
-                while size:
-                    doc_id, start, ids, total = pieces.pop(0)
-                    own.append((doc_id, start, ids[:size], total))
-                    if len(ids) > size:
-                        pieces.insert(0, (doc_id, start + size, ids[size:], total))
-                    size -= len(own[-1][2])
-                self.emit(own)
+            return
+        while pieces:
+            size = 1 << (sum(len(p[2]) for p in pieces).bit_length() - 1)
+            own = []
+            while size:
+                doc_id, start, ids, total = pieces.pop(0)
+                own.append((doc_id, start, ids[:size], total))
+                if len(ids) > size:
+                    pieces.insert(0, (doc_id, start + size, ids[size:], total))
+                size -= len(own[-1][2])
+            self.emit(own)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = 0) -> DataFrame:
@@ -125,7 +114,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
 
     def run(batches):
         bpe = byte_bpe.loaded(tokenizer_path)
-        packer = SumOfSquares(window, TaskContext.get().partitionId() << 36)
+        packer, end = SumOfSquares(window, TaskContext.get().partitionId() << 36), np.array(end_id, bpe.dtype)
 
         def rows():
             done, packer.done = packer.done, []
@@ -136,14 +125,16 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
             ]
             return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
-        for b in batches:
-            keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for low, high in byte_bpe.slices(texts):
-                for key, ids in zip(keys[low:high], bpe.encode(texts[low:high])):
-                    packer.add(key, np.append(ids, np.array(end_id, bpe.dtype)))
-                yield rows()
-        packer.close()
-        yield rows()
+        with common.task_memory(bpe):
+            for b in batches:
+                keys, texts = b.column(0).to_pylist(), b.column(1)
+                for low, high in byte_bpe.slices(texts):
+                    ids, at = bpe.encode(texts.slice(low, high - low))
+                    for key, start, stop in zip(keys[low:high], at.tolist(), at[1:].tolist()):
+                        packer.add(key, np.append(ids[start:stop], end))
+                    yield rows()
+            packer.close()
+            yield rows()
 
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, PIECES)
 

@@ -59,7 +59,7 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id
     def write(batches):
         bpe = byte_bpe.loaded(tokenizer_path)
         name = f"{out_dir}/part-{uuid.uuid4().hex}"
-        first, ids, lengths, end = None, [], [], np.array([end_id], bpe.dtype).tobytes()
+        first, ids, lengths = None, [], []
 
         def tokens():
             nonlocal first
@@ -68,20 +68,20 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id
                 if first is None and len(keys):
                     first = (int(keys[0]), b.column(1)[0].as_py())
                 ids.append(keys)
-                texts = b.column(2).to_pylist()
+                texts = b.column(2)
                 for low, high in byte_bpe.slices(texts):
-                    for x in bpe.encode(texts[low:high]):
-                        lengths.append(len(x) + 1)
-                        yield x.tobytes()
-                        yield end
+                    flat, at = bpe.encode(texts.slice(low, high - low))
+                    lengths.append(np.diff(at) + 1)
+                    yield np.insert(flat, at[1:], end_id).tobytes()
 
-        _put(name + ".bin", tokens())
+        with common.task_memory(bpe):
+            _put(name + ".bin", tokens())
         if first is None:
             return
-        offsets = np.concatenate([[0], np.cumsum(np.array(lengths, "<i8"))]).astype("<i8")
+        offsets = np.concatenate([[0], np.cumsum(np.concatenate(lengths))]).astype("<i8")
         _put(name + ".idx", [offsets.tobytes()])
         _put(name + ".doc", [np.concatenate(ids).astype("<i8").tobytes()])
-        row = [[name], [first[0]], [first[1]], [len(lengths)], [int(offsets[-1])], [bpe.dtype.itemsize]]
+        row = [[name], [first[0]], [first[1]], [len(offsets) - 1], [int(offsets[-1])], [bpe.dtype.itemsize]]
         types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types)], names=["file", "first_id", "first_hash", "n_docs", "n_tokens", "width"])
 

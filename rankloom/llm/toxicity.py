@@ -9,8 +9,8 @@ Training uses a bounded sample, at most ``TRAIN_ROWS`` labelled documents by has
 ``FEATURES`` hashed features that tell a category best (chi-squared). Folds go by a hash of the text: copies share one.
 Thresholds are those of the best F1 on out-of-fold probabilities. All documents are scored on their whole text.
 
-Cases: null or empty text has no feature and gets the probabilities of the intercepts, toxic false; null labels and
-labels without document aren't used, of several labels for a doc_id the largest counts; without labels of both kinds a category's probability is 0
+Cases: null, empty or blank text has no feature and gets the probabilities of the intercepts, toxic false; a label that is null
+(in either column) isn't used for its category, nor one without document, of several labels for a doc_id the largest counts; without labels of both kinds a category's probability is 0
 and nothing is toxic; null and repeated doc_ids are kept as they are; an empty table gives an empty result; other columns
 are ignored.
 """
@@ -116,33 +116,34 @@ class Chain:
         return p
 
     def toxic(self, text: str | None, p: list[float]) -> bool:
-        return bool(text) and self.weights[-1] is not None and p[-1] >= self.thresholds[-1]
+        return bool((text or "").strip()) and self.weights[-1] is not None and p[-1] >= self.thresholds[-1]
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Chain:
-    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"), (F.max("quality") == 0).cast("int").alias("junk"))
+    known = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"), (F.max("quality") == 0).cast("int").alias("junk")).where("toxic is not null or junk is not null")
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)  # bounded, so it may be broadcast
     sample = common.staged(docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "labelled")
 
     def tally(batches):
-        common.sole_cache("toxic words", _words)
-        seen = np.zeros((3, HASHED), np.int64)
-        for b in batches:
-            for text, toxic, junk in zip(*(b.column(c).to_pylist() for c in ("text", "toxic", "junk"))):
-                f = features(text)
-                seen[0, f] += 1
-                seen[1, f] += junk or 0
-                seen[2, f] += toxic
-        some = np.flatnonzero(seen[0])
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array(s[some], pa.int64()) for s in seen)], names=["f", "n", "junk", "toxic"])
-
-    sums = sample.mapInArrow(tally, "f int, n long, junk long, toxic long").groupBy("f").agg(*(F.sum(c).alias(c) for c in ("n", "junk", "toxic"))).toArrow()
-    f, n = sums.column("f").to_numpy(), sums.column("n").to_numpy().astype(float)
-    of = sample.agg(F.count("*").alias("n"), F.sum("junk").alias("junk"), F.sum("toxic").alias("toxic")).first()
-    slot, total, picked = np.full(HASHED, -1, np.int32), of["n"] or 0, []
+        seen = np.zeros((4, HASHED), np.int64)
+        with common.task_memory(_words):
+            for b in batches:
+                for text, toxic, junk in zip(*(b.column(c).to_pylist() for c in ("text", "toxic", "junk"))):
+                    f = features(text)
+                    for k, y in enumerate((toxic, junk)):
+                        if y is not None:
+                            seen[2 * k, f] += 1
+                            seen[2 * k + 1, f] += y
+        some = np.flatnonzero(seen[0] + seen[2])
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array(s[some], pa.int64()) for s in seen)], names=["f", "n_toxic", "toxic", "n_junk", "junk"])
+
+    sums = sample.mapInArrow(tally, "f int, n_toxic long, toxic long, n_junk long, junk long").groupBy("f").agg(*(F.sum(c).alias(c) for c in ("n_toxic", "toxic", "n_junk", "junk"))).toArrow()
+    f = sums.column("f").to_numpy()
+    of = sample.agg(*(e(c).alias(p + c) for c in CATEGORIES for e, p in ((F.count, "n_"), (F.sum, "")))).first()
+    slot, picked = np.full(HASHED, -1, np.int32), []
     for c in CATEGORIES:
-        hits = sums.column(c).to_numpy().astype(float)
-        share = (of[c] or 0) / max(total, 1)
+        hits, n = sums.column(c).to_numpy().astype(float), sums.column(f"n_{c}").to_numpy().astype(float)
+        share = (of[c] or 0) / max(of[f"n_{c}"], 1)
         chi = np.where(n >= 4, (hits - n * share) ** 2 / np.maximum(n * share * (1 - share), 1e-9), 0) if 0 < share < 1 else np.zeros(len(n))
         order = np.lexsort((f, -chi))[: FEATURES // 2]
         picked.extend(f[order[chi[order] > 8]].tolist())
@@ -151,36 +152,41 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Cha
     selector = Chain(slot, [], [])
 
     def select(batches):
-        common.sole_cache("toxic words", selector.words)
-        for b in batches:
-            own = [sorted(selector.columns(t)) for t in b.column("text").to_pylist()]
-            fold = [zlib.crc32(t.encode("utf-8", "surrogatepass")) % FOLDS for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fold, pa.int32()), b.column("junk"), b.column("toxic"), pa.array(own, pa.list_(pa.int32()))], names=["doc_id", "fold", "junk", "toxic", "cols"])
+        with common.task_memory(selector.words):
+            for b in batches:
+                own = [sorted(selector.columns(t)) for t in b.column("text").to_pylist()]
+                fold = [zlib.crc32(t.encode("utf-8", "surrogatepass")) % FOLDS for t in b.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fold, pa.int32()), b.column("junk"), b.column("toxic"), pa.array(own, pa.list_(pa.int32()))], names=["doc_id", "fold", "junk", "toxic", "cols"])
 
     data = sample.mapInArrow(select, "doc_id long, fold int, junk int, toxic int, cols array<int>").orderBy("doc_id", "fold").toPandas()
     sizes = data["cols"].map(len).to_numpy(np.int64) if len(data) else np.zeros(0, np.int64)
     rows, cols = np.repeat(np.arange(len(data)), sizes), np.concatenate([np.zeros(0, np.int64), *data["cols"]]).astype(np.int64)
     fold, extra, weights, thresholds = data["fold"].to_numpy(), np.zeros((len(data), 0)), [], []
+
+    def fit_on(some, y, extra):
+        place = np.full(len(y), -1)
+        place[some] = np.arange(len(some))
+        used = place[rows] >= 0
+        return fit_logistic(place[rows[used]], cols[used], extra[some], y[some], len(picked))
+
     for c in CATEGORIES:
-        y = data[c].fillna(0).to_numpy(float)
-        if not 0 < y.sum() < len(y):
+        y = data[c].to_numpy(float)
+        labelled = ~np.isnan(y)
+        if not 0 < y[labelled].sum() < labelled.sum():
             weights.append(None)
             thresholds.append(1.0)
             extra = np.hstack([extra, np.zeros((len(data), 1))])
             continue
         apart = np.zeros(len(y))
         for k in range(FOLDS):
-            own, rest = np.flatnonzero(fold == k), np.flatnonzero(fold != k)
+            own, rest = np.flatnonzero(fold == k), np.flatnonzero((fold != k) & labelled)
             if not len(own) or not 0 < y[rest].sum() < len(rest):
                 continue
-            place = np.full(len(y), -1)
-            place[rest] = np.arange(len(rest))
-            used = place[rows] >= 0
-            w = fit_logistic(place[rows[used]], cols[used], extra[rest], y[rest], len(picked))
+            w = fit_on(rest, y, extra)
             z = np.bincount(rows, w[cols], minlength=len(y)) + extra @ w[len(picked) : -1] + w[-1]
             apart[own] = 1 / (1 + np.exp(-np.clip(z[own], -30, 30)))
-        weights.append(fit_logistic(rows, cols, extra, y, len(picked)))
-        thresholds.append(best_threshold(apart, y))
+        weights.append(fit_on(np.flatnonzero(labelled), y, extra))
+        thresholds.append(best_threshold(apart[labelled], y[labelled]))
         extra = np.hstack([extra, apart[:, None]])
     return Chain(slot, weights, thresholds)
 
@@ -191,12 +197,12 @@ def predict(docs: DataFrame, model: Chain) -> DataFrame:
 
     def run(batches):
         chain = shared.value
-        common.sole_cache("toxic words", chain.words)
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            p = [chain.probabilities(t) for t in texts]
-            arrays = [b.column(0), *(pa.array([x[k] for x in p], pa.float64()) for k in range(2)), pa.array([chain.toxic(t, x) for t, x in zip(texts, p)], pa.bool_())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "p_junk", "p_toxic", "toxic"])
+        with common.task_memory(chain.words):
+            for b in batches:
+                texts = b.column(1).to_pylist()
+                p = [chain.probabilities(t) for t in texts]
+                arrays = [b.column(0), *(pa.array([x[k] for x in p], pa.float64()) for k in range(2)), pa.array([chain.toxic(t, x) for t, x in zip(texts, p)], pa.bool_())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "p_junk", "p_toxic", "toxic"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, p_junk double, p_toxic double, toxic boolean")
 
@@ -205,12 +211,7 @@ def keep_clean(docs: DataFrame, model: Chain) -> DataFrame:
     """The rows, with all columns, that aren't toxic."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def clean(texts):
-        chain = shared.value
-        common.sole_cache("toxic words", chain.words)
-        return [not chain.toxic(t, chain.probabilities(t)) for t in texts]
-
-    return common.filtered(docs, clean)
+    return common.filtered(docs, lambda: shared.value, lambda chain, t: not chain.toxic(t, chain.probabilities(t)))
 
 
 def op1_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
