@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import re
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from rankloom.llm import pii
 
 
 def replaced(docs, *texts, clash=False):
-    rows = pii.pseudonymised(docs(list(enumerate(texts)), clash)).orderBy("doc_id").collect()
+    rows = pii.pseudonymised(docs(list(enumerate(texts)), clash), "a key of tests").orderBy("doc_id").collect()
     return [r.text for r in rows]
 
 
@@ -80,3 +82,76 @@ def test_collisions_are_retried(spark, docs, monkeypatch):
 def test_only_builtin_functions_are_used(docs):
     plan = pii.pseudonymised(docs([(1, "mail a@b.org")]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_neutral_titles_follow_gendered_mentions(docs):
+    got = replaced(docs, "Dr Smith and Mr Smith, Prof Anna Smith", "Dr Smith and Mr Smith and Mrs Smith", "Dr Smith alone", "Frau Weber, Dr Weber")
+    first = re.fullmatch(r"Dr (\w+) and Mr (\w+), Prof (\w+) (\w+)", got[0])
+    assert first[1] == first[2] == first[4] != first[3]
+    second = re.fullmatch(r"Dr (\w+) and Mr (\w+) and Mrs (\w+)", got[1])
+    assert second[2] == first[2] and len({second[1], second[2], second[3]}) == 3
+    assert re.fullmatch(r"Dr (\w+) alone", got[2])[1] == second[1]
+    assert len(set(re.findall(r"(?:Frau|Dr) (\w+)", got[3]))) == 1
+
+
+def test_mapping_against_one_made_by_hand(docs):
+    """Over many texts, what stood for an entity is a function of it, and a one-to-one one."""
+    people = [(f"user{i % 60}@{'abc'[i % 3]}.example.org", f"+1 (6{i % 40 + 10}) 555-{1000 + i % 90}", f"10.{i % 7}.{i % 11}.{i % 13}", f"Mr {'ABCDEFGH'[i % 8]}ord{'aeiou'[i % 5] * 2}n") for i in range(300)]
+    got = replaced(docs, *[f"<{a}> and {b} and {c} and {d} end" for a, b, c, d in people])
+    for k in range(4):
+        made: dict = {}
+        for person, text in zip(people, got):
+            parts = re.fullmatch(r"<(.*)> and (.*) and (.*) and (.*) end", text)
+            assert made.setdefault(person[k], parts[k + 1]) == parts[k + 1]
+        assert len(set(made.values())) == len(made) and not set(made) & set(made.values())
+
+
+def test_names_never_run_out(docs, monkeypatch):
+    """With one syllable at first there are 96 male names; 400 real ones still get distinct surrogates. Both ways of joining."""
+    monkeypatch.setattr(pii, "PARTS", 1)
+    words = [f"{a}{b}{c}" for a in "BCDFGHKL" for b in "aeiou" for c in ("rd", "nt", "st", "lk", "mp", "sk", "ft", "nd", "rk", "lt")]
+    rows = docs([*enumerate(f"Mr {w} came" for w in words), (1000, None), (1001, "nobody"), (1002, "at 12:30")], True)
+    for most in (100_000, 0):
+        got = {r.doc_id: r.text for r in pii.pseudonymised(rows, "k", most).collect()}
+        names = {re.fullmatch(r"Mr (\w+) came", got[i])[1] for i in range(len(words))}
+        assert len(names) == 400 and not names & set(words)
+        assert (got[1000], got[1001], got[1002], len(got)) == (None, "nobody", "at 12:30", 403)
+
+
+def test_fixed_formats_that_run_out_are_an_error(docs, monkeypatch):
+    monkeypatch.setattr(pii, "ATTEMPTS", 2)
+    monkeypatch.setattr(pii, "_redrawn", lambda value, h: F.lit("same"))
+    with pytest.raises(ValueError, match="secret"):
+        replaced(docs, "password=aaaaaaaa1 x", "password=bbbbbbbb2 x")
+
+
+def test_key_comes_from_the_caller_or_the_session(spark, docs):
+    text = docs([(1, "mail bob@example.com")])
+    one, other = (pii.pseudonymised(text).first().text for _ in range(2))
+    assert one != other
+    spark.conf.set(pii.KEY_SETTING, "of the session")
+    try:
+        assert pii.pseudonymised(text).first().text == pii.pseudonymised(text, "of the session").first().text
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+
+
+def test_keyed_hash_is_an_hmac(spark):
+    import hashlib
+    import hmac
+
+    got = spark.range(1).select(pii._hash(F.lit("email"), F.lit("a@b.c"), F.lit(2), "some key").alias("h")).first().h
+    assert got == hmac.new(b"some key", b"email|2|a@b.c", hashlib.sha512).hexdigest()
+
+
+def test_worst_long_texts(docs):
+    """No pattern recurses or goes back over a long text: each of these ends, in seconds."""
+    n = 300_000
+    worst = [
+        "x@b" + ".cc" * (n // 3), "a" * n + "@b.cc", "a@" + "b" * n, "a@" * (n // 2), "a.b-" * (n // 4), "token=" + "k" * n, "token=" * (n // 6), "password: '" * (n // 11), "eyJ-" * (n // 4), "eyJabcdefgh." * (n // 12),
+        "4" * n, "4111 " * (n // 5), "1.2." * (n // 4), "a:" * (n // 2), ":" * n, "AB12 " * (n // 5), "(12) " * (n // 5), "+12-" * (n // 4), "Mr " * (n // 3), "Mr A" + "b" * n, "Dr Smith " * (n // 9), "sk-" * (n // 3), "gho_" * (n // 4), "AIza" * (n // 4),
+    ]
+    began = time.time()
+    rows = {r.doc_id: r.text for r in pii.pseudonymised(docs(list(enumerate(worst))), "k").collect()}
+    assert len(rows) == len(worst) and time.time() - began < 240
+    assert rows[0] != worst[0] and len(rows[0]) == len(worst[0]) and rows[5] != worst[5] and rows[1] != worst[1]
