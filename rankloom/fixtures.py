@@ -14,7 +14,7 @@ SELECT CAST(year(o_orderdate) AS INT) AS year,
        CAST(l_orderkey AS BIGINT) AS rank, s_name AS institute_name,
        CASE WHEN l_partkey % 9 = 0 THEN NULL ELSE concat('City', CAST(s_nationkey AS STRING)) END AS institute_city,
        CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE CAST(100000 + s_suppkey AS STRING) END AS institute_pincode,
-       sn.n_name AS state, p_type AS course_norm, p_name AS course_raw,
+       sn.n_name AS state, p_type AS course_norm, p_name AS course_raw, concat(s_name, ', City', CAST(s_nationkey AS STRING), ', ', sn.n_name) AS institute_raw,
        l_returnflag AS quota_norm, l_linestatus AS allotted_category_norm,
        CASE WHEN (l_linenumber - 1) % 4 = 0 THEN NULL WHEN l_partkey % 5 = 0 THEN 'LOST'
             WHEN l_partkey % 5 = 1 THEN 'NOT_ALLOTTED' WHEN l_partkey % 5 = 2 THEN 'RETAINED'
@@ -26,6 +26,14 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey
      JOIN part ON l_partkey = p_partkey""",
     "inst": """
 SELECT CAST(s_suppkey AS BIGINT) AS institute_code, s_name AS institute_name, concat(s_name, ', ', n_name) AS display_name,
+       CASE WHEN s_suppkey % 8 <> 3 THEN concat(CAST(s_suppkey % 90 AS STRING), ' Park Road, ', n_name) END AS address,
+       CASE WHEN s_suppkey % 10 <> 4 THEN concat('University ', CAST(s_nationkey AS STRING)) END AS university,
+       CASE WHEN s_suppkey % 9 <> 2 THEN CAST(s_suppkey % 40 * 25 AS STRING) END AS beds,
+       CASE WHEN s_suppkey % 11 > 1 THEN CAST(CAST(floor(abs(s_acctbal)) AS BIGINT) + 100 AS STRING) END AS fee_yr2,
+       CASE WHEN s_suppkey % 11 > 1 THEN CAST(CAST(floor(abs(s_acctbal)) AS BIGINT) + 200 AS STRING) END AS fee_yr3,
+       CASE WHEN s_suppkey % 7 = 0 THEN '' WHEN s_suppkey % 7 > 1 THEN CAST(s_suppkey % 50 * 1000 AS STRING) END AS stipend_yr1,
+       CASE WHEN s_suppkey % 7 > 1 THEN CAST(s_suppkey % 50 * 1100 AS STRING) END AS stipend_yr2,
+       CASE WHEN s_suppkey % 7 > 1 THEN CAST(s_suppkey % 50 * 1200 AS STRING) END AS stipend_yr3,
        n_name AS state, CAST(100000 + s_suppkey AS STRING) AS pincode,
        CASE WHEN s_suppkey % 11 = 0 THEN 'NA' WHEN s_suppkey % 11 = 1 THEN NULL
             ELSE CAST(CAST(floor(abs(s_acctbal)) AS BIGINT) AS STRING) END AS annual_fee,

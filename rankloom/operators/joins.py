@@ -10,14 +10,17 @@ from pyspark.sql import functions as F
 from ..functions.text import blank_to_null, sqlite_real
 
 
+PROFILE_COLUMNS = ["fee_yr2", "fee_yr3", "stipend_yr1", "stipend_yr2", "stipend_yr3", "bond_forfeit", "university", "bond_years", "beds"]
+
+
 def profiles(mapping: DataFrame, inst: DataFrame) -> DataFrame:
     """One row a mapped name: the institute's profile (NULL if its code has none) and whether it counts as matched."""
     m = mapping.groupBy("db_institute_name").agg(F.min_by(F.struct("institute_code", "match_confidence"), F.struct("institute_code", "match_confidence")).alias("m"))
     m = m.select(F.col("db_institute_name").alias("institute_name"), "m.*")
-    i = inst.select("institute_code", F.col("display_name").alias("institute_address_verified"), F.col("pincode").alias("inst_pincode"),
-                    sqlite_real(F.col("annual_fee")).alias("inst_fee_yr1"), F.col("bond_forfeit").alias("inst_bond_forfeit"), F.col("bond_years").alias("inst_bond_years"))
+    i = inst.select("institute_code", F.col("address").alias("institute_address"), F.col("display_name").alias("institute_address_verified"), F.col("pincode").alias("inst_pincode"),
+                    sqlite_real(F.col("annual_fee")).alias("inst_fee_yr1"), *[F.col(c).alias(f"inst_{c}") for c in PROFILE_COLUMNS])
     matched = F.when(F.col("match_confidence").isin("EXACT", "FUZZY"), 1).otherwise(0).alias("inst_matched")
-    return m.join(i, "institute_code", "left").select("institute_name", matched, "institute_address_verified", "inst_pincode", "inst_fee_yr1", "inst_bond_forfeit", "inst_bond_years")
+    return m.join(i, "institute_code", "left").drop("institute_code").select("institute_name", matched, *i.columns[1:])
 
 
 def enrich_profile(df: DataFrame, mapping: DataFrame, inst: DataFrame) -> DataFrame:
@@ -36,12 +39,11 @@ def backfill_from_round(df: DataFrame, cols: list[str], order: list[str], src_ro
 
 def asof_backfill(df: DataFrame, key: list[str], order: str, cols: list[str], only_when: Column) -> DataFrame:
     """Missing columns take the last value that isn't empty of an earlier ``order``; of several rows in one
-    step the least value counts. One shuffle on the key serves all columns."""
-    steps = df.groupBy(*key, order).agg(*[F.min(blank_to_null(F.col(c))).alias(c) for c in cols])
-    before = Window.partitionBy(*key).orderBy(order).rangeBetween(Window.unboundedPreceding, -1)
-    last = steps.select(*key, order, *[F.last(c, ignorenulls=True).over(before).alias(f"last_{c}") for c in cols])
-    out = df.join(last, [*key, order], "left")
-    return out.withColumns({c: F.when(only_when, F.coalesce(blank_to_null(F.col(c)), F.col(f"last_{c}"))).otherwise(F.col(c)) for c in cols}).drop(*[f"last_{c}" for c in cols])
+    step the least value counts. One shuffle on the key serves all columns: rows are dealt by it first, which both windows accept."""
+    step, before = Window.partitionBy(*key, order), Window.partitionBy(*key).orderBy(order).rangeBetween(Window.unboundedPreceding, -1)
+    own = df.repartition(*key).withColumns({f"own_{c}": F.min(blank_to_null(F.col(c))).over(step) for c in cols})
+    out = own.withColumns({f"last_{c}": F.last(f"own_{c}", ignorenulls=True).over(before) for c in cols})
+    return out.withColumns({c: F.when(only_when, F.coalesce(blank_to_null(F.col(c)), F.col(f"last_{c}"))).otherwise(F.col(c)) for c in cols}).drop(*[f"{x}_{c}" for c in cols for x in ("own", "last")])
 
 
 def _same(a: DataFrame, b: DataFrame, key: list[str]) -> Column:

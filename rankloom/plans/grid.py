@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import format as fm
 from ..functions.text import blank_to_null, sqlite_real
@@ -76,12 +77,24 @@ def with_group_ids(grid: DataFrame) -> DataFrame:
     return grid.withColumns({f"r{r}_group_id": fm.encode_group_id(cols, r, F.col(f"r{r}_allotment_count")) for r in (1, 2, 3, 4)})
 
 
-def drill_down(cat, key: dict) -> DataFrame:
-    """Rows of a group (its id leaves out the state), by rank, with the closing one marked."""
-    same = [fl.null_safe_eq(blank_to_null(F.col(name).cast("string")), (key.get(k) or None)) for k, name in fm.GROUP_FIELDS.items()]
-    rows = cat.allot.where(fl.all_of(*same))
+def _is_value(fact: DataFrame, name: str, value) -> Column:
+    """The column, in its own type so that the scan can skip files, has the value; blank and null are one."""
+    kind = fact.schema[name].dataType
+    if value in (None, ""):
+        return F.col(name).isNull() | (F.col(name) == "") if isinstance(kind, T.StringType) else F.col(name).isNull()
+    return F.col(name) == F.lit(value).cast(kind)
+
+
+def drill_down(cat, key: dict, tie=()) -> DataFrame:
+    """Rows of a group (its id leaves out the state), by rank and then ``tie``, with the closing one marked."""
+    fact = cat.allot
+    rows = fact.where(fl.all_of(*[_is_value(fact, name, key.get(k)) for k, name in fm.GROUP_FIELDS.items()]))
     top = rows.agg(F.max("rank").alias("closing_rank"))
-    return ag.sort_rows(rows.crossJoin(F.broadcast(top)).withColumn("is_closing", F.col("rank") == F.col("closing_rank")), F.col("rank"), tie=["l_linenumber", "l_partkey", "l_suppkey"])
+    return ag.sort_rows(rows.crossJoin(F.broadcast(top)).withColumn("is_closing", F.col("rank") == F.col("closing_rank")), F.col("rank"), tie=list(tie))
+
+
+ALLOTMENT_SEARCH = ["institute_name", "course_norm", "course_raw", "institute_raw"]
+INSTITUTE_SEARCH = ["display_name", "institute_name", "address", "state", "pincode", "university"]
 
 
 def allotments(cat, where=None, final_only: bool = False, sort_by: str | None = "rank", sort_order: str = "asc", tie=("round",)) -> DataFrame:
@@ -92,7 +105,7 @@ def allotments(cat, where=None, final_only: bool = False, sort_by: str | None =
 
 
 def institutes(cat, search: str | None = None, state=None, match_status=None, sort_by: str = "institute_name", sort_order: str = "asc") -> DataFrame:
-    keep = fl.all_of(fl.search(search, ["institute_name", "display_name", "state", "pincode"]), fl.in_list("state", state), fl.in_list("match_status", match_status))
+    keep = fl.all_of(fl.search(search, INSTITUTE_SEARCH), fl.in_list("state", state), fl.in_list("match_status", match_status))
     return ag.sort_rows(cat.inst.where(keep), F.col(sort_by), sort_order, "first", ["institute_code"])
 
 
@@ -106,14 +119,18 @@ def facets(cat, **scope) -> DataFrame:
 
 def export_closing_ranks(grid: DataFrame, year: int) -> DataFrame:
     """Columns of the export; counts of 0 are empty."""
-    count = lambda r: F.nullif(F.col(f"r{r}_allotment_count"), F.lit(0)).alias(f"R{r} Count {year}")
-    ranks = [c for r in (1, 2, 3, 4) for c in (F.col(f"r{r}_closing_rank").alias(f"R{r} Closing Rank {year}"), count(r))]
+    seats = lambda r: F.nullif(F.col(f"r{r}_allotment_count"), F.lit(0)).alias(f"R{r} Seats")
+    ranks = [c for r in (1, 2, 3, 4) for c in (F.col(f"r{r}_closing_rank").alias(f"CR {year} R{r}"), seats(r))]
+    profile = [blank_to_null(F.col(c)).alias(name) for c, name in (("inst_stipend_yr1", "Stipend Y1"), ("inst_bond_years", "Bond Years"), ("inst_bond_forfeit", "Bond Penalty"), ("inst_beds", "Beds"))]
     return grid.select(
         F.col("quota_norm").alias("Quota"), F.col("allotted_category_norm").alias("Category"), F.col("state").alias("State"), F.col("institute_name").alias("Institute"),
-        F.col("institute_pincode").alias("Pincode"), F.col("course_norm").alias("Course"), *ranks, F.col("inst_fee_yr1").alias("Fee"), F.col("inst_bond_forfeit").alias("Bond"),
+        F.col("institute_pincode").alias("Pincode"), F.col("course_norm").alias("Course"), F.col("inst_fee_yr1").alias("Fee"), *profile, *ranks,
     )
 
 
 def export_allotments(df: DataFrame) -> DataFrame:
     """The course falls back to its raw form."""
-    return df.select("rank", "round", "quota_norm", "allotted_category_norm", "state", "institute_name", F.coalesce(blank_to_null(F.col("course_norm")), "course_raw", F.lit("")).alias("course"))
+    course = F.coalesce(blank_to_null(F.col("course_norm")), "course_raw", F.lit("")).alias("Course")
+    named = {"rank": "Rank", "round": "Round", "institute_name": "Institute", "institute_city": "City", "institute_pincode": "Pincode", "state": "State", "course": course,
+             "quota_norm": "Quota", "allotted_category_norm": "Category", "seat_outcome": "Outcome", "year": "Year", "counselling_type": "Counselling Type"}
+    return df.select(*[F.col(c).alias(name) if isinstance(name, str) else name for c, name in named.items()])

@@ -41,9 +41,9 @@ KEYS = ", ".join(ag.GRID)
 PER_ROUND = ", ".join(f"max(CASE WHEN round = {r} THEN rank END) AS r{r}_closing_rank, count(CASE WHEN round = {r} THEN 1 END) AS r{r}_allotment_count" for r in (1, 2, 3, 4))
 REAL = r"CASE WHEN {c} IS NOT NULL THEN coalesce(try_cast(nullif(regexp_extract({c}, '^\s*([+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?)', 1), '') AS DOUBLE), CAST(0 AS DOUBLE)) END"
 PROFILE = f"""SELECT m.db_institute_name AS institute_name, CAST(CASE WHEN match_confidence IN ('EXACT', 'FUZZY') THEN 1 ELSE 0 END AS INT) AS inst_matched,
- i.display_name AS institute_address_verified, i.pincode AS inst_pincode, {REAL.format(c='i.annual_fee')} AS inst_fee_yr1, i.bond_forfeit AS inst_bond_forfeit, i.bond_years AS inst_bond_years
+ i.address AS institute_address, i.display_name AS institute_address_verified, i.pincode AS inst_pincode, {REAL.format(c='i.annual_fee')} AS inst_fee_yr1, {', '.join(f'i.{x} AS inst_{x}' for x in jn.PROFILE_COLUMNS)}
  FROM mapping m LEFT JOIN inst i ON m.institute_code = i.institute_code"""
-PROFILE_COLS = "inst_matched, institute_address_verified, inst_pincode, inst_fee_yr1, inst_bond_forfeit, inst_bond_years"
+PROFILE_COLS = "inst_matched, institute_address, institute_address_verified, inst_pincode, inst_fee_yr1, " + ", ".join(f"inst_{x}" for x in jn.PROFILE_COLUMNS)
 
 
 def grid_sql(where: str = "true", after: str = "true") -> str:
@@ -95,7 +95,7 @@ def _(c):
     f = {"year": 1995, "counselling_type": "AIQ", "round": 1, "institute_name": "Supplier#000000001", "quota_norm": "N", "allotted_category_norm": "O"}
     course = c.allot.where(fl.dim_eq(**f)).agg(F.min("course_norm")).first()[0]
     key = {"y": "1995", "ct": "AIQ", "cs": "", "r": "1", "i": f["institute_name"], "ip": "100001", "q": "N", "a": "O", "c": course or "none"}
-    return grid.drill_down(c, key).select(*ROW, "closing_rank", "is_closing")
+    return grid.drill_down(c, key, TIE).select(*ROW, "closing_rank", "is_closing")
 
 
 @query("t1_t5_grid_page", f"SELECT * FROM ({grid_sql()}) ORDER BY r1_closing_rank DESC NULLS LAST, {', '.join(k + ' NULLS FIRST' for k in ag.GRID)} LIMIT 50 OFFSET 50")
@@ -108,6 +108,21 @@ def _(c):
     return ag.paginate(grid.closing_ranks(c, RankFilters(), "inst_bond_forfeit"), 1, 100)
 
 
+@query("t1_stipend_sort_page", f"SELECT * FROM ({grid_sql()}) ORDER BY {REAL.format(c='inst_stipend_yr1')} DESC NULLS LAST, {', '.join(k + ' NULLS FIRST' for k in ag.GRID)} LIMIT 100")
+def _(c):
+    return ag.paginate(grid.closing_ranks(c, RankFilters(), "inst_stipend_yr1", "desc"), 1, 100)
+
+
+@query("f6_allotment_search", "SELECT rank, l_linenumber, l_partkey, l_suppkey FROM allot WHERE institute_name ILIKE '%city1_,%' OR course_norm ILIKE '%city1_,%' OR course_raw ILIKE '%city1_,%' OR institute_raw ILIKE '%city1_,%'")
+def _(c):
+    return grid.allotments(c, fl.search("city1_,", grid.ALLOTMENT_SEARCH), sort_by=None).select(*ROW)
+
+
+@query("f6_institute_search", "SELECT institute_code FROM inst WHERE display_name ILIKE '%university 1%' OR institute_name ILIKE '%university 1%' OR address ILIKE '%university 1%' OR state ILIKE '%university 1%' OR pincode ILIKE '%university 1%' OR university ILIKE '%university 1%'")
+def _(c):
+    return grid.institutes(c, "university 1").select("institute_code")
+
+
 @query("a12_page_totals", f"SELECT count(*) AS total, CAST(ceil(count(*) / 50.0) AS BIGINT) AS pages FROM ({grid_sql()})")
 def _(c):
     return ag.page_totals(grid.closing_ranks(c, RankFilters(), None))
@@ -133,12 +148,12 @@ def _(c):
     return ag.paginate(grid.allotments(c, sort_by="institute_pincode", tie=["round", *ROW]), 2, 100).select(*ROW, "round", "institute_pincode")
 
 
-@query("s7_export_grid", f"SELECT quota_norm AS \"Quota\", allotted_category_norm AS \"Category\", state AS \"State\", institute_name AS \"Institute\", institute_pincode AS \"Pincode\", course_norm AS \"Course\", {', '.join(f'r{r}_closing_rank AS \"R{r} Closing Rank 2025\", nullif(r{r}_allotment_count, 0) AS \"R{r} Count 2025\"' for r in (1, 2, 3, 4))}, inst_fee_yr1 AS \"Fee\", inst_bond_forfeit AS \"Bond\" FROM ({grid_sql()})")
+@query("s7_export_grid", f"SELECT quota_norm AS \"Quota\", allotted_category_norm AS \"Category\", state AS \"State\", institute_name AS \"Institute\", institute_pincode AS \"Pincode\", course_norm AS \"Course\", inst_fee_yr1 AS \"Fee\", nullif(inst_stipend_yr1, '') AS \"Stipend Y1\", nullif(inst_bond_years, '') AS \"Bond Years\", nullif(inst_bond_forfeit, '') AS \"Bond Penalty\", nullif(inst_beds, '') AS \"Beds\", {', '.join(f'r{r}_closing_rank AS \"CR 2025 R{r}\", nullif(r{r}_allotment_count, 0) AS \"R{r} Seats\"' for r in (1, 2, 3, 4))} FROM ({grid_sql()})")
 def _(c):
     return grid.export_closing_ranks(grid.closing_ranks(c, RankFilters(), None), 2025)
 
 
-@query("s8_export_allotments", "SELECT rank, round, quota_norm, allotted_category_norm, state, institute_name, coalesce(nullif(course_norm, ''), course_raw, '') AS course FROM allot")
+@query("s8_export_allotments", "SELECT rank AS \"Rank\", round AS \"Round\", institute_name AS \"Institute\", institute_city AS \"City\", institute_pincode AS \"Pincode\", state AS \"State\", coalesce(nullif(course_norm, ''), course_raw, '') AS \"Course\", quota_norm AS \"Quota\", allotted_category_norm AS \"Category\", seat_outcome AS \"Outcome\", year AS \"Year\", counselling_type AS \"Counselling Type\" FROM allot")
 def _(c):
     return grid.export_allotments(c.allot)
 
@@ -185,7 +200,7 @@ def _(c):
     return c.courses.where(fl.type_ahead(F.col("course_norm"), "AN")).select("course_norm").distinct()
 
 
-@query("f15_f6_t4_institutes", "SELECT institute_code, institute_name, annual_fee FROM inst WHERE match_status IN ('EXACT', 'OK_REVIEW') AND (institute_name ILIKE '%1%' OR display_name ILIKE '%1%' OR state ILIKE '%1%' OR pincode ILIKE '%1%') ORDER BY annual_fee ASC NULLS FIRST, institute_code LIMIT 50")
+@query("f15_f6_t4_institutes", "SELECT institute_code, institute_name, annual_fee FROM inst WHERE match_status IN ('EXACT', 'OK_REVIEW') AND (institute_name ILIKE '%1%' OR display_name ILIKE '%1%' OR address ILIKE '%1%' OR state ILIKE '%1%' OR pincode ILIKE '%1%' OR university ILIKE '%1%') ORDER BY annual_fee ASC NULLS FIRST, institute_code LIMIT 50")
 def _(c):
     return ag.paginate(grid.institutes(c, "1", match_status=["EXACT", "OK_REVIEW"], sort_by="annual_fee"), 1, 50).select("institute_code", "institute_name", "annual_fee")
 
