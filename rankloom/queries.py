@@ -629,7 +629,7 @@ def _(c):
     return ag.paginate(ag.sort_rows(c.allot.where("year = 1996"), F.col("rank"), tie=TIE), 1, 200).select(*ROW)
 
 
-@query("x3_ingest_progress", "SELECT count(*) AS rows_read FROM events")
+@query("x3_ingest_progress", "SELECT 2 * (SELECT count(*) FROM events) AS rows_read, (SELECT count(*) FROM (SELECT DISTINCT * FROM events)) AS rows_kept")
 def _(c):
     return progress_of(c.spark, c.events)
 

@@ -142,3 +142,26 @@ def test_copy_table_resumes(spark, tmp_path):
         pytest.skip(str(e)[:80])
     io.copy_table(spark, url, "t", rows, ["id"], "resume", props)
     assert sorted(r[0] for r in spark.read.jdbc(url, "t", properties=props).select("id").collect()) == list(itertools.chain(range(5)))
+
+
+def test_backfill_takes_one_exchange(spark):
+    """One shuffle on the candidate, the fact computed once, no join."""
+    df = spark.range(10).selectExpr("id as rank", "id as round", "cast(id as string) as v", "'RETAINED' as seat_outcome")
+    plan = jn.asof_backfill(df, ["rank"], "round", ["v"], F.lit(True))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_drill_down_pushes_its_filters(spark, tmp_path):
+    """Filters on typed columns reach the scan of a fact table, which has only the columns of the key."""
+    from types import SimpleNamespace
+
+    from rankloom.plans import grid
+
+    rows = [(1995, "AIQ", None, "X", "1", "C", "N", "O", 1, 7), (1995, "AIQ", "", "X", "1", "C", "N", "O", 1, 9), (1996, "AIQ", None, "X", "1", "C", "N", "O", 1, 8)]
+    names = "year int, counselling_type string, counselling_state string, institute_name string, institute_pincode string, course_norm string, quota_norm string, allotted_category_norm string, round int, rank long"
+    spark.createDataFrame(rows, names).write.parquet(str(tmp_path / "fact"))
+    fact = spark.read.parquet(str(tmp_path / "fact"))
+    key = {"y": "1995", "ct": "AIQ", "cs": "", "i": "X", "ip": "1", "c": "C", "q": "N", "a": "O", "r": "1"}
+    got = grid.drill_down(SimpleNamespace(allot=fact), key)
+    assert [(r["rank"], r["is_closing"]) for r in got.collect()] == [(7, False), (9, True)]
+    assert "EqualTo(year,1995)" in spark._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "formatted")
