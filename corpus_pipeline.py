@@ -1,4 +1,9 @@
-"""From raw documents to packed training sequences: toxicity, language, near-duplicates, personal data, packing."""
+"""From raw documents to packed training sequences: toxicity, language, near-duplicates, personal data, packing.
+
+Cases: documents without a letter (null, empty or blank text among them) go with language identification; of rows that share a
+doc_id one stays, rows without doc_id all stay; other columns, whatever their names, are kept up to packing; an empty
+table has no sequences.
+"""
 
 from __future__ import annotations
 
