@@ -32,7 +32,7 @@ from . import common, graph
 WORDS, BANDS, ROWS, BITS = 5, 24, 5, 2
 HASHES = BANDS * ROWS
 MARGIN = 0.2
-BLOCK = 256
+BLOCK, APART = 256, 64
 WORD_CACHE = 250_000
 _U64 = np.uint64
 _RNG = np.random.default_rng(20_240_229)
@@ -187,7 +187,7 @@ def candidate_clusters(nodes: DataFrame, least: float) -> DataFrame:
     """(node, component): nodes that a chain of shared buckets with an estimate of at least ``least`` connects.
 
     Each node meets the least node of each of its buckets; where that leaves a bucket in several components, those that
-    aren't with it meet the nodes of the other components."""
+    aren't with it meet the nodes of the other components, in blocks of ``APART``."""
     banded = nodes.select("node", F.explode("bands").alias("bucket"))
     hubs = banded.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").drop("top")
     members = common.staged(banded.join(hubs, "bucket"), "members")
@@ -201,10 +201,12 @@ def candidate_clusters(nodes: DataFrame, least: float) -> DataFrame:
     labelled = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     of_hub = labelled.where("node = hub").select("bucket", F.col("component").alias("hub_component"))
     labelled = common.staged(labelled.where("node <> hub").join(of_hub, "bucket").withColumn("apart", F.col("component") != F.col("hub_component")), "members")
-    mixed = labelled.where("apart").select("bucket").distinct()
-    left = labelled.where("apart").select("bucket", F.col("node").alias("a"), F.col("component").alias("of_a"))
-    right = labelled.join(mixed, "bucket", "left_semi").select("bucket", F.col("node").alias("b"), F.col("component").alias("of_b"))
-    across = left.join(bits("a"), "a").join(right.join(bits("b"), "b"), "bucket").where((F.col("of_a") != F.col("of_b")) & near)
+    # the apart nodes of a bucket are dealt into blocks, and what they meet goes to each block: no bucket is one task
+    apart = labelled.where("apart")
+    sizes = apart.groupBy("bucket").agg(F.ceil(F.count("*") / APART).cast("int").alias("blocks"))
+    left = apart.join(sizes, "bucket").select("bucket", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.col("node").alias("a"), F.col("component").alias("of_a"))
+    right = labelled.join(sizes, "bucket").select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("node").alias("b"), F.col("component").alias("of_b"))
+    across = left.join(bits("a"), "a").join(right.join(bits("b"), "b"), ["bucket", "block"]).where((F.col("of_a") != F.col("of_b")) & near)
     across = common.staged(across.select("a", "b").distinct(), "pairs")
     return graph.connected_components(star.unionByName(across)) if across.limit(1).count() else found
 

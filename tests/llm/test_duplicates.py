@@ -70,6 +70,17 @@ def test_no_documents_and_a_large_group(docs, monkeypatch):
     assert {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
 
 
+def test_a_bucket_of_several_clusters_is_met_in_blocks(spark, monkeypatch):
+    """The least node of a bucket is like none of its groups: each group still becomes one cluster."""
+    monkeypatch.setattr(minhash, "APART", 3)
+    rng = np.random.default_rng(5)
+    groups = rng.integers(-(2**62), 2**62, (5, minhash.LONGS))
+    bits = [rng.integers(-(2**62), 2**62, minhash.LONGS).tolist()] + [groups[i % 5].tolist() for i in range(40)]
+    nodes = spark.createDataFrame([(i, [7], b) for i, b in enumerate(bits)], "node long, bands array<long>, bits array<long>")
+    got = {r.node: r.component for r in minhash.candidate_clusters(nodes, 0.65).collect()}
+    assert got == {i: (i - 1) % 5 + 1 for i in range(1, 41)}
+
+
 def test_keep_one_keeps_columns_and_one_of_each(docs):
     text = "one two three four five six seven"
     out = minhash.keep_one(docs([(2, text), (1, text), (1, text), (3, "other words in this text here"), (None, text)], clash=True))
