@@ -19,7 +19,7 @@ from .plans import dims, grid
 from .plans.grid import RankFilters
 from .sources import io
 from .sources.workspace import fresh_dir
-from .streaming.ingest import ingest_once, progress_of
+from .streaming.ingest import FACT_KEY, facts, ingest_once, ingest_stream, progress_of
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -634,6 +634,142 @@ def _(c):
     return progress_of(c.spark, c.events)
 
 
+def _raw_of(c, layout: str, rows: DataFrame) -> DataFrame:
+    """Rows (rank, line, cells) as a raw table on disk with a header after each row, read back as logical rows."""
+    raw = rows.select(F.lit("f").alias("file"), F.col("rank").cast("int").alias("page_num"), F.col("l_partkey").cast("int").alias("table_idx"), (F.col("l_linenumber") * 2).cast("int").alias("row_idx"), "cells")
+    headers = raw.withColumns({"row_idx": F.col("row_idx") + 1, "cells": F.array(F.lit("Rank"), F.lit("Quota"))})
+    path = fresh_dir(c.spark, "raw")
+    raw.unionByName(headers).write.parquet(path)
+    return rw.logical_rows(io.read_raw(c.spark, path, layout), layout)
+
+
+@query("s2_d2_rows_of_round_2", "SELECT CAST(rank AS INT) AS page_num, CAST(rank AS VARCHAR) AS rank, trim(r1_status) AS r1_status, r2_institute AS institute, r2_remarks AS remarks FROM r2_remarks WHERE rank >= 2")
+def _(c):
+    text = lambda *xs: [F.lit(x) for x in xs]
+    before = [F.col("rank").cast("string"), *text("AI", "Old", "MD"), F.col("r1_status"), F.lit("AI")]
+    after = [F.col("r2_institute"), *text("MS", "UR", "UR", "1"), F.col("r2_remarks")]
+    phantom = F.array(*before, F.lit(None).cast("string"), *after)
+    rows = c.r2_remarks.withColumn("cells", F.when(F.col("l_suppkey") % 2 == 0, phantom).otherwise(F.array(*before, *after)))
+    return _raw_of(c, "r2", rows).select("page_num", "rank", "r1_status", "institute", "remarks")
+
+
+@query("s3_d3_rows_of_round_3", "SELECT CAST(rank AS INT) AS page_num, CAST(rank AS VARCHAR) AS rank, trim(coalesce(r1_status, '-')) AS r1_status, r2_remarks, concat('Inst ', CAST(l_suppkey AS VARCHAR)) AS institute, 'ok' AS remarks FROM r2_remarks WHERE rank >= 4")
+def _(c):
+    text = lambda *xs: [F.lit(x) for x in xs]
+    none = [F.lit(None).cast("string")]
+    parts = [F.col("rank").cast("string"), F.lit("AI")], [*text("Old", "MD"), F.coalesce("r1_status", F.lit("-")), *text("AI", "Mid", "MD"), F.col("r2_remarks"), F.lit("AI")], [F.concat(F.lit("Inst "), F.col("l_suppkey").cast("string")), *text("MS", "UR", "UR", "1", "ok")]
+    whole, one, two = F.array(*parts[0], *parts[1], *parts[2]), F.array(*parts[0], *none, *parts[1], *parts[2]), F.array(*parts[0], *none, *parts[1], *none, *parts[2])
+    k = F.col("l_suppkey") % 3
+    rows = c.r2_remarks.withColumn("cells", F.when(k == 0, whole).when(k == 1, one).otherwise(two))
+    return _raw_of(c, "r3", rows).select("page_num", "rank", "r1_status", "r2_remarks", "institute", "remarks")
+
+
+@query("s10_append_new", "SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN s_name ELSE concat(s_name, '!') END AS s_name FROM supplier")
+def _(c):
+    path = fresh_dir(c.spark, "target")
+    rows = c.supplier.select("s_suppkey", "s_name")
+    rows.where("s_suppkey % 3 = 0").write.parquet(path)
+    batch = rows.withColumn("s_name", F.concat("s_name", F.lit("!")))
+    io.append_new(c.spark.read.parquet(path), batch.unionByName(batch), ["s_suppkey"], path)
+    return c.spark.read.parquet(path)
+
+
+@query("n15_n16_core_names", "SELECT institute_code, CASE institute_code % 3 WHEN 0 THEN 'the university of' ELSE trim(regexp_replace(lower(institute_name), '[^\\w\\s]', ' ', 'g')) END AS core FROM inst")
+def _(c):
+    k, name = F.col("institute_code") % 3, F.col("institute_name")
+    text = F.when(k == 0, F.lit("The Univérsity of")).when(k == 1, F.concat(F.lit("The Collège of "), name, F.lit(" x y"))).otherwise(F.concat(name, F.lit(" (Pvt.) Ltd.")))
+    return c.inst.select("institute_code", text.alias("text")).select("institute_code", t.strip_generic(t.fold_norm(F.col("text"))).alias("core"))
+
+
+@query("n9_areas", "SELECT institute_code, CASE institute_code % 4 WHEN 0 THEN 'Zorvale' WHEN 3 THEN NULL ELSE concat('Quibb', CASE WHEN n_nationkey % 2 = 0 THEN 'ton' ELSE 'ham' END) END AS area FROM inst JOIN nation ON n_name = state")
+def _(c):
+    k = F.col("institute_code") % 4
+    place = F.concat(F.lit("Quibb"), F.when(F.col("n_nationkey") % 2 == 0, F.lit("ton")).otherwise(F.lit("ham")))
+    text = F.when(k == 0, F.concat(F.lit("at Zorvale near "), place)).when(k == 1, F.concat(F.lit("Zorvale at "), place)).when(k == 2, F.concat(F.lit("Zorvales, "), place)).otherwise(F.lit("at the old mill"))
+    words = F.when(k == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("ZORVALE")))
+    return c.inst.join(c.nation, F.col("n_name") == F.col("state")).select("institute_code", t.area_of(text, words).alias("area"))
+
+
+def _page(*lines):
+    """Lines (label, column or None); a line without value is absent."""
+    return F.concat_ws("\n", *[F.when(F.col(v).isNotNull(), F.concat(F.lit(f"{label}: "), F.col(v))) for label, v in lines])
+
+
+def _profiled(c) -> DataFrame:
+    """Institutes with the texts of a profile of two pages; odd codes write their names in lower case."""
+    rows = c.inst.select(
+        F.col("institute_code").cast("string").alias("code"), F.when(F.col("institute_code") % 2 == 0, F.col("institute_name")).otherwise(F.lower("institute_name")).alias("college"), "university",
+        "annual_fee", F.nullif("stipend_yr1", F.lit("")).alias("stipend_yr1"), F.nullif("bond_forfeit", F.lit("")).alias("bond_forfeit"), "bond_years",
+        F.when(F.col("institute_code") % 3 == 0, F.concat(F.lit("http://c"), F.col("institute_code").cast("string"))).alias("website"),
+    )
+    first = _page(("Institute Code", "code"), ("College Name", "college"), ("University", "university"), ("Annual Fee", "annual_fee"))
+    second = _page(("Stipend of the 1st Year", "stipend_yr1"), ("Bond Penalty", "bond_forfeit"), ("Bond Years", "bond_years"), ("Website", "website"))
+    return rows.select("code", first.alias("first"), second.alias("second"))
+
+
+COLLEGE = "CASE WHEN institute_code % 2 = 0 THEN institute_name ELSE lower(institute_name) END AS college"
+
+
+@query("n24_profile_fields", f"SELECT CAST(institute_code AS VARCHAR) AS code, {COLLEGE}, university, annual_fee, nullif(stipend_yr1, '') AS stipend_yr1, nullif(bond_forfeit, '') AS bond_forfeit, bond_years, CASE WHEN institute_code % 3 = 0 THEN concat('http://c', CAST(institute_code AS VARCHAR)) END AS website FROM inst")
+def _(c):
+    return _profiled(c).select(t.fields_of(F.concat_ws("\n", "first", "second"), t.PROFILE).alias("f")).select("f.*")
+
+
+@query("o13_load_profiles", f"SELECT institute_code, {COLLEGE}, CASE WHEN annual_fee <> 'NA' THEN annual_fee END AS annual_fee, nullif(stipend_yr1, '') AS stipend_yr1 FROM inst")
+def _(c):
+    pages = _profiled(c).select(F.col("code").alias("doc"), F.posexplode(F.array("first", "second")).alias("page_num", "text"))
+    return dims.load_profiles(pages, c.inst)
+
+
+@query("o10_build_institutes", "SELECT institute_code, status AS match_status, CASE WHEN status <> 'UNMATCHED' THEN concat(institute_name, ' P') END AS profile_name FROM (SELECT institute_code, institute_name, CASE WHEN match_status = 'EXACT' THEN 'EXACT' WHEN match_status = 'OK_REVIEW' AND institute_code % 3 = 0 THEN 'OK_REVIEW' ELSE 'UNMATCHED' END AS status FROM inst)")
+def _(c):
+    named = F.concat("institute_name", F.lit(" P"))
+    matched = c.inst.where("match_status <> 'UNMATCHED'").withColumn("profile_name", F.when(F.col("match_status") == "EXACT", named).otherwise(F.lit("to be found")))
+    profiles = c.inst.select("pincode", named.alias("college_name"), F.col("address").alias("address_profile"))
+    approved = c.inst.where("match_status = 'OK_REVIEW' and institute_code % 3 = 0").select("institute_code")
+    return dims.build_institutes(matched, profiles, c.inst, approved).select("institute_code", "match_status", "profile_name")
+
+
+COURSES = {  # of the number of a part: its course, and the degree, specialty and type that are in it
+    0: ("'M.D. (Anatomy)'", "'MD'", "'ANATOMY'", "Pre-Clinical"),
+    1: ("concat('m.s. ortho ', p_type)", "'MS'", "concat('ORTHO ', upper(p_type))", "Clinical"),
+    2: ("concat('Diploma in Public Health - ', p_type)", "'DIPLOMA'", "concat('PUBLIC HEALTH ', upper(p_type))", "Non-Clinical"),
+    3: ("concat(p_type, ' Pathology')", "NULL", "concat(upper(p_type), ' PATHOLOGY')", "Para-Clinical"),
+    4: ("'D.N.B.'", "'DNB'", "NULL", "Clinical"),
+}
+
+
+def _of_course(i: int, quote: str = "") -> str:
+    return "CASE p_partkey % 5 " + " ".join(f"WHEN {k} THEN {quote}{row[i]}{quote}" for k, row in COURSES.items()) + " END"
+
+
+@query("n12_n13_degrees_and_types", f"SELECT p_partkey, {_of_course(1)} AS degree, {_of_course(2)} AS specialty, {_of_course(3, chr(39))} AS course_type FROM part")
+def _(c):
+    own = c.part.select("p_partkey", t.norm_course(F.expr(_of_course(0))).alias("course"))
+    return own.select("p_partkey", t.split_course(F.col("course")).alias("s"), t.course_type(F.col("course")).alias("course_type")).select("p_partkey", "s.*", "course_type")
+
+
+@query("o9_course_dim_kept", "SELECT course_norm, CASE WHEN course_norm LIKE 'S%' THEN 'MD' END AS degree, CASE WHEN course_norm LIKE 'S%' THEN 'kept' ELSE course_norm END AS specialty, CASE WHEN course_norm LIKE 'S%' THEN 'Non-Clinical' ELSE 'Clinical' END AS course_type FROM (SELECT DISTINCT course_norm FROM allot WHERE course_norm <> '')")
+def _(c):
+    old = c.courses.where("course_norm like 'S%'").select("course_norm")
+    unused = old.select(F.concat("course_norm", F.lit(" that nobody takes")).alias("course_norm"))
+    existing = old.unionByName(unused).select("course_norm", F.lit("MD").alias("degree"), F.lit("kept").alias("specialty"), F.lit("Non-Clinical").alias("course_type"))
+    return dims.build_courses(c.allot, existing)
+
+
+@query("o8_x1_stream_of_facts", "SELECT DISTINCT CAST(l_orderkey * 10 + l_linenumber AS INT) AS rank, CASE l_partkey % 8 WHEN 0 THEN 'AIQ' WHEN 1 THEN 'AIQ' WHEN 2 THEN 'NRI' WHEN 3 THEN 'DNB' WHEN 4 THEN 'MNG' ELSE 'UNKNOWN' END AS quota_norm, concat('Inst ', CAST(l_suppkey AS VARCHAR)) AS institute_name, CASE l_partkey % 4 WHEN 0 THEN 'Delhi' WHEN 1 THEN 'Odisha' WHEN 2 THEN 'Maharashtra' END AS state FROM raw_alias")
+def _(c):
+    text = lambda x: F.col(x).cast("string")
+    rank = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string")
+    cells = F.array(text("l_linenumber"), rank, F.col("quota_raw"), F.col("institute_raw"), F.lit("M.D."), F.col("category_raw"), F.col("category_raw"), F.lit("-"))
+    raw = c.raw_alias.select(F.lit("f").alias("file"), F.col("l_orderkey").cast("int").alias("page_num"), F.col("l_partkey").cast("int").alias("table_idx"), F.col("l_linenumber").cast("int").alias("row_idx"), cells.alias("cells"))
+    source, target = fresh_dir(c.spark, "arrived"), fresh_dir(c.spark, "facts")
+    raw.write.parquet(source)
+    for own in ("first", "forced"):  # the second run reads all again and adds nothing
+        ingest_stream(c.spark, source, rw.RAW, lambda batch: facts(batch, 2025, 1), target, fresh_dir(c.spark, own), FACT_KEY).awaitTermination()
+    return c.spark.read.parquet(target).select("rank", "quota_norm", "institute_name", "state").distinct()
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
