@@ -33,7 +33,7 @@ WORDS, BANDS, ROWS, BITS = 5, 24, 5, 2
 HASHES = BANDS * ROWS
 MARGIN = 0.2
 BLOCK, APART = 256, 64
-WORD_CACHE = 250_000
+WORD_CACHE, LONG_WORD = 250_000, 64  # words kept, and the longest of them in bytes
 _U64 = np.uint64
 _RNG = np.random.default_rng(20_240_229)
 _MULTIPLY = (_RNG.integers(0, 2**31, HASHES, np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
@@ -63,7 +63,9 @@ def shingle_set(text: bytes) -> np.ndarray:
     for w in words:
         h = get(w)
         if h is None:
-            h = _words[w] = xxhash.xxh64_intdigest(w)
+            h = xxhash.xxh64_intdigest(w)
+            if len(w) <= LONG_WORD:
+                _words[w] = h
         hashes.append(h)
     h = np.array(hashes, np.uint64)
     n = len(h) - WORDS + 1

@@ -34,7 +34,7 @@ ANCHORS = frozenset(
     "el los las y del se por con una su para lo al".split()
 )
 CHAIN, RUN = 3, 12
-WORD_CACHE = 300_000
+WORD_CACHE, LONG_WORD = 300_000, 64  # words kept, and the longest of them in characters
 _U64 = np.uint64
 _words: dict[str, int] = {}
 
@@ -64,7 +64,9 @@ def signatures(text: str) -> np.ndarray:
     for w in text.lower().split():
         c = get(w)
         if c is None:
-            c = _words[w] = _word(w)
+            c = _word(w)
+            if len(w) <= LONG_WORD:
+                _words[w] = c
         codes.append(c)
     words = np.array(codes, np.uint64)
     words = words[words != 0]
@@ -185,6 +187,10 @@ def compare_with_edited(docs: DataFrame) -> DataFrame:
     ordered = own.unionByName(next_first).repartition(n // 4, "range").sortWithinPartitions("range", "ahead", F.desc("k"), F.desc("h"))
 
     def run(batches):
+        with common.task_memory(_words):
+            yield from compared(batches)
+
+    def compared(batches):
         before = None
         for b in batches:
             out = []
