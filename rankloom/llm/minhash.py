@@ -203,7 +203,7 @@ def candidate_clusters(nodes: DataFrame, least: float) -> DataFrame:
     labelled = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     of_hub = labelled.where("node = hub").select("bucket", F.col("component").alias("hub_component"))
     labelled = common.staged(labelled.where("node <> hub").join(of_hub, "bucket").withColumn("apart", F.col("component") != F.col("hub_component")), "members")
-    # the apart nodes of a bucket are dealt into blocks, and what they meet goes to each block: no bucket is one task
+    # the apart nodes of a bucket are dealt into blocks, and what they meet goes to each block: the pairs of a bucket are spread over tasks
     apart = labelled.where("apart")
     sizes = apart.groupBy("bucket").agg(F.ceil(F.count("*") / APART).cast("int").alias("blocks"))
     left = apart.join(sizes, "bucket").select("bucket", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.col("node").alias("a"), F.col("component").alias("of_a"))
