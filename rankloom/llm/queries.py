@@ -20,5 +20,46 @@ def queries() -> dict:
     }
 
 
+OP7 = """
+WITH RECURSIVE sound AS (
+    SELECT vec_id, label, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0 AND len(list_filter(embedding, lambda v: v <> 0)) > 0
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b ON a.label = b.label AND len(a.x) = len(b.x) AND a.vec_id <> b.vec_id
+    WHERE list_cosine_similarity(a.x, b.x) >= 0.98
+), reach AS (
+    SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, l.b FROM reach r JOIN links l ON r.y = l.a
+), least AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x),
+degrees AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(d.n, 0) AS n_links, component_id, coalesce(e.vec_id = component_id, true) AS kept
+FROM embeddings e LEFT JOIN least ON e.vec_id = x LEFT JOIN degrees d ON e.vec_id = d.a
+"""
+
+OP8 = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+    FROM documents
+), placed AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM words WHERE len(w) >= 5),
+chains AS (
+    SELECT doc_id, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o || ' ' || lead(w, 4) OVER o AS shingle
+    FROM placed WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), own AS (
+    SELECT DISTINCT doc_id, shingle FROM chains WHERE shingle IS NOT NULL
+    UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM words WHERE len(w) BETWEEN 1 AND 4
+), sizes AS (SELECT doc_id, count(*) AS n FROM own GROUP BY doc_id),
+shingles AS (SELECT doc_id, n, shingle FROM own JOIN sizes USING (doc_id)),
+links AS (
+    SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b
+    ON a.shingle = b.shingle AND a.doc_id < b.doc_id AND 100 * a.n >= 85 * b.n AND 100 * b.n >= 85 * a.n
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reach AS (
+    SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, if(r.y = l.a, l.b, l.a) FROM reach r JOIN links l ON r.y = l.a OR r.y = l.b
+), least AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, coalesce(d.doc_id = component_id, true) AS kept
+FROM documents d LEFT JOIN least ON d.doc_id = x LEFT JOIN sizes ON d.doc_id = sizes.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_pivot_index": OP7, "op8_minhash_dedup": OP8}

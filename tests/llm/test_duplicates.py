@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import os
 import random
 import re
 
+import duckdb
 import numpy as np
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankloom.llm import graph, minhash, pivot_index, spot_signatures
+from rankloom.llm import graph, minhash, pivot_index, queries, spot_signatures
 
 
 def shingles(text):
@@ -197,3 +199,33 @@ def test_spot_duplicates_are_those_of_brute_force(docs, odd, monkeypatch):
     assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == want
     assert len({v for v in want.values()}) < len(want)
     assert spot_signatures.near_duplicates(docs([])).count() == 0
+
+
+def cells(rows):
+    return sorted(repr(tuple(r)) for r in rows)
+
+
+def same_as_sql(spark, folder, name, table):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet{'/*.parquet' if os.path.isdir(f'{folder}/{table}.parquet') else ''}'")
+    want = con.sql(queries.oracle_sql()[name])
+    assert cells(queries.queries()[name](spark, folder).select(*want.columns).collect()) == cells(want.fetchall())
+
+
+def test_op8_is_its_sql(spark):
+    same_as_sql(spark, "/root/testdata/sf0.01", "op8_minhash_dedup", "documents")
+
+
+def test_op7_is_its_sql(spark, tmp_path):
+    same_as_sql(spark, "/root/testdata/sf0.01", "op7_pivot_index", "embeddings")
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(60):
+        base = rng.standard_normal(16)
+        for _ in range(int(rng.integers(1, 6))):
+            v = base + rng.standard_normal(16) * rng.choice([0.0, 0.05, 0.12, 0.3])
+            rows.append((len(rows), [float(np.float32(x)) for x in v], int(rng.integers(0, 2)) if k % 9 else None))
+    rows += [(1000, None, 0), (1001, [], 0), (1002, [0.0] * 16, 0), (1003, [0.0] * 16, 0), (1004, [float("nan")] * 16, 0), (1005, [1.0, None], 0), (1006, [float("inf")] * 16, 1), (1007, [1.0] * 3, 0), (1008, [2.0] * 3, 0)]
+    folder = str(tmp_path)
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
+    same_as_sql(spark, folder, "op7_pivot_index", "embeddings")
