@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, is_missing
+from ..sources.workspace import staged
 
 GRID = ["year", "counselling_type", "counselling_state", "institute_name", "institute_pincode", "state", "course_norm", "quota_norm", "allotted_category_norm"]
 
@@ -96,8 +97,14 @@ def pair_pages(df: DataFrame, part: list[str], order: str, text: str) -> DataFra
 
 
 def numbered(df: DataFrame, order: list[Column]) -> DataFrame:
-    """Of a report that is small by its nature."""
-    return df.withColumn("no", F.row_number().over(Window.orderBy(*order)))
+    """Rows are numbered from 1 within ranges of the order, on top of the rows of the ranges before; of ties, by a hash of
+    the row, so that many ties don't lie in one range. Only the counts of the ranges pass through one task."""
+    key = [*order, F.xxhash64(*df.columns)]
+    ranged = staged(df.repartitionByRange(*key).withColumn("_range", F.spark_partition_id()), "numbered")
+    before = F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("n")).select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    no = F.row_number().over(Window.partitionBy("_range").orderBy(*key)) + F.col("_before")
+    return ranged.join(counts, "_range").withColumn("no", no.cast("int")).select(*df.columns, "no")
 
 
 def sort_rows(df: DataFrame, key: Column, direction: str = "asc", nulls: str = "last", tie: list[str] = ()) -> DataFrame:

@@ -40,7 +40,7 @@ def unmatched_report(mapping: DataFrame, allotments: DataFrame) -> DataFrame:
     """Names without match, by name, numbered from 1, with a place."""
     place = jn.first_attrs(allotments.select("institute_name", "state", "institute_pincode"), "institute_name", ["state", "institute_pincode"], ["state", "institute_pincode"])
     names = mapping.where(F.col("match_confidence") == "UNKNOWN").select(F.col("db_institute_name").alias("institute_name"))
-    return numbered(names.join(place, "institute_name", "left"), [F.col("institute_name")])
+    return numbered(names.join(place, "institute_name", "left"), [F.col("institute_name")]).orderBy("no")
 
 
 def append_new(target: DataFrame, batch: DataFrame, key: list[str], path: str) -> None:

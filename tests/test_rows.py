@@ -8,6 +8,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from rankloom.operators import aggregates as ag
 from rankloom.operators import joins as jn
 from rankloom.operators import outcome as oc
 from rankloom.operators import rows as rw
@@ -165,3 +166,13 @@ def test_drill_down_pushes_its_filters(spark, tmp_path):
     got = grid.drill_down(SimpleNamespace(allot=fact), key)
     assert [(r["rank"], r["is_closing"]) for r in got.collect()] == [(7, False), (9, True)]
     assert "EqualTo(year,1995)" in spark._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "formatted")
+
+
+def test_numbers_follow_the_order(spark):
+    rows = [(None if k % 50 == 7 else "same" if k % 3 == 0 else f"n{k * 37 % 101:03d}", k) for k in range(400)]
+    df = spark.createDataFrame(rows, "name string, k int")
+    got = sorted(ag.numbered(df, [F.col("name")]).collect(), key=lambda r: r["no"])
+    assert [r["no"] for r in got] == list(range(1, 401))
+    assert [r["name"] for r in got] == sorted((r[0] for r in rows), key=lambda n: (n is not None, n or ""))
+    assert sorted(r["k"] for r in got) == list(range(400))
+    assert ag.numbered(df.where("k < 0"), [F.col("name")]).collect() == []
