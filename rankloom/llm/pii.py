@@ -10,8 +10,9 @@ the gender that the same last name has elsewhere in the text, if that is one. Na
 
 Distinct canonical forms of the whole corpus are checked for surrogates that collide, or that are themselves an entity of
 the corpus; the later form of a collision takes its next attempt until none is left. With each attempt, names have a syllable
-more, and local parts of e-mails, from the fourth on, a letter more, so that their number never runs out; a kind of fixed
-length whose surrogates do run out is an error after ``ATTEMPTS``. If the texts that hold such a form are at most
+more, and local parts of e-mails, secrets and keys, from the fourth on, a letter more; formats of fixed length (numbers and
+addresses) have, after ``FIXED`` attempts, a digit more. So no kind runs out of surrogates. A value without a letter or digit (``password: ________``)
+is no secret. If the texts that hold such a form are at most
 ``BROADCAST``, they are broadcast as hashes; else only texts with an entity are joined to it. Text is never shuffled otherwise.
 
 Cases: null and empty text stays as it is; text without entity is returned unchanged; null and repeated doc_ids are kept;
@@ -29,15 +30,16 @@ from pyspark.sql import functions as F
 from . import common
 
 KEY_SETTING = "spark.rankloom.surrogateKey"
-ATTEMPTS, BROADCAST = 40, 50_000
+#: Attempts after which fixed formats are lengthened; texts whose attempts are broadcast.
+FIXED, BROADCAST = 20, 50_000
 
 #: The patterns of the kinds of entities (Java syntax), tried in this order.
-SECRET = r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\b[\"']?\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9+/_=-]{8,}+[\"']?"
+SECRET = r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\b[\"']?\s{0,2}[=:]\s{0,2}[\"']?)(?=[+/_=-]*+[A-Za-z0-9])[A-Za-z0-9+/_=-]{8,}+[\"']?"
 HEX = "[0-9A-Fa-f]{1,4}"
 PATTERNS = {
     "secret": SECRET,
     "email": r"(?<![\w.%+-])[\w.%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "access_key": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\bgh[opsu]_[A-Za-z0-9]{36,}+|\bsk-[A-Za-z0-9_-]{20,}+|\bAIza[\w-]{35,}+|(?<![\w-])eyJ[\w-]{8,}+\.[\w-]{8,}+\.[\w-]{8,}+",
+    "access_key": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\bgh[opsu]_[A-Za-z0-9]{36,}+|\bsk-(?=[_-]*+[A-Za-z0-9])[A-Za-z0-9_-]{20,}+|\bAIza(?=[_-]*+[A-Za-z0-9])[\w-]{35,}+|(?<![\w-])eyJ[\w-]{8,}+\.[\w-]{8,}+\.[\w-]{8,}+",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "card": r"(?<![\w.+-])(?:\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-])",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)",
@@ -48,7 +50,7 @@ PATTERNS = {
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without any of these has no entity.
-TRIGGER = r"[0-9@=:]|(?<!\w)(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señora?|г-н|г-жа|господин|госпожа|κύριος|κυρία)\b"
+TRIGGER = r"[0-9@=:]|(?:AKIA|ASIA)[A-Z]|gh[opsu]_|sk-|AIza|eyJ|(?<!\w)(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señora?|г-н|г-жа|господин|госпожа|κύριος|κυρία)\b"
 #: Titles by gender, syllables and endings of surrogate names, letters of other scripts in the same order.
 FEMALE = r"^(?:Mrs|Ms|Miss|Frau|Madame|Mme|Señora|г-жа|госпожа|κυρία)\b"
 MALE = r"^(?:Mr|Herr|Monsieur|Señor|г-н|господин|κύριος)\b"
@@ -136,16 +138,18 @@ def surrogate_of(kind: Column, canon: Column, attempt: Column, key: str) -> Colu
         local, domain = F.substring_index(canon, "@", 1), F.substring_index(canon, "@", -1)
         top = F.regexp_extract(domain, r"(\.[^.]*)$", 1)
         host = F.substring(domain, F.lit(1), F.length(domain) - F.length(top))
-        more = F.when(attempt > 3, F.array_join(F.transform(F.sequence(F.lit(1), attempt - 3), lambda i: _letter("abcdefghijklmnopqrstuvwxyz", _number(h, i + 20))), "")).otherwise("")
+        added = lambda after, draw: F.when(attempt > after, F.array_join(F.transform(F.sequence(F.lit(1), attempt - after), lambda i: draw(_number(h, i + 20))), "")).otherwise("")
+        letters = added(3, lambda n: _letter("abcdefghijklmnopqrstuvwxyz", n))
+        digits = added(FIXED, lambda n: (n % 10).cast("string"))
         hosts = let(_hash(F.lit("domain"), domain, F.lit(0), key), lambda g: _redrawn(host, g))
         # the area code and exchange of a phone number don't begin with 0 or 1
         phone = F.array_join(F.transform(F.split(canon, ""), lambda c, i: F.when((F.length(canon) - i).isin(10, 7), _number(h, i) % 8 + 2).otherwise(_number(h, i) % 10).cast("string")), "")
         return (
-            F.when(kind == "email", F.concat(_redrawn(local, h), more, F.lit("@"), hosts, top)).when(kind == "ip", octets).when(kind == "card", _card(canon, h))
-            .when(kind == "phone", phone).when(kind == "name", _name(canon, h, attempt))
-            .when(kind == "access_key", F.concat(F.substring(canon, F.lit(1), F.lit(4)), _redrawn(F.substring(canon, F.lit(5), F.length(canon)), h)))
-            .when(kind == "iban", F.concat(F.substring(canon, F.lit(1), F.lit(2)), _redrawn(F.substring(canon, F.lit(3), F.length(canon)), h)))
-            .otherwise(_redrawn(canon, h))
+            F.when(kind == "email", F.concat(_redrawn(local, h), letters, F.lit("@"), hosts, top)).when(kind == "ip", F.concat(octets, digits)).when(kind == "card", F.concat(_card(canon, h), digits))
+            .when(kind == "phone", F.concat(phone, digits)).when(kind == "name", _name(canon, h, attempt))
+            .when(kind == "access_key", F.concat(F.substring(canon, F.lit(1), F.lit(4)), _redrawn(F.substring(canon, F.lit(5), F.length(canon)), h), letters))
+            .when(kind == "iban", F.concat(F.substring(canon, F.lit(1), F.lit(2)), _redrawn(F.substring(canon, F.lit(3), F.length(canon)), h), digits))
+            .when(kind == "secret", F.concat(_redrawn(canon, h), letters)).otherwise(F.concat(_redrawn(canon, h), digits))
         )
     return let(_hash(kind, canon, attempt, key), made)
 
@@ -208,12 +212,14 @@ def _cased(original: Column, made: Column) -> Column:
     return F.array_join(F.zip_with(F.split(original, ""), F.split(made, ""), lambda c, m: F.when(c.rlike("[A-Z]"), F.upper(m)).otherwise(m)), "")
 
 
-def _refilled(v: Column, made: Column) -> Column:
-    """The last digits or letters of v, from the right, taken from ``made``; separators stay."""
+def _refilled(v: Column, longer: Column, size: Column) -> Column:
+    """The last digits or letters of v, from the right, taken from the first ``size`` of ``longer``, and after them the rest of
+    it; separators stay."""
+    made = F.substring(longer, F.lit(1), size)
     def place(c, i):
         right = F.length(F.regexp_replace(F.substring(v, i + 1, F.length(v)), "[^0-9A-Za-z]", ""))
         return F.when(c.rlike("[0-9A-Za-z]") & (right <= F.length(made)), F.substring(made, F.length(made) - right + 1, F.lit(1))).otherwise(c)
-    return F.array_join(F.transform(F.split(v, ""), place), "")
+    return F.concat(F.array_join(F.transform(F.split(v, ""), place), ""), F.substring(longer, size + 1, F.length(longer)))
 
 
 def rendered(v: Column, gendered: Column, attempts: Column | None, key: str) -> Column:
@@ -228,7 +234,7 @@ def rendered(v: Column, gendered: Column, attempts: Column | None, key: str) ->
         named = F.transform(F.arrays_zip(parts.alias("p"), _name_words(v).alias("w")), lambda x: let(made(x["p"]), lambda m: F.when(x["w"] == F.upper(x["w"]), F.upper(m)).otherwise(F.initcap(m))))
         return (
             F.when(kind == "name", F.concat_ws(" ", title, F.array_join(named, " "))).when(kind == "secret", F.concat(before, first, after))
-            .when(kind == "email", let(first, lambda m: _cased(v, m))).when(kind.isin("phone", "card", "national_id", "iban"), let(first, lambda m: _refilled(v, m)))
+            .when(kind == "email", let(first, lambda m: _cased(v, m))).when(kind.isin("phone", "card", "national_id", "iban"), let(first, lambda m: _refilled(v, m, F.length(F.get(parts, F.lit(0))["canon"]))))
             .when((kind == "ipv6") & v.rlike("[A-F]"), F.upper(first)).otherwise(first)
         )
     return let(canonical(v, gendered), of)
@@ -251,7 +257,7 @@ def collisions(found: DataFrame, key: str) -> DataFrame | None:
     """(kind, canon, attempt) of the forms that need another attempt than the first, or None."""
     current = common.staged(found.withColumn("attempt", F.lit(0)).withColumn("made", surrogate_of(F.col("kind"), F.col("canon"), F.col("attempt"), key)), "surrogates")
     again = None
-    for _ in range(ATTEMPTS):
+    while True:  # each attempt from some on is longer, so that this ends
         first = current.groupBy("kind", "made").agg(F.min("canon").alias("owner"), F.count("*").alias("n")).where("n > 1").drop("n")
         later = current.join(first, ["kind", "made"]).where("canon <> owner").select("kind", "canon")
         real = current.select("kind", F.when(F.col("kind") == "name", F.substring_index("canon", "|", 1)).otherwise(F.col("canon")).alias("made")).distinct()
@@ -262,7 +268,6 @@ def collisions(found: DataFrame, key: str) -> DataFrame | None:
         tried = current.join(losers, ["kind", "canon"], "left").withColumn("attempt", F.col("attempt") + F.when(F.col("lost"), 1).otherwise(0))
         current = common.staged(tried.select("kind", "canon", "attempt", surrogate_of(F.col("kind"), F.col("canon"), F.col("attempt"), key).alias("made")), "surrogates")
         again = current.where("attempt > 0").select("kind", "canon", "attempt")
-    raise ValueError(f"no distinct surrogates left of the kinds {sorted(r.kind for r in losers.select('kind').distinct().collect())}")
 
 
 def pseudonymised(docs: DataFrame, key: str | None = None, most_broadcast: int = BROADCAST) -> DataFrame:

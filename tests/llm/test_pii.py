@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 import time
 
-import pytest
 from pyspark.sql import functions as F
 
 from rankloom.llm import pii
@@ -118,11 +117,27 @@ def test_names_never_run_out(docs, monkeypatch):
         assert (got[1000], got[1001], got[1002], len(got)) == (None, "nobody", "at 12:30", 403)
 
 
-def test_fixed_formats_that_run_out_are_an_error(docs, monkeypatch):
-    monkeypatch.setattr(pii, "ATTEMPTS", 2)
-    monkeypatch.setattr(pii, "_redrawn", lambda value, h: F.lit("same"))
-    with pytest.raises(ValueError, match="secret"):
-        replaced(docs, "password=aaaaaaaa1 x", "password=bbbbbbbb2 x")
+def test_formats_that_run_out_are_lengthened(docs, monkeypatch):
+    """Surrogates that are all the same at first, of every kind: they end up distinct and the job doesn't end."""
+    monkeypatch.setattr(pii, "FIXED", 1)
+    monkeypatch.setattr(pii, "_redrawn", lambda value, h: F.repeat(F.lit("7"), F.length(value)))
+    monkeypatch.setattr(pii, "_card", lambda canon, h: F.lit("4" * 16))
+    texts = [f"{t}{i:02d} x" for t in ("password=aaaaaaa", "ssn 123-45-67", "pay 41111111111111") for i in range(15)] + [f"key AKIAMD62HKU6VBLCCC{c}Z x" for c in "ABCDEFGHIJ"]
+    got = replaced(docs, *texts)
+    assert len(set(got)) == len(texts) and not set(got) & set(texts)
+
+
+def test_values_of_few_letters_or_none(docs):
+    """Symbols alone are no secret; values with one digit run out of surrogates of their length and are lengthened."""
+    symbols = ["password: ________", "token = ========", "secret: --------", "sk-____________________ and no digit", "pwd: +/+/+/+/"]
+    few = [f"token ========{i}" for i in range(10)] + ["api_key: ________1", "password=aaaaaaaa"]
+    keys = ["sk-____________________7 y", "mine is sk-abcdefghijklmnopqrstuvwx here", "mine is ghp_abcdefghijklmnopqrstuvwxyzabcdefghij here", "eyJ________.________.________ z"]
+    got = replaced(docs, *symbols, *few, *keys)
+    assert got[: len(symbols)] == symbols
+    changed = got[len(symbols) :]
+    assert len(set(changed)) == len(changed) and not set(changed) & {*few, *keys}
+    assert all(g.startswith(w.split("=")[0][:5]) for g, w in zip(changed, few))
+    assert "abcdefghij" not in changed[-2] + changed[-3] and changed[-2].startswith("mine is ghp_")
 
 
 def test_key_comes_from_the_caller_or_the_session(spark, docs):
