@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_automaton, language_mix, masked_lm, minhash, packing, pii, pivot_index, spot_signatures, token_files, toxicity
+from . import bpe_automaton, language_mix, masked_lm, minhash, packing, pii, pivot_index, spot_signatures, token_files, toxicity, winnowing
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_minhash_dedup": minhash.op8_minhash_dedup,
         "op9_token_files": token_files.op9_token_files,
         "op10_spot_signatures": spot_signatures.op10_spot_signatures,
+        "op12_winnowing": winnowing.op12_winnowing,
     }
 
 
@@ -60,6 +61,27 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, coalesce(d.doc_id =
 FROM documents d LEFT JOIN least ON d.doc_id = x LEFT JOIN sizes ON d.doc_id = sizes.doc_id
 """
 
+OP12 = r"""
+WITH items AS (
+    SELECT item_id, w, least(10, len(w)) AS m
+    FROM (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark)
+    WHERE len(w) > 0
+), windows AS (
+    SELECT DISTINCT item_id, m, array_to_string(w[s:s + m - 1], ' ') AS win FROM (SELECT item_id, w, m, unnest(generate_series(1, len(w) - m + 1)) AS s FROM items)
+), docs AS (
+    SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents
+), starts AS (
+    SELECT doc_id, m, s, array_to_string(w[s:s + m - 1], ' ') AS win
+    FROM (SELECT doc_id, m, w, unnest(generate_series(1, len(w) - m + 1)) AS s FROM docs, (SELECT DISTINCT m FROM items) WHERE len(w) >= m)
+), hits AS (SELECT doc_id, s, m, item_id FROM starts JOIN windows USING (m, win)),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(s, s + m - 1)) AS p FROM hits) GROUP BY doc_id),
+listed AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hits WHERE item_id IS NOT NULL) GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN covered c ON d.doc_id = c.doc_id LEFT JOIN listed l ON d.doc_id = l.doc_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_pivot_index": OP7, "op8_minhash_dedup": OP8}
+    return {"op7_pivot_index": OP7, "op8_minhash_dedup": OP8, "op12_winnowing": OP12}
