@@ -70,11 +70,12 @@ PIN_RANGES = [
 ]
 
 #: Words of addresses that name no area.
-GENERIC = (
-    "ROAD STREET NAGAR COLONY PLOT SECTOR BLOCK WARD SURVEY NEAR OPPOSITE OPP MAIN CROSS LANE AVENUE MARG PHASE FLOOR BUILDING POST DISTRICT TALUK TEHSIL "
-    "VILLAGE TOWN HOSPITAL MEDICAL COLLEGE INSTITUTE UNIVERSITY INDIA BHARAT STATION RAILWAY JUNCTION EAST WEST NORTH SOUTH GATE CHOWK BAZAAR BAZAR MARKET "
-    "PARK GARDEN"
-).split()
+GENERIC = [
+    "ROAD", "STREET", "NAGAR", "COLONY", "PLOT", "SECTOR", "BLOCK", "WARD", "SURVEY", "NEAR", "OPPOSITE", "OPP", "MAIN", "CROSS", "LANE", "AVENUE",
+    "MARG", "PHASE", "FLOOR", "BUILDING", "POST", "DISTRICT", "TALUK", "TEHSIL", "VILLAGE", "TOWN", "HOSPITAL", "MEDICAL", "COLLEGE", "INSTITUTE",
+    "UNIVERSITY", "INDIA", "BHARAT", "STATION", "RAILWAY", "JUNCTION", "EAST", "WEST", "NORTH", "SOUTH", "GATE", "CHOWK", "BAZAAR", "BAZAR", "MARKET",
+    "PARK", "GARDEN",
+]
 
 #: Beginnings of address parts that aren't cities.
 ADDRESS_START = r"(?i)^(plot|sector|block|door|flat|house|no\.|no |pin|survey|ward|ph\.|ph |near|opp|opposite)\b"
@@ -106,3 +107,10 @@ COURSE_TYPES = [
 
 #: Placeholders for "nothing" in cells.
 DASHES = ["-", "—", "–", "NA", "N/A", ""]
+
+#: Words of institute names that tell little.
+STOP_WORDS = [
+    "hospital", "medical", "college", "institute", "university", "govt", "government", "district", "general", "super", "speciality", "specialty",
+    "centre", "center", "research", "national", "regional", "state", "pvt", "ltd", "private", "limited", "trust", "foundation", "society", "memorial",
+    "of", "the", "and", "in", "at",
+]

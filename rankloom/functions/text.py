@@ -168,14 +168,7 @@ def fold_norm(c: Column, fold=ascii_fold) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(fold(c) if fold else c), r"[^\w\s]", " "), r"\s+", " "))
 
 
-#: Words of institute names that tell little.
-STOP_WORDS = (
-    "college hospital institute medical university of and the for research centre center sciences science govt government dr pvt ltd trust "
-    "foundation national district general super speciality postgraduate"
-).split()
-
-
-def strip_generic(c: Column, stop: list[str] = STOP_WORDS) -> Column:
+def strip_generic(c: Column, stop: list[str] = t.STOP_WORDS) -> Column:
     """Without stop words and one-letter tokens; if none is left, all."""
     kept = F.filter(F.split(c, " "), lambda w: ~w.isin(stop) & (F.length(w) > 1))
     return F.when(F.size(kept) == 0, c).otherwise(F.array_join(kept, " "))

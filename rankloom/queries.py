@@ -681,6 +681,16 @@ def _(c):
     return c.inst.select("institute_code", text.alias("text")).select("institute_code", t.strip_generic(t.fold_norm(F.col("text"))).alias("core"))
 
 
+TELLS_LITTLE = "hospital medical college institute university govt government district general super speciality specialty centre center research national regional state pvt ltd private limited trust foundation society memorial of the and in at".split()
+
+
+@query("n16_each_stop_word", "SELECT p_partkey, concat('dr ', trim(regexp_replace(regexp_replace(lower(p_name), '[^\w\s]', ' ', 'g'), '\s+', ' ', 'g')), ' sciences') AS core, list_value('" + "', '".join(TELLS_LITTLE) + "')[p_partkey % 31 + 1] AS word FROM part")
+def _(c):
+    word = F.element_at(F.array(*map(F.lit, TELLS_LITTLE)), (F.col("p_partkey") % 31 + 1).cast("int"))
+    text = F.concat(F.lit("Dr. "), F.initcap(word), F.lit(" "), F.col("p_name"), F.lit(" x Sciences, "), F.upper(word))
+    return c.part.select("p_partkey", t.strip_generic(t.fold_norm(text)).alias("core"), word.alias("word"))
+
+
 @query("n9_areas", "SELECT institute_code, CASE institute_code % 4 WHEN 0 THEN 'Zorvale' WHEN 3 THEN NULL ELSE concat('Quibb', CASE WHEN n_nationkey % 2 = 0 THEN 'ton' ELSE 'ham' END) END AS area FROM inst JOIN nation ON n_name = state")
 def _(c):
     k = F.col("institute_code") % 4
