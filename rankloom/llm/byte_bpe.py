@@ -12,6 +12,7 @@ import json
 import os
 import re
 import sys
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -70,14 +71,27 @@ def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return at
 
 
+def chunked(texts: pa.Array):
+    """Of the texts' chunks: offsets of each text's, their number, and the distinct ones by what comes before them (nothing or a space)."""
+    lists = _cut(pc.fill_null(texts, ""))
+    offsets, chunks = np.asarray(lists.offsets), lists.flatten()
+    offsets = offsets - offsets[0]
+    first = np.zeros(len(chunks), bool)
+    first[offsets[:-1]] = True
+    return offsets, len(chunks), [(before, some, chunks.filter(pa.array(some)).dictionary_encode()) for before, some in (("", first), (" ", ~first))]
+
+
 class ByteBpe:
-    def __init__(self, path: str):
+    """``plain``: strings of special tokens in a text are ordinary text."""
+
+    def __init__(self, path: str, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.tokenizer.encode_special_tokens = plain
         spec = json.loads(self.tokenizer.to_str())
         split = spec["pre_tokenizer"]
         if spec["normalizer"] or split["type"] != "ByteLevel" or split["add_prefix_space"] or not split["use_regex"]:
@@ -112,24 +126,22 @@ class ByteBpe:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, without special tokens added, and where each text's begin, then their
         end. Null and empty text: no ids."""
+        return self.encode_chunks(*chunked(texts))
+
+    def encode_chunks(self, offsets: np.ndarray, n: int, parts: list) -> tuple[np.ndarray, np.ndarray]:
         for before, chunk in self.long:
             self.known[before].pop(chunk, None)
         self.long = []
         if self.held > CACHE_BYTES:
             self._forget()
-        lists = _cut(pc.fill_null(texts, ""))
-        offsets, chunks = np.asarray(lists.offsets), lists.flatten()
-        offsets = offsets - offsets[0]
-        first = np.zeros(len(chunks), bool)
-        first[offsets[:-1]] = True
-        number = np.empty(len(chunks), np.int64)
-        for before, some in (("", first), (" ", ~first)):
-            number[some] = self._numbers(chunks.filter(pa.array(some)), before)
+        number = np.empty(n, np.int64)
+        for before, some, coded in parts:
+            number[some] = self._numbers(coded, before)
         size = self.size[number]
         return self.flat[_ranges(self.begin[number], size)], np.concatenate([[0], np.cumsum(size)])[offsets]
 
-    def _numbers(self, chunks: pa.Array, before: str) -> np.ndarray:
-        coded, known = chunks.dictionary_encode(), self.known[before]
+    def _numbers(self, coded: pa.DictionaryArray, before: str) -> np.ndarray:
+        known = self.known[before]
         distinct = _strings(coded.dictionary)
         number = np.array([known.get(c, -1) for c in distinct], np.int64)
         new = np.flatnonzero(number < 0)
@@ -170,14 +182,44 @@ class ByteBpe:
         self.held += sum(map(sys.getsizeof, chunks)) + flat.nbytes + ENTRY_BYTES * len(chunks)
 
 
-_LOADED: dict[str, ByteBpe] = {}
+class PieceBpe(ByteBpe):
+    """Ids of a sentencepiece model, by the same chunks, for texts that begin with the space that the model adds. No piece of
+    such a model crosses from a non-space into the space after it, which is checked."""
+
+    def __init__(self, path: str):
+        from sentencepiece import SentencePieceProcessor
+
+        self.model = SentencePieceProcessor(model_file=path)
+        self.pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+        if any("\u2581" in p.lstrip("\u2581") for p in self.pieces):
+            raise ValueError(f"{path} has pieces that cross from one word into the next")
+        self.dtype = np.dtype("<u2" if len(self.pieces) <= 1 << 16 else "<u4")
+        self.space = [self.model.piece_to_id("\u2581")]
+        self.clear()
+
+    def _learn(self, missing: pa.Array, before: str) -> None:
+        chunks = _strings(missing)
+        if not before:
+            if any(chunks):
+                raise ValueError("a text that doesn't begin with a space")
+            self._keep(chunks, before, np.zeros(0, self.dtype), np.zeros(len(chunks), np.int64))
+            return
+        for low in range(0, len(chunks), 4096):
+            part = chunks[low : low + 4096]
+            ids = [own or self.space for own in self.model.encode(part, num_threads=1)]  # to an empty string, the model adds no space
+            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            self._keep(part, before, np.fromiter(chain.from_iterable(ids), self.dtype, int(size.sum())), size)
+
+
+_LOADED: dict[tuple, ByteBpe] = {}
 
 
-def loaded(path: str) -> ByteBpe:
-    """One encoder for a worker process and vocabulary file."""
-    if path not in _LOADED:
-        _LOADED[path] = ByteBpe(path)
-    return _LOADED[path]
+def loaded(path: str, kind=ByteBpe, **settings) -> ByteBpe:
+    """One encoder for a worker process, vocabulary file and settings."""
+    key = (path, kind, *settings.items())
+    if key not in _LOADED:
+        _LOADED[key] = kind(path, **settings)
+    return _LOADED[key]
 
 
 def slices(texts: pa.Array, most_bytes: int = 4_000_000, most_rows: int = 2_000):

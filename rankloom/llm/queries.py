@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_automaton, language_mix, masked_lm, minhash, packing, pii, pivot_index, spot_signatures, token_files, toxicity, winnowing
+from . import alignment, bpe_automaton, language_mix, masked_lm, minhash, packing, pii, pivot_index, spelling, spot_signatures, token_files, toxicity, winnowing
 
 
 def queries() -> dict:
@@ -17,7 +17,9 @@ def queries() -> dict:
         "op8_minhash_dedup": minhash.op8_minhash_dedup,
         "op9_token_files": token_files.op9_token_files,
         "op10_spot_signatures": spot_signatures.op10_spot_signatures,
+        "op11_spelling_variants": spelling.op11_spelling_variants,
         "op12_winnowing": winnowing.op12_winnowing,
+        "op13_cross_alignment": alignment.op13_cross_alignment,
     }
 
 
