@@ -66,6 +66,14 @@ SELECT CAST(l_orderkey AS BIGINT) AS l_orderkey, CAST(l_linenumber AS BIGINT) AS
        concat('Inst ', CAST(l_suppkey AS STRING), ', ',
               CASE l_partkey % 4 WHEN 0 THEN 'New Delhi' WHEN 1 THEN 'Orissa' WHEN 2 THEN 'Pune 411001' ELSE 'Nowhere' END) AS institute_raw
 FROM lineitem""",
+    "ballots": """
+SELECT cand, p, s,
+       CASE p % 8 WHEN 0 THEN 'A.I.Q.' WHEN 1 THEN ' all  india ' WHEN 2 THEN 'N.R.I.' WHEN 3 THEN 'dnb-post mbbs' WHEN 4 THEN 'Management Quota' WHEN 5 THEN '' WHEN 6 THEN 'zzz' END AS quota_raw,
+       CASE s % 6 WHEN 0 THEN 'UR' WHEN 1 THEN 'Open PwD' WHEN 2 THEN 'obc-ncl' WHEN 3 THEN 'SC PH' WHEN 4 THEN 'x' END AS category_raw,
+       CASE p % 4 WHEN 0 THEN 'New Delhi' WHEN 1 THEN 'Orissa' WHEN 2 THEN 'Pune 411001' ELSE 'Nowhere' END AS place,
+       CASE s % 5 WHEN 0 THEN 'Reported' WHEN 1 THEN 'Not Reported' WHEN 2 THEN ' seat surrendered ' WHEN 3 THEN '-' END AS r1_status,
+       CASE p % 6 WHEN 0 THEN 'Upgraded' WHEN 1 THEN 'Fresh Allotted in 2nd Round' WHEN 2 THEN 'Not Allotted' WHEN 3 THEN 'Did not fill up fresh choices' WHEN 4 THEN 'No Upgradation' END AS remarks
+FROM (SELECT CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS cand, CAST(min(l_partkey) AS BIGINT) AS p, CAST(min(l_suppkey) AS BIGINT) AS s FROM lineitem GROUP BY l_orderkey, l_linenumber)""",
     "turn_rows": "SELECT CAST(conv_id AS BIGINT) AS page_num, CAST(turn AS BIGINT) AS row_idx, role = 'user' AS is_base, text AS cell FROM conversations",
     "word_boxes": """
 SELECT CAST(l_orderkey AS BIGINT) AS page_num, CAST(l_extendedprice AS DOUBLE) AS x0, CAST(l_quantity AS DOUBLE) AS top, l_returnflag AS word,
@@ -102,7 +110,8 @@ def _bound(sql: str, words: set[str]) -> str:
     return sql
 
 
-def oracle(sql: str) -> str:
-    """``sql`` for DuckDB with the views it names in front."""
-    named = [v for v in VIEWS if v in set(sql.replace("(", " ").replace(")", " ").replace(",", " ").replace(".", " ").split())]
-    return "WITH " + ", ".join(f"{v} AS ({VIEWS[v]})" for v in named) + " " + sql if named else sql
+def oracle(sql: str, steps: str = "") -> str:
+    """``sql`` for DuckDB with the views that it or its ``steps`` name in front."""
+    words = f"{steps} {sql}".replace("(", " ").replace(")", " ").replace(",", " ").replace(".", " ").split()
+    tables = [*[f"{v} AS ({VIEWS[v]})" for v in VIEWS if v in set(words)], *([steps] if steps else [])]
+    return "WITH " + ", ".join(tables) + " " + sql if tables else sql

@@ -27,11 +27,12 @@ TIE = ["l_linenumber", "l_partkey", "l_suppkey"]
 ROW = ["rank", *TIE]
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | None = None, steps: str = ""):
+    """``steps``: common tables of the SQL, after the views."""
     def add(f):
         QUERIES[name] = lambda spark, sf_dir: f(fixtures.Catalog(spark, sf_dir))
         if sql:
-            ORACLE[name] = fixtures.oracle(sql)
+            ORACLE[name] = fixtures.oracle(sql, steps)
         return f
     return add
 
@@ -684,7 +685,7 @@ def _(c):
 TELLS_LITTLE = "hospital medical college institute university govt government district general super speciality specialty centre center research national regional state pvt ltd private limited trust foundation society memorial of the and in at".split()
 
 
-@query("n16_each_stop_word", "SELECT p_partkey, concat('dr ', trim(regexp_replace(regexp_replace(lower(p_name), '[^\w\s]', ' ', 'g'), '\s+', ' ', 'g')), ' sciences') AS core, list_value('" + "', '".join(TELLS_LITTLE) + "')[p_partkey % 31 + 1] AS word FROM part")
+@query("n16_each_stop_word", "SELECT p_partkey, concat('dr ', trim(regexp_replace(regexp_replace(lower(p_name), '[^\\w\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' sciences') AS core, list_value('" + "', '".join(TELLS_LITTLE) + "')[p_partkey % 31 + 1] AS word FROM part")
 def _(c):
     word = F.element_at(F.array(*map(F.lit, TELLS_LITTLE)), (F.col("p_partkey") % 31 + 1).cast("int"))
     text = F.concat(F.lit("Dr. "), F.initcap(word), F.lit(" "), F.col("p_name"), F.lit(" x Sciences, "), F.upper(word))
@@ -781,8 +782,12 @@ def _(c):
 
 
 def queries() -> dict:
+    from . import round_queries  # noqa: F401  registers its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import round_queries  # noqa: F401
+
     return dict(ORACLE)

@@ -34,3 +34,25 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = fresh_dir(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _path(spark: SparkSession, path: str):
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return own.getFileSystem(spark._jsc.hadoopConfiguration()), own
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, own = _path(spark, path)
+    return fs.exists(own)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """A folder that is no longer needed, on whatever store it lies; none there is no error."""
+    fs, own = _path(spark, path)
+    fs.delete(own, True)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """The folders in a folder; none if it isn't there."""
+    fs, own = _path(spark, path)
+    return sorted(s.getPath().toString() for s in fs.listStatus(own) if s.isDirectory()) if fs.exists(own) else []
