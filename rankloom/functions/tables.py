@@ -114,3 +114,49 @@ STOP_WORDS = [
     "centre", "center", "research", "national", "regional", "state", "pvt", "ltd", "private", "limited", "trust", "foundation", "society", "memorial",
     "of", "the", "and", "in", "at",
 ]
+
+#: Years of service that a state's policy asks for; None: none.
+BOND_YEARS = {
+    "Andhra Pradesh": 1, "Arunachal Pradesh": 2, "Assam": 2, "Bihar": 3, "Chhattisgarh": 2, "Goa": 2, "Gujarat": 3, "Haryana": 1, "Himachal Pradesh": 2,
+    "Jharkhand": 3, "Karnataka": 2, "Kerala": 2, "Madhya Pradesh": 2, "Maharashtra": 1, "Manipur": None, "Meghalaya": None, "Mizoram": 2, "Nagaland": 2,
+    "Odisha": 2, "Punjab": 1, "Rajasthan": 1, "Sikkim": 3, "Tamil Nadu": 5, "Telangana": 1, "Tripura": 3, "Uttar Pradesh": 2, "Uttarakhand": 3,
+    "West Bengal": 3, "Delhi": None, "Chandigarh": None, "Puducherry": 2, "Jammu and Kashmir": 3, "Ladakh": 3,
+}
+
+#: Patterns (in any case) that tell the state of a name and address, in order of precedence.
+STATE_PATTERNS = {
+    "Andhra Pradesh": [r"andhra\s*pradesh", r"\bA\.?P\.?\b"],
+    "Arunachal Pradesh": [r"arunachal\s*pradesh"],
+    "Assam": [r"\bassam\b"],
+    "Bihar": [r"\bbihar\b", r"\bpatna\b"],
+    "Chhattisgarh": [r"chhattisgarh", r"chattisgarh", r"\braipur\b"],
+    "Delhi": [r"\bdelhi\b", r"\bnew\s*delhi\b"],
+    "Goa": [r"\bgoa\b"],
+    "Gujarat": [r"\bgujarat\b", r"\bahmedabad\b"],
+    "Haryana": [r"\bharyana\b"],
+    "Himachal Pradesh": [r"himachal\s*pradesh", r"\bshimla\b"],
+    "Jammu and Kashmir": [r"jammu\s*(and|&)\s*kashmir", r"\bjammu\b", r"\bsrinagar\b", r"\bj\s*&\s*k\b"],
+    "Jharkhand": [r"\bjharkhand\b", r"\branchi\b"],
+    "Karnataka": [r"\bkarnataka\b", r"\bbangalore\b", r"\bbengaluru\b"],
+    "Kerala": [r"\bkerala\b"],
+    "Madhya Pradesh": [r"madhya\s*pradesh", r"\bbhopal\b", r"\bm\.?p\.?\b"],
+    "Maharashtra": [r"\bmaharashtra\b", r"\bmumbai\b", r"\bpune\b"],
+    "Manipur": [r"\bmanipur\b", r"\bimphal\b"],
+    "Meghalaya": [r"\bmeghalaya\b", r"\bshillong\b"],
+    "Mizoram": [r"\bmizoram\b", r"\baizawl\b"],
+    "Nagaland": [r"\bnagaland\b"],
+    "Odisha": [r"\bodisha\b", r"\borissa\b", r"\bbhubaneswar\b"],
+    "Punjab": [r"\bpunjab\b"],
+    "Puducherry": [r"\bpuducherry\b", r"\bpondicherry\b"],
+    "Rajasthan": [r"\brajasthan\b", r"\bjaipur\b"],
+    "Sikkim": [r"\bsikkim\b", r"\bgangtok\b"],
+    "Tamil Nadu": [r"tamil\s*nadu\b", r"\bchennai\b", r"\bt\.?n\.?\b"],
+    "Telangana": [r"\btelangana\b", r"\bhyderabad\b"],
+    "Tripura": [r"\btripura\b", r"\bagartala\b"],
+    "Uttar Pradesh": [r"uttar\s*pradesh", r"\blucknow\b", r"\bu\.?p\.?\b"],
+    "Uttarakhand": [r"\buttarakhand\b", r"\bdehradun\b"],
+    "West Bengal": [r"west\s*bengal", r"\bkolkata\b", r"\bcalcutta\b"],
+    "Chandigarh": [r"\bchandigarh\b"],
+    "Ladakh": [r"\bladakh\b", r"\bleh\b"],
+    "Dadra and Nagar Haveli": [r"dadra\s*(and|&)\s*nagar\s*haveli", r"\bsilvassa\b"],
+}

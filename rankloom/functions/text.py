@@ -230,10 +230,10 @@ def sqlite_real(c: Column) -> Column:
     return F.when(c.isNotNull(), F.coalesce(head.try_cast("double"), F.lit(0.0)))
 
 
-def state_by_patterns(name: Column, address: Column, patterns: dict[str, list[str]]) -> Column:
-    """The first state, in order, one of whose patterns occurs in name and address."""
-    text = F.lower(F.concat_ws(" ", name, address))
-    return F.coalesce(*[F.when(text.rlike("|".join(p)), F.lit(state)) for state, p in patterns.items()])
+def state_by_patterns(name: Column, address: Column, patterns: dict[str, list[str]] = t.STATE_PATTERNS) -> Column:
+    """The first state, in order, one of whose patterns occurs, in any case, in name and address."""
+    text = F.concat_ws(" ", name, address)
+    return F.coalesce(*[F.when(text.rlike("(?i)" + "|".join(p)), F.lit(state)) for state, p in patterns.items()])
 
 
 def safe_str(c: Column) -> Column:

@@ -71,6 +71,12 @@ def degree_filter(df: DataFrame, courses: DataFrame, degrees) -> DataFrame:
     return df.join(courses.where(F.col("degree").isin(list(degrees))).select("course_norm"), "course_norm", "left_semi") if degrees else df
 
 
+def degree_as_course(degrees) -> Column | None:
+    """F18 as the interface sends it: a degree and a space in place of a course. One is found anywhere in a course; several, which are then
+    compared as whole courses, find nothing."""
+    return course_filter([f"{d} " for d in degrees])
+
+
 def group_guard() -> Column:
     """F8."""
     return F.col("institute_name").isNotNull() & F.col("allotted_category_norm").isNotNull()
