@@ -84,6 +84,17 @@ FROM lineitem""",
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+#: Tables that facts are made of, and the key that they are dealt by where they need dealing.
+FACTS = {"lineitem": "l_orderkey"}
+
+
+def spread(table: DataFrame, key: str) -> DataFrame:
+    """A table of fewer files than there are cores is dealt out by a key, as a file of one row group would be read, joined and
+    aggregated by a single task. A table of many files is read as it lies."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores, key) if len(table.inputFiles()) < cores else table
+
+
 class Catalog:
     """The views of one folder as lazy DataFrames: ``Catalog(spark, dir).allot``; driver tables likewise."""
 
@@ -92,7 +103,8 @@ class Catalog:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
-            return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            return spread(table, FACTS[name]) if name in FACTS else table
         if name not in VIEWS:
             raise AttributeError(name)
         words = set(VIEWS[name].replace("\n", " ").split())

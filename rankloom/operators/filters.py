@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_missing, sqlite_real
+from ..sources.workspace import staged
 
 GROUP = ["year", "counselling_type", "institute_name", "course_norm", "quota_norm", "allotted_category_norm"]
 
@@ -94,10 +95,14 @@ def money_between(c: Column, low, high) -> Column:
 
 
 def has_rank(df: DataFrame, fact: DataFrame, my_rank: int, rounds=None, mode: str = "exact") -> DataFrame:
-    """Rows of groups that contain the rank (``at_least``: whose closing rank it doesn't exceed)."""
+    """Rows of groups that contain the rank (``at_least``: whose closing rank it doesn't exceed).
+
+    The groups with exactly the rank are found first, by a filter that the scan takes, and written: few as they are, their true size lets the
+    optimizer drop the other rows before anything is shuffled."""
     hit = F.col("rank") == my_rank if mode == "exact" else F.col("rank") >= my_rank
     only = F.col("round") == list(rounds)[0] if rounds and len(rounds) == 1 else F.lit(True)
-    return df.join(fact.where(hit & only).select(*GROUP), GROUP, "left_semi")
+    groups = fact.where(hit & only).select(*GROUP)
+    return df.join(staged(groups.distinct(), "groups") if mode == "exact" else groups, GROUP, "left_semi")
 
 
 def valid_seat(c: Column) -> Column:

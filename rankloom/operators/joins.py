@@ -13,19 +13,15 @@ from ..functions.text import blank_to_null, sqlite_real
 PROFILE_COLUMNS = ["fee_yr2", "fee_yr3", "stipend_yr1", "stipend_yr2", "stipend_yr3", "bond_forfeit", "university", "bond_years", "beds"]
 
 
-def profiles(mapping: DataFrame, inst: DataFrame) -> DataFrame:
-    """One row a mapped name: the institute's profile (NULL if its code has none) and whether it counts as matched."""
+def enrich_profile(df: DataFrame, mapping: DataFrame, inst: DataFrame) -> DataFrame:
+    """The profile of each name's institute, and inst_matched: NULL without mapping, else 0 or 1. Both dimensions join to the groups
+    one after the other, so that the optimizer knows the size of each and need not shuffle the groups for small ones."""
     m = mapping.groupBy("db_institute_name").agg(F.min_by(F.struct("institute_code", "match_confidence"), F.struct("institute_code", "match_confidence")).alias("m"))
-    m = m.select(F.col("db_institute_name").alias("institute_name"), "m.*")
-    i = inst.select("institute_code", F.col("address").alias("institute_address"), F.col("display_name").alias("institute_address_verified"), F.col("pincode").alias("inst_pincode"),
+    matched = F.when(F.col("m.match_confidence").isin("EXACT", "FUZZY"), 1).otherwise(0).alias("inst_matched")
+    m = m.select(F.col("db_institute_name").alias("institute_name"), F.col("m.institute_code").alias("inst_code"), matched)
+    i = inst.select(F.col("institute_code").alias("inst_code"), F.col("address").alias("institute_address"), F.col("display_name").alias("institute_address_verified"), F.col("pincode").alias("inst_pincode"),
                     sqlite_real(F.col("annual_fee")).alias("inst_fee_yr1"), *[F.col(c).alias(f"inst_{c}") for c in PROFILE_COLUMNS])
-    matched = F.when(F.col("match_confidence").isin("EXACT", "FUZZY"), 1).otherwise(0).alias("inst_matched")
-    return m.join(i, "institute_code", "left").drop("institute_code").select("institute_name", matched, *i.columns[1:])
-
-
-def enrich_profile(df: DataFrame, mapping: DataFrame, inst: DataFrame) -> DataFrame:
-    """One join after aggregation; inst_matched is NULL without mapping, else 0 or 1."""
-    out = df.join(profiles(mapping, inst), "institute_name", "left")
+    out = df.join(m, "institute_name", "left").join(i, "inst_code", "left").select(*df.columns, "inst_matched", *i.columns[1:])
     return out.withColumn("pincode_resolved", F.coalesce("institute_pincode", "inst_pincode")) if "institute_pincode" in df.columns else out
 
 
