@@ -72,6 +72,34 @@ def test_network_gradient():
     assert net.log_likelihood(around, target).mean() > before + 0.5
 
 
+def test_sparse_steps_equal_dense_ones():
+    """A step changes what dense Adagrad with the same gradients, zero elsewhere, would; the gradients are those of differences of the loss."""
+    classes = 130
+    rng = np.random.default_rng(0)
+    around, target = rng.integers(0, classes + 1, (4, 40)), rng.integers(0, classes, 40)
+    net = masked_lm.Network.start(np.full(classes, 1 / classes))
+    net.flat += rng.standard_normal(len(net.flat)).astype(np.float32) * 0.05
+    before, squares = net.flat.copy(), np.full(len(net.flat), 1e-3, np.float32)
+    net.learn(around, target, squares)
+    g = np.sqrt(np.maximum(squares - np.float32(1e-3), 0))  # of one step: the gradient's size
+    live = np.flatnonzero(g > 1e-2)
+    still = squares == np.float32(1e-3)
+    assert len(live) > 50 and np.allclose(net.flat[still], before[still], atol=1e-4)
+    assert np.allclose(np.abs(before - net.flat)[live], (0.1 * g / (np.sqrt(squares) + 1e-6))[live], rtol=0.02)
+    loss = lambda flat: -masked_lm.Network(flat, classes).log_likelihood(around, target).mean()
+    for i in rng.choice(live, 40, replace=False):
+        up, down = before.astype(np.float64), before.astype(np.float64)
+        up[i] += 1e-4
+        down[i] -= 1e-4
+        assert abs((loss(up) - loss(down)) / 2e-4) == pytest.approx(g[i], rel=0.05, abs=3e-4)
+
+
+def test_long_words_are_counted_in_parts(docs, monkeypatch):
+    monkeypatch.setattr(masked_lm, "MOST_HELD", 100)
+    own = docs([(i, ("x" * 90 + f"{i % 3} ") * 2 + "a a") for i in range(9)])
+    assert {r.word[-1]: r.n for r in masked_lm.count_words(own).collect()} == {"0": 6, "1": 6, "2": 6, "a": 18}
+
+
 def test_masked_scores(spark, docs, odd):
     text = "the cat sat on the mat and the dog ran to the house of the man "
     rows = [(i, text * 6) for i in range(40)] + [(1000 + (r[0] or 0), r[1]) for r in odd]
