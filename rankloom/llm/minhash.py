@@ -32,7 +32,8 @@ from . import common, graph
 WORDS, BANDS, ROWS, BITS = 5, 24, 5, 2
 HASHES = BANDS * ROWS
 MARGIN = 0.2
-BLOCK, APART = 256, 64
+#: Sets of a block, the shingles that they have together, on average, and nodes of a block of estimates.
+BLOCK, BLOCK_SHINGLES, APART = 256, 3_000_000, 64
 WORD_CACHE, LONG_WORD = 250_000, 64  # words kept, and the longest of them in bytes
 _U64 = np.uint64
 _RNG = np.random.default_rng(20_240_229)
@@ -167,7 +168,8 @@ def compare_blocks(table: pa.Table, percent: int) -> pa.Table:
 
 
 def links_within(docs: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links (a, b) among the documents of each cluster (node, component), as spanning stars of block pairs."""
+    """Confirmed links (a, b) among the documents of each cluster (node, component, n_shingles), as spanning stars of block pairs. Blocks
+    are bounded by sets and by what these hold, so that a task's memory doesn't grow with the texts."""
 
     def sets(batches):
         with common.task_memory(_words):
@@ -177,8 +179,8 @@ def links_within(docs: DataFrame, clusters: DataFrame, percent: int) -> DataFram
 
     nodes = clusters.select(F.col("node").alias("doc_id")).hint("merge")  # grows with the input: not for a broadcast
     own = docs.select("doc_id", "text").join(nodes, "doc_id", "left_semi").mapInArrow(sets, "node long, shingles binary")
-    sizes = clusters.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = clusters.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    sizes = clusters.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    placed = clusters.select("node", "component").join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     entries = own.join(placed, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     entries = entries.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
     entries = entries.select("component", "low", "high", "block", "node", "shingles")
@@ -219,9 +221,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     named = signed.where("n_shingles > 0 and doc_id is not null")
     classes = named.groupBy("set_key").agg(F.min("doc_id").alias("node"))
     nodes = common.staged(
-        named.join(classes, (named.set_key == classes.set_key) & (named.doc_id == classes.node)).select("node", "bands", "bits"), "nodes"
+        named.join(classes, (named.set_key == classes.set_key) & (named.doc_id == classes.node)).select("node", "bands", "bits", "n_shingles"), "nodes"
     )
-    clusters = candidate_clusters(nodes, percent / 100 - MARGIN)
+    clusters = candidate_clusters(nodes, percent / 100 - MARGIN).join(nodes.select("node", "n_shingles"), "node")
     found = graph.connected_components(common.staged(links_within(docs, clusters, percent), "links"))
     by_class = classes.join(found, "node", "left").select("set_key", F.coalesce("component", "node").alias("of_class"))
     out = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(by_class, "set_key", "left")
