@@ -30,7 +30,7 @@ from . import common
 HASHED, FEATURES, TRAIN_ROWS, FOLDS = 1 << 18, 1024, 16_000, 5
 BEGINNINGS = (4, 5, 6)
 CATEGORIES = ("junk", "toxic")
-WORD_CACHE = 250_000
+WORD_CACHE, LONG_WORD = 250_000, 64  # words kept, and the longest of them in characters
 _words: dict[str, tuple[int, ...]] = {}
 
 
@@ -53,7 +53,9 @@ def features(text: str | None) -> np.ndarray:
     for w in set((text or "").lower().split()):
         f = _words.get(w)
         if f is None:
-            f = _words[w] = word_features(w)
+            f = word_features(w)
+            if len(w) <= LONG_WORD:
+                _words[w] = f
         found.extend(f)
     return np.unique(np.array(found, np.int64))
 
@@ -100,7 +102,9 @@ class Chain:
         for w in set((text or "").lower().split()):
             f = known.get(w)
             if f is None:
-                f = known[w] = tuple(int(s) for s in self.slot[list(word_features(w))] if s >= 0)
+                f = tuple(int(s) for s in self.slot[list(word_features(w))] if s >= 0)
+                if len(w) <= LONG_WORD:
+                    known[w] = f
             if f:
                 found.update(f)
         return found
