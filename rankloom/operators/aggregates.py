@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, is_missing
@@ -17,6 +19,11 @@ def pivot_rounds(df: DataFrame, keys: list[str] = GRID, rounds=(1, 2, 3, 4)) ->
     return df.groupBy(*keys).agg(F.min("institute_city").alias("institute_city"), *per)
 
 
+def closing(df: DataFrame, keys: list[str]) -> DataFrame:
+    """A3: closing rank and number of rows of each group, or of all rows; no ranks: NULL."""
+    return df.groupBy(*keys).agg(F.max("rank").alias("closing_rank"), F.count("*").alias("n"))
+
+
 def group_count(df: DataFrame, keys: list[str]) -> DataFrame:
     """A5: number of distinct tuples, NULLs equal."""
     return df.select(*keys).distinct().agg(F.count("*").alias("n_groups"))
@@ -124,5 +131,42 @@ def page_totals(df: DataFrame, size: int = 50) -> DataFrame:
     return df.agg(F.count("*").alias("total")).withColumn("pages", F.ceil(F.col("total") / size))
 
 
+@dataclass(frozen=True)
+class Page:
+    """One page of rows, with the totals of all of them."""
+
+    rows: list
+    total: int
+    page_size: int
+
+    @property
+    def pages(self) -> int:
+        return -(-self.total // self.page_size)
+
+    def last(self, order: list[str]) -> tuple | None:
+        """The key that the next page comes after."""
+        return tuple(self.rows[-1][c] for c in order) if self.rows else None
+
+
+def _after(order: list[str], last: tuple) -> Column:
+    """Rows that come after a key, in ascending order with NULLs first."""
+    beyond, same = F.lit(False), F.lit(True)
+    for name, value in zip(order, last):
+        c = F.col(name)
+        beyond = beyond | same & (c.isNotNull() if value is None else F.coalesce(c > F.lit(value), F.lit(False)))
+        same = same & c.eqNullSafe(F.lit(value))
+    return beyond
+
+
+def page_after(df: DataFrame, order: list[str], last: tuple | None = None, size: int = 50) -> Page:
+    """T5, A12 in one pass: the rows after the key of the page before, by ``order``, a total one (ascending, NULLs first); all rows are counted as
+    they pass. A later page costs what the first does: nothing before it is sorted or skipped."""
+    size, seen = max(1, min(500, size)), Observation()
+    rows = df.observe(seen, F.count(F.lit(1)).alias("total"))
+    rows = rows if last is None else rows.where(_after(order, last))
+    page = rows.orderBy(*[F.col(c).asc_nulls_first() for c in order]).limit(size).collect()
+    return Page(page, seen.get["total"], size)
+
+
 def filled(c: str) -> Column:
     return blank_to_null(F.col(c))

@@ -51,7 +51,9 @@ SORT_KEYS = ["quota_norm", "allotted_category_norm", "state", "institute_name",
 
 
 def closing_ranks(cat, f: RankFilters, sort_by: str | None = "institute_name", sort_order: str = "asc") -> DataFrame:
-    """The grid: filter, aggregate once, join profiles to groups, filter on them, sort (``sort_by`` None: unsorted)."""
+    """The grid: filter, aggregate once, join profiles to groups, filter on them, sort (``sort_by`` None: unsorted; an unknown key is an error)."""
+    if sort_by is not None and sort_by not in SORT_KEYS:
+        raise ValueError(f"no sort key: {sort_by}")
     fact = cat.allot
     df = fact.where(fl.group_guard() & f.predicate())
     df = fl.course_type_filter(df, cat.courses, f.course_type)
@@ -66,7 +68,7 @@ def closing_ranks(cat, f: RankFilters, sort_by: str | None = "institute_name", s
     ))
     if sort_by is None:
         return grid
-    key = sort_by if sort_by in SORT_KEYS and sort_by in grid.columns else "institute_name"
+    key = sort_by
     by = sqlite_real(F.col(key)) if key in ("inst_bond_forfeit", "inst_stipend_yr1") else F.col(key)
     return ag.sort_rows(grid, by, sort_order, "last", ag.GRID)
 
@@ -89,7 +91,7 @@ def drill_down(cat, key: dict, tie=()) -> DataFrame:
     """Rows of a group (its id leaves out the state), by rank and then ``tie``, with the closing one marked."""
     fact = cat.allot
     rows = fact.where(fl.all_of(*[_is_value(fact, name, key.get(k)) for k, name in fm.GROUP_FIELDS.items()]))
-    top = rows.agg(F.max("rank").alias("closing_rank"))
+    top = ag.closing(rows, []).select("closing_rank")
     return ag.sort_rows(rows.crossJoin(F.broadcast(top)).withColumn("is_closing", F.col("rank") == F.col("closing_rank")), F.col("rank"), tie=list(tie))
 
 

@@ -103,6 +103,73 @@ def test_similar_names_equal_brute_force(spark, monkeypatch):
     assert any(n == "rgand emdical oclleg" for n, _ in want)
 
 
+def test_lossless_join_compares_few_pairs(spark, monkeypatch):
+    """Names of many colleges and towns: equal to all pairs, with a small part of them compared."""
+    rng = random.Random(8)
+    kinds = ["government medical college", "institute of medical sciences", "district hospital", "general hospital and research centre", "memorial dental college"]
+    towns = ["".join(rng.choice(["ba", "ko", "ri", "mu", "den", "gal", "pur", "nag", "tri", "shi"]) for _ in range(rng.randint(2, 5))) for _ in range(160)]
+    others = sorted({f"{rng.choice(kinds)} {rng.choice(towns)}" for _ in range(400)})
+    names = {"".join(c for c in o if rng.random() > 0.04) for o in rng.sample(others, 60)} | {"zzz qqq", "x", ""}
+    df, dim = spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame([(o, i) for i, o in enumerate(others)], "other string, idx long")
+    compared, alone = [], []
+    found, every = sm.candidates, sm.exhaustive
+    monkeypatch.setattr(sm, "candidates", lambda *a: compared.append(found(*a)) or compared[-1])
+    monkeypatch.setattr(sm, "exhaustive", lambda left, *a: alone.append(left.count()) or every(left, *a))
+    got = {(r.name, r.idx): r.score for r in sm.fuzzy_topk(df, dim).collect()}
+    ordered = lambda n: " ".join(sorted(n.split()))
+    want = {}
+    for n in names:
+        for score, i in [x for x in sorted((-sm._ratio(ordered(n), ordered(o)), i) for i, o in enumerate(others)) if x[0] <= -50][:5]:
+            want[n, i] = -score
+    assert got == want
+    # a fifth of the others are of a name's kind and really similar
+    assert alone[0] < 20 and all(c.count() < 0.27 * len(names) * len(others) for c in compared)
+
+
+@given(st.text("abcd", min_size=2, max_size=14), st.text("abcd", min_size=2, max_size=14))
+def test_bound_of_shared_bigrams(a, b):
+    from collections import Counter
+
+    shared = sum((Counter(zip(a, a[1:])) & Counter(zip(b, b[1:]))).values())
+    ratio = sm._ratio(a, b)
+    n = len(a)
+    assert shared >= math.ceil((n + n * ratio / (200 - ratio)) * (3 * ratio / 200 - 1) - 1 - 1e-9)
+
+
+def test_pages_after_keys_equal_offsets(spark):
+    cat = fixtures.Catalog(spark, "/root/testdata/sf0.01")
+    df, order = cat.inst.select("state", "institute_code", "bond_years"), ["bond_years", "state", "institute_code"]
+    every = [tuple(r) for r in df.orderBy(*[F.col(c).asc_nulls_first() for c in order]).collect()]
+    last, got = None, []
+    while True:
+        page = ag.page_after(df, order, last, 9)
+        assert page.total == len(every) and page.pages == -(-len(every) // 9)
+        if not page.rows:
+            break
+        assert [tuple(r) for r in page.rows] == every[len(got) : len(got) + 9]
+        got += page.rows
+        last = page.last(order)
+    assert len(got) == len(every)
+
+
+def test_unknown_sort_keys_are_errors(spark):
+    with pytest.raises(ValueError):
+        grid.closing_ranks(fixtures.Catalog(spark, DATA), grid.RankFilters(), "no such column")
+
+
+def test_grid_queries_shuffle_the_fact_once(spark):
+    """The registered queries: one exchange of the fact by the grid's keys; the profiles' tables go to the groups."""
+    for name in ("a1_closing_rank_pivot", "f6_search", "f10_fee_range"):
+        plan = queries.queries()[name](spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
+        by_name = [x for x in plan.splitlines() if "Exchange hashpartitioning(institute_name" in x]
+        assert not by_name and plan.count("Exchange hashpartitioning(year") == 1, name
+
+
+def test_groups_of_a_rank_drop_rows_before_the_shuffle(spark):
+    plan = queries.queries()["f12_my_rank"](spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi, BuildRight" in plan and plan.count("lineitem") >= 1 and plan.count("Exchange hashpartitioning(year") == 1
+
+
 def test_all_names_are_mapped(spark):
     assert queries.queries()["o11_name_mapping"](spark, DATA).count() == fixtures.Catalog(spark, DATA).inst.count()
 
