@@ -498,7 +498,7 @@ def _(c):
     return sm.match_names(names.dropDuplicates(["name"]), c.inst)
 
 
-@query("j11_n27_block_best")
+@query("j11_n27_block_best", "SELECT l.pincode, l.text_l, r.text_r, CAST(100 AS DOUBLE) AS score FROM (SELECT DISTINCT p_type AS pincode, array_to_string(list_reverse(string_split(p_name, ' ')), ' ') AS text_l, array_to_string(list_sort(string_split(p_name, ' ')), ' ') AS k FROM part) l JOIN (SELECT p_type AS pincode, array_to_string(list_sort(string_split(p_name, ' ')), ' ') AS k, min(p_name) AS text_r FROM part GROUP BY p_type, array_to_string(list_sort(string_split(p_name, ' ')), ' ')) r ON l.pincode = r.pincode AND l.k = r.k")
 def _(c):
     left = c.part.select(F.col("p_type").alias("pincode"), F.array_join(F.reverse(F.split("p_name", " ")), " ").alias("text_l")).distinct()
     right = c.part.select(F.col("p_type").alias("pincode"), F.col("p_name").alias("text_r")).distinct()

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_ROOT: list[str] = []
+_STAGED: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -32,6 +33,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     executors that did it."""
     spark = df.sparkSession
     path = fresh_dir(spark, name)
+    _STAGED.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -56,3 +58,11 @@ def folders(spark: SparkSession, path: str) -> list[str]:
     """The folders in a folder; none if it isn't there."""
     fs, own = _path(spark, path)
     return sorted(s.getPath().toString() for s in fs.listStatus(own) if s.isDirectory()) if fs.exists(own) else []
+
+
+def release(spark: SparkSession) -> int:
+    """Removes all folders that this process has staged, once nothing that was made from them is needed any more; their number."""
+    n = len(_STAGED)
+    while _STAGED:
+        remove(spark, _STAGED.pop())
+    return n
