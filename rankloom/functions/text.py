@@ -48,15 +48,15 @@ def lookup_map(table: dict[str, list[str]], key=lambda x: x) -> Column:
     return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
 
 
-def _squashed(s: str) -> str:
+def squashed(s: str) -> str:
     return s.replace("-", "").replace(".", "").replace(" ", "")
 
 
 def norm_quota(c: Column, table: dict[str, list[str]] = t.QUOTA) -> Column:
     """The code of a quota, by alias, then by alias without dots, hyphens and spaces; else UNKNOWN."""
     key = F.upper(collapsed(c))
-    squashed = F.regexp_replace(key, "[-. ]", "")
-    return F.coalesce(F.try_element_at(lookup_map(table), key), F.try_element_at(lookup_map(table, _squashed), squashed), F.lit("UNKNOWN"))
+    plain = F.regexp_replace(key, "[-. ]", "")
+    return F.coalesce(F.try_element_at(lookup_map(table), key), F.try_element_at(lookup_map(table, squashed), plain), F.lit("UNKNOWN"))
 
 
 def norm_category(c: Column, table: dict[str, list[str]] = t.CATEGORY) -> Column:

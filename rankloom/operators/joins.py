@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import blank_to_null, sqlite_real
+from ..functions import tables
+from ..functions.text import blank_to_null, collapsed, sqlite_real, squashed
 
 
 PROFILE_COLUMNS = ["fee_yr2", "fee_yr3", "stipend_yr1", "stipend_yr2", "stipend_yr3", "bond_forfeit", "university", "bond_years", "beds"]
@@ -90,6 +91,25 @@ def lookup(df: DataFrame, col: str, dictionary: DataFrame, default: str) -> Data
     return df.join(dictionary.select(F.col("key").alias(col), "value"), col, "left").withColumn("value", F.coalesce("value", F.lit(default)))
 
 
+def _alias_table(df: DataFrame, table: dict[str, list[str]], key) -> DataFrame:
+    pairs = {key(alias): code for code, aliases in table.items() for alias in aliases}
+    return F.broadcast(df.sparkSession.createDataFrame(list(pairs.items()), "_alias string, _code string"))  # a table that the caller holds in memory
+
+
+def with_quota(df: DataFrame, col: str, out: str, table: dict[str, list[str]] = tables.QUOTA) -> DataFrame:
+    """N4 for each row by look-up (J17): the alias as it is, then without dots, hyphens and spaces; else UNKNOWN."""
+    key = F.upper(collapsed(F.col(col)))
+    keyed = df.withColumns({"_exact": key, "_squashed": F.regexp_replace(key, "[-. ]", "")})
+    exact, loose = (_alias_table(df, table, f).withColumnsRenamed({"_alias": a, "_code": c}) for f, a, c in ((lambda x: x, "_exact", "_code_1"), (squashed, "_squashed", "_code_2")))
+    return keyed.join(exact, "_exact", "left").join(loose, "_squashed", "left").withColumn(out, F.coalesce("_code_1", "_code_2", F.lit("UNKNOWN"))).drop("_exact", "_squashed", "_code_1", "_code_2")
+
+
+def with_category(df: DataFrame, col: str, out: str, table: dict[str, list[str]] = tables.CATEGORY) -> DataFrame:
+    """N5 for each row by look-up; else UNKNOWN."""
+    keyed = df.withColumn("_alias", F.upper(collapsed(F.col(col))))
+    return keyed.join(_alias_table(df, table, lambda x: x), "_alias", "left").withColumn(out, F.coalesce("_code", F.lit("UNKNOWN"))).drop("_alias", "_code")
+
+
 def saved_rows(df: DataFrame, keys: DataFrame, key: Column) -> DataFrame:
     """Rows whose row key is in a table."""
     return df.withColumn("row_key", key).join(keys.select("row_key"), "row_key", "left_semi")

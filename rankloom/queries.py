@@ -412,7 +412,13 @@ def _(c):
  CASE l_suppkey % 6 WHEN 0 THEN 'GEN' WHEN 1 THEN 'GEN-PwD' WHEN 2 THEN 'OBC' WHEN 3 THEN 'SC-PwD' ELSE 'UNKNOWN' END AS category FROM raw_alias""")
 def _(c):
     q = F.col("quota_raw")
-    return c.raw_alias.select("l_orderkey", *TIE, t.safe_int(F.col("rank_raw")).alias("rank"), t.clean_cell(q).alias("quota_clean"), t.is_dash(q).alias("dash"), t.norm_quota(q).alias("quota"), t.norm_category(F.col("category_raw")).alias("category"))
+    rows = jn.with_category(jn.with_quota(c.raw_alias, "quota_raw", "quota"), "category_raw", "category")
+    return rows.select("l_orderkey", *TIE, t.safe_int(F.col("rank_raw")).alias("rank"), t.clean_cell(q).alias("quota_clean"), t.is_dash(q).alias("dash"), "quota", "category")
+
+
+@query("n4_n5_codes_of_columns", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE l_partkey % 8 WHEN 0 THEN 'AIQ' WHEN 1 THEN 'AIQ' WHEN 2 THEN 'NRI' WHEN 3 THEN 'DNB' WHEN 4 THEN 'MNG' ELSE 'UNKNOWN' END AS quota, CASE l_suppkey % 6 WHEN 0 THEN 'GEN' WHEN 1 THEN 'GEN-PwD' WHEN 2 THEN 'OBC' WHEN 3 THEN 'SC-PwD' ELSE 'UNKNOWN' END AS category FROM raw_alias")
+def _(c):
+    return c.raw_alias.select("l_orderkey", *TIE, t.norm_quota(F.col("quota_raw")).alias("quota"), t.norm_category(F.col("category_raw")).alias("category"))
 
 
 @query("n6_n7_n10_places", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE l_partkey % 4 WHEN 0 THEN 'Delhi' WHEN 1 THEN 'Odisha' WHEN 2 THEN 'Maharashtra' END AS state, CASE l_partkey % 4 WHEN 2 THEN '411001' END AS pincode, concat('Inst ', CAST(l_suppkey AS VARCHAR)) AS name, CASE l_partkey % 4 WHEN 2 THEN 'Pune' WHEN 3 THEN 'Nowhere' END AS city FROM raw_alias")
