@@ -61,13 +61,29 @@ STATE_NOW = {
     "Dadra and Nagar Haveli": "Dadra and Nagar Haveli and Daman and Diu",
 }
 
-#: First two digits of postal codes, as ranges, by state. A three-digit prefix exists for 110 only, with the same state.
-PIN_RANGES = [
-    (11, 11, "Delhi"), (12, 13, "Haryana"), (14, 16, "Punjab"), (17, 17, "Himachal Pradesh"), (18, 19, "Jammu and Kashmir"), (20, 28, "Uttar Pradesh"),
-    (30, 34, "Rajasthan"), (36, 39, "Gujarat"), (40, 44, "Maharashtra"), (45, 48, "Madhya Pradesh"), (49, 49, "Chhattisgarh"), (50, 52, "Telangana"),
-    (53, 53, "Andhra Pradesh"), (56, 59, "Karnataka"), (60, 64, "Tamil Nadu"), (67, 69, "Kerala"), (70, 74, "West Bengal"), (75, 77, "Odisha"),
-    (78, 79, "Assam"), (80, 85, "Bihar"),
-]
+#: Beginnings of postal codes, by state; a longer one goes before a shorter.
+PIN_PREFIX = {
+    "11": "Delhi", "110": "Delhi",
+    "12": "Haryana", "13": "Haryana",
+    "14": "Punjab", "15": "Punjab", "16": "Punjab",
+    "17": "Himachal Pradesh",
+    "18": "Jammu and Kashmir", "19": "Jammu and Kashmir",
+    "20": "Uttar Pradesh", "21": "Uttar Pradesh", "22": "Uttar Pradesh", "23": "Uttar Pradesh", "24": "Uttar Pradesh", "25": "Uttar Pradesh", "26": "Uttar Pradesh", "27": "Uttar Pradesh", "28": "Uttar Pradesh",
+    "30": "Rajasthan", "31": "Rajasthan", "32": "Rajasthan", "33": "Rajasthan", "34": "Rajasthan",
+    "36": "Gujarat", "37": "Gujarat", "38": "Gujarat", "39": "Gujarat",
+    "40": "Maharashtra", "41": "Maharashtra", "42": "Maharashtra", "43": "Maharashtra", "44": "Maharashtra",
+    "45": "Madhya Pradesh", "46": "Madhya Pradesh", "47": "Madhya Pradesh", "48": "Madhya Pradesh",
+    "49": "Chhattisgarh",
+    "50": "Telangana", "51": "Telangana", "52": "Telangana",
+    "53": "Andhra Pradesh",
+    "56": "Karnataka", "57": "Karnataka", "58": "Karnataka", "59": "Karnataka",
+    "60": "Tamil Nadu", "61": "Tamil Nadu", "62": "Tamil Nadu", "63": "Tamil Nadu", "64": "Tamil Nadu",
+    "67": "Kerala", "68": "Kerala", "69": "Kerala",
+    "70": "West Bengal", "71": "West Bengal", "72": "West Bengal", "73": "West Bengal", "74": "West Bengal",
+    "75": "Odisha", "76": "Odisha", "77": "Odisha",
+    "78": "Assam", "79": "Assam",
+    "80": "Bihar", "81": "Bihar", "82": "Bihar", "83": "Bihar", "84": "Bihar", "85": "Bihar",
+}
 
 #: Words of addresses that name no area.
 GENERIC = [
@@ -87,6 +103,10 @@ DEGREE_PATTERNS = [
 ]
 DEGREES = ["MCH", "DNB", "DM", "MPH", "MD", "MS", "MBBS", "MSC", "BSC", "DIPLOMA"]
 
+#: Patterns that names, courses and addresses are cleaned by.
+MAIL, TELEPHONE, PIN, WORD = r"\S+@\S+", r"[+\d][\d\s\-()]{7,}", r"\b\d{6}\b", "([A-Za-z']+)"
+BRACKETS, SEPARATORS, SIGNS = r"[()\[\]]", r"\s*[-–—/]\s*", "[.,;:!?]"
+
 #: Words that line breaks split.
 SPLIT_WORDS = [
     ("E N T", "ENT"), ("VENEREOL OGY", "VENEREOLOGY"), ("VENE REOLOGY", "VENEREOLOGY"), ("VENERE AL", "VENEREAL"), ("OPHTHALMOLOG Y", "OPHTHALMOLOGY"),

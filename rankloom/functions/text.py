@@ -73,9 +73,8 @@ def state_of(c: Column, states: list[str] = t.STATES) -> Column:
     """The longest state name in the text, as it is called now; else by the first postal code with a known prefix."""
     text = F.upper(c)
     named = [F.when(text.contains(s.upper()), F.lit(t.STATE_NOW.get(s, s))) for s in sorted(states, key=len, reverse=True)]
-    prefix = {str(k): name for low, high, name in t.PIN_RANGES for k in range(low, high + 1)}
-    by_pin = F.create_map(*[F.lit(x) for pair in prefix.items() for x in pair])
-    pins = F.filter(F.transform(F.regexp_extract_all(c, F.lit(r"\b(\d{6})\b"), 1), lambda p: F.try_element_at(by_pin, F.substring(p, 1, 2))), lambda s: s.isNotNull())
+    by_pin = F.create_map(*[F.lit(x) for pair in t.PIN_PREFIX.items() for x in pair])
+    pins = F.filter(F.transform(F.regexp_extract_all(c, F.lit(r"\b(\d{6})\b"), 1), lambda p: F.coalesce(F.try_element_at(by_pin, F.substring(p, 1, 3)), F.try_element_at(by_pin, F.substring(p, 1, 2)))), lambda s: s.isNotNull())
     return F.coalesce(*named, F.get(pins, F.lit(0)))
 
 
@@ -93,7 +92,7 @@ def area_of(c: Column, name_words: Column) -> Column:
         up = F.upper(w)
         good = w.rlike("^[A-Z]") & (F.length(w) > 3) & ~F.array_contains(skip, up) & ~F.array_contains(name_words, up) & ~F.array_contains(plural, up)
         return F.when(good, w).otherwise(F.lit("|"))
-    marked = F.array_join(F.transform(F.regexp_extract_all(c, F.lit("([A-Za-z']+)"), 1), mark), " ")
+    marked = F.array_join(F.transform(F.regexp_extract_all(c, F.lit(t.WORD), 1), mark), " ")
     runs = F.filter(F.transform(F.split(marked, r"\|"), lambda r: F.trim(r)), lambda r: (r != "") & ~F.upper(r).isin(_state_names()))
     return F.get(F.split(F.get(runs, F.lit(0)), " "), F.lit(0))
 
@@ -105,18 +104,18 @@ def city_of(c: Column) -> Column:
         def from_parts(parts):
             tidy = F.transform(F.slice(parts, 2, 6), lambda p: F.regexp_replace(p, "[.,;:]+$", ""))
             short = F.filter(tidy, lambda p: F.length(p).between(3, 35) & p.rlike(r"^\p{L}") & ~p.rlike(t.ADDRESS_START) & ~F.upper(p).isin(_state_names()))
-            words = F.transform(F.filter(F.regexp_extract_all(F.get(parts, F.lit(0)), F.lit("([A-Za-z']+)"), 1), lambda w: F.length(w) > 3), lambda w: F.upper(w))
+            words = F.transform(F.filter(F.regexp_extract_all(F.get(parts, F.lit(0)), F.lit(t.WORD), 1), lambda w: F.length(w) > 3), lambda w: F.upper(w))
             areas = F.filter(F.transform(F.filter(F.slice(parts, 2, 8), lambda p: F.length(p) > 20), lambda p: area_of(p, words)), lambda a: a.isNotNull() & ~F.upper(a).isin(_state_names()))
             return F.coalesce(F.get(short, F.lit(0)), F.get(areas, F.lit(0)), pincode_of(text))
         return let(parts, from_parts)
-    return let(F.regexp_replace(F.trim(c), r"\S+@\S+", ""), of)
+    return let(F.regexp_replace(F.trim(c), t.MAIL, ""), of)
 
 
 def clean_institute(c: Column) -> Column:
     """The name before the first comma, without mail, telephone and postal code; the whole if that is too short."""
-    text = F.regexp_replace(F.trim(c), r"\S+@\S+", "")
-    text = F.regexp_replace(text, r"[+\d][\d\s\-()]{7,}", "")
-    text = collapsed(F.regexp_replace(text, r"\b\d{6}\b", ""))
+    text = F.regexp_replace(F.trim(c), t.MAIL, "")
+    text = F.regexp_replace(text, t.TELEPHONE, "")
+    text = collapsed(F.regexp_replace(text, t.PIN, ""))
     def of(whole):
         first = F.get(F.filter(F.transform(F.split(whole, ","), lambda p: F.trim(p)), lambda p: p != ""), F.lit(0))
         name = F.regexp_replace(first, "[.,;:]+$", "")
@@ -132,10 +131,10 @@ def ascii_fold(s: pd.Series) -> pd.Series:
 
 def norm_course(c: Column, fold=ascii_fold) -> Column:
     """A course name in one form; '' if absent."""
-    text = F.regexp_replace(F.upper(fold(c) if fold else c), r"[()\[\]]", " ")
+    text = F.regexp_replace(F.upper(fold(c) if fold else c), t.BRACKETS, " ")
     for pattern, code in t.DEGREE_PATTERNS:
         text = F.regexp_replace(text, rf"\b{pattern}\b", code)
-    text = F.regexp_replace(F.regexp_replace(text, r"\s*[-–—/]\s*", " "), "[.,;:!?]", " ")
+    text = F.regexp_replace(F.regexp_replace(text, t.SEPARATORS, " "), t.SIGNS, " ")
     text = F.trim(F.regexp_replace(text, r"\s+", " "))
     for parts, whole in t.SPLIT_WORDS:
         text = F.regexp_replace(text, rf"\b{parts}\b", whole)
