@@ -5,6 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .sources.workspace import contents
+
 VIEWS = {
     "allot": """
 SELECT CAST(year(o_orderdate) AS INT) AS year,
@@ -96,21 +98,39 @@ def spread(table: DataFrame, key: str) -> DataFrame:
 
 
 class Catalog:
-    """The views of one folder as lazy DataFrames: ``Catalog(spark, dir).allot``; driver tables likewise."""
+    """The views of one folder as lazy DataFrames: ``Catalog(spark, dir).allot``; driver tables likewise. Each is planned once, when it is
+    first named, as reading the schema of a table takes a job; it stands for the files that the table had then."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir, self._planned = spark, sf_dir, {}
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name in TABLES:
-            table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-            return spread(table, FACTS[name]) if name in FACTS else table
-        if name not in VIEWS:
+        if name not in TABLES and name not in VIEWS:
             raise AttributeError(name)
+        if name not in self._planned:
+            self._planned[name] = self._table(name) if name in TABLES else self._view(name)
+        return self._planned[name]
+
+    def _table(self, name: str) -> DataFrame:
+        table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return spread(table, FACTS[name]) if name in FACTS else table
+
+    def _view(self, name: str) -> DataFrame:
         words = set(VIEWS[name].replace("\n", " ").split())
         return self.spark.sql(_bound(VIEWS[name], words), **{t: getattr(self, t) for t in TABLES if t in words})
 
 
+_LAST: list[tuple[Catalog, tuple]] = []
+
+
+def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
+    """The catalog of a folder: the one of the last call as long as it is for the same session and folder and no file has changed since."""
+    files = contents(spark, sf_dir)
+    if not (_LAST and _LAST[0][0].spark is spark and _LAST[0][0].sf_dir == sf_dir and _LAST[0][1] == files):
+        _LAST[:] = [(Catalog(spark, sf_dir), files)]
+    return _LAST[0][0]
+
+
 def _bound(sql: str, words: set[str]) -> str:
     """Table names become references to the DataFrames handed over with the query: no temporary views are left behind."""
     for t in TABLES:

@@ -30,7 +30,7 @@ ROW = ["rank", *TIE]
 def query(name: str, sql: str | None = None, steps: str = ""):
     """``steps``: common tables of the SQL, after the views."""
     def add(f):
-        QUERIES[name] = lambda spark, sf_dir: f(fixtures.Catalog(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: f(fixtures.catalog(spark, sf_dir))
         if sql:
             ORACLE[name] = fixtures.oracle(sql, steps)
         return f

@@ -60,6 +60,15 @@ def folders(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().toString() for s in fs.listStatus(own) if s.isDirectory()) if fs.exists(own) else []
 
 
+def contents(spark: SparkSession, path: str) -> tuple:
+    """What tells one state of a folder from another: names, sizes and times in it, and the number and size of all files below."""
+    fs, own = _path(spark, path)
+    if not fs.exists(own):
+        return ()
+    below = fs.getContentSummary(own)
+    return below.getFileCount(), below.getLength(), *sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(own))
+
+
 def release(spark: SparkSession) -> int:
     """Removes all folders that this process has staged, once nothing that was made from them is needed any more; their number."""
     n = len(_STAGED)
