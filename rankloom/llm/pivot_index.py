@@ -10,7 +10,9 @@ two in matrix products, which leave counts and a spanning star, never a row for
 Equal vectors of a label are one class, which the least vec_id stands for.
 
 Cases: null label, and null, empty, zero or non-finite vectors link with nothing, and neither does a row without vec_id;
-vectors of other length never link; an empty table gives an empty result; other columns are ignored.
+vectors of other length never link; an empty table gives an empty result; other columns are ignored. Rows that share a vec_id
+are one vertex: it and the vectors equal to one of its own have the links of all of them, in n_links one for each. Labels are of any
+type that can be grouped, components of any numeric type.
 """
 
 from __future__ import annotations
@@ -45,17 +47,6 @@ def choose_pivots(vectors: np.ndarray, n: int, apart: float = 0.8) -> np.ndarray
     return chosen
 
 
-def _least_linked(link: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """The least id in each row's component, by spreading least ids over a symmetric matrix of links."""
-    least = ids
-    while True:
-        near = np.where(link, least[None, :], np.iinfo(np.int64).max).min(axis=1)
-        new = np.minimum(least, near)
-        if (new == least).all():
-            return least
-        least = new
-
-
 def compare_blocks(table: pa.Table, threshold: float, shared: int) -> pa.Table:
     """Links among the rows of two blocks of one list: each row's count, by multiplicity, and its least reached id."""
     own = np.array(table.column("block")) == table.column("low")[0].as_py()
@@ -74,7 +65,7 @@ def compare_blocks(table: pa.Table, threshold: float, shared: int) -> pa.Table:
         link &= own[:, None] != own[None, :]
     degree = link @ mult
     some = degree > 0
-    least = _least_linked(link[some][:, some], ids[some]) if some.any() else ids[:0]
+    least = graph.least_linked(link[some][:, some], ids[some]) if some.any() else ids[:0]
     return pa.table({"node": pa.array(ids[some], pa.int64()), "degree": pa.array(degree[some], pa.int64()), "least": pa.array(least, pa.int64())})
 
 
@@ -85,7 +76,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, nearest: int =
         & F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0),
         F.lit(False),
     )
-    rows = vectors.select("vec_id", "label", "embedding")
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding")
     classes = common.staged(rows.where(sound).groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.countDistinct("vec_id").alias("mult")), "classes")
     n = classes.count()
     sample = classes.select("embedding", F.xxhash64("embedding", F.lit(7)).alias("h")).orderBy("h").limit(SAMPLE).toArrow()
@@ -112,7 +103,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, nearest: int =
                     out[i] = o
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.list_(pa.int32()))], names=[*b.schema.names, "pivots"])
 
-    described = classes.withColumn("dim", F.size("embedding")).mapInArrow(describe, "label int, embedding array<float>, node long, mult long, dim int, pivots array<int>")
+    sized = classes.withColumn("dim", F.size("embedding"))
+    described = sized.mapInArrow(describe, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sized.schema) + ", pivots array<int>")
     described = common.staged(described, "described")
     lists = described.select("label", "dim", F.explode("pivots").alias("pivot")).groupBy("label", "dim", "pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     entries = described.withColumn("pivot", F.explode("pivots")).join(lists, ["label", "dim", "pivot"])

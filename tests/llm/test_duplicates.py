@@ -143,6 +143,16 @@ def test_pivot_index_equals_brute_force(spark):
     assert pivot_index.near_duplicates(spark.createDataFrame([], VECTORS)).count() == 0
 
 
+def test_pivot_index_takes_other_types_and_repeated_ids(spark):
+    """Labels of text, components in double precision, vec_ids of 32 bits; vec_id 1 stands for two vectors."""
+    near, far = [1.0, 0.0], [0.0, 1.0]
+    rows = [(1, near, "a"), (1, far, "a"), (2, [1.0, 0.01], "a"), (3, near, "b"), (4, [0.01, 1.0], "a"), (5, far, "a"), (6, [-1.0, 0.0], "a"), (7, near, None)]
+    got = pivot_index.near_duplicates(spark.createDataFrame(rows, "vec_id int, embedding array<double>, label string")).collect()
+    assert sorted((r.vec_id, r.component_id, r.kept) for r in got) == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 3, True), (4, 1, False), (5, 1, False), (6, 6, True), (7, 7, True)]
+    links = {(r.vec_id, r.n_links) for r in got}
+    assert {(3, 0), (6, 0), (7, 0)} <= links and all(n > 0 for i, n in links if i in (1, 2, 4, 5))
+
+
 def test_pivot_index_blocks(spark, monkeypatch):
     """A group of many blocks: counts add up."""
     monkeypatch.setattr(pivot_index, "BLOCK", 20)
