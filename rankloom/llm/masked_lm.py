@@ -6,8 +6,8 @@ frequent word, a bin of other vocabulary words, or a bin of words outside the vo
 share of the corpus counts, whether in the vocabulary or not. A document's score is the sum, over all its tokens, of the
 logarithms of both probabilities.
 
-All documents take part: words are counted over the whole corpus, and each partition trains the network on masked
-positions, one in ``MASKED`` and at least one, of each of its documents; the networks are averaged in a tree, weighted by positions. What is
+All documents take part: words are counted over the whole corpus, and each partition trains the network on every
+position of each of its documents, which ``MASKED`` turns mask in parts, each once; the networks are averaged in a tree, weighted by positions. What is
 gathered so grows with the corpus: vocabulary, words with a class of their own and bins grow with the square root of its
 tokens, from the sizes below. A training step changes only the rows that its batch touches, so that the work for a token grows with the number and size of
 groups, the fourth root of the tokens. The counts of all other words stay in a table,
@@ -34,8 +34,10 @@ from . import byte_bpe, common
 #: For corpora of up to ``GROWS`` squared tokens; each grows with the square root of the tokens.
 VOCABULARY, SINGLE, BINS, OTHER, GROWS = 8192, 80, 32, 16, 1024
 CLASSES = SINGLE + BINS + OTHER
-HIDDEN, SIDE, MASKED, BATCH = 24, 2, 8, 512
+HIDDEN, SIDE, MASKED, BATCH = 24, 2, 8, 4096
 PAD = CLASSES
+#: Logits at most; their exponentials and sums stay within single precision.
+STEEP = 60
 #: Words counted at once, and characters of those longer than LONG_WORD.
 COUNTED, LONG_WORD, MOST_HELD = 400_000, 64, 16 << 20
 
@@ -92,6 +94,10 @@ class Words:
         """What tasks need."""
         return replace(self, counts=None)
 
+    def tables(self) -> Words:
+        """What tasks need once words are indices."""
+        return replace(self, counts=None, index={})
+
 
 def vocabulary(docs: DataFrame) -> Words:
     counts = common.staged(count_words(docs), "words")
@@ -153,59 +159,66 @@ class Network:
         return np.tanh(h, out=h)
 
     def by_group(self, target: np.ndarray):
-        """Each group of the targets: its number, the rows with it, and their places in it."""
+        """Rows in the order of their targets' groups; in that order, each target's group and place in it, and each group's number and rows."""
         group, place = np.divmod(target, self.parts[5].shape[1])
-        order = np.argsort(group, kind="stable")
-        starts = _starts(group[order])
-        for low, high in zip(starts, [*starts[1:], len(order)]):
-            rows = order[low:high]
-            yield int(group[rows[0]]), rows, place[rows]
+        order = _order(group, self.parts[5].shape[0])
+        group = group[order]
+        starts = _starts(group)
+        runs = [(int(group[low]), slice(low, high)) for low, high in zip(starts, [*starts[1:], len(order)])]
+        return order, group, place[order], runs
 
     def log_likelihood(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
         _, _, out, out_bias, low, low_bias = self.parts
-        h = self.hidden(around)
-        z = h @ out + out_bias
-        z -= z.max(axis=1, keepdims=True)
-        total = z[np.arange(len(target)), target // low_bias.shape[1]]
-        total -= np.log(np.exp(z, out=z).sum(axis=1))
-        for g, rows, place in self.by_group(target):
-            z = h[rows] @ low[g] + low_bias[g]
-            z -= z.max(axis=1, keepdims=True)
-            own = z[np.arange(len(rows)), place]
-            total[rows] += own - np.log(np.exp(z, out=z).sum(axis=1))
+        order, group, place, runs = self.by_group(target)
+        h = self.hidden(around[:, order])
+        own = _log_share(h @ out + out_bias, group)
+        for g, rows in runs:
+            own[rows] += _log_share(h[rows] @ low[g] + low_bias[g], place[rows])
+        total = np.empty_like(own)
+        total[order] = own
         return total
 
     def learn(self, around: np.ndarray, target: np.ndarray, squares: np.ndarray, rate: float = 0.1) -> None:
         """One step of Adagrad on a batch of masked positions. Only what the batch touches has a gradient, and only that is changed: the
         neighbours' rows of the tables, the targets' groups, and what all share, which grows with the number of groups."""
         _, _, out, out_bias, low, low_bias = self.parts
+        order, group, place, runs = self.by_group(target)
+        around = around[:, order]
         n, h, past = len(target), self.hidden(around), Network(squares, self.classes)
 
         def step(part: int, where, g: np.ndarray) -> None:
             own = past.parts[part][where] + g * g
             past.parts[part][where] = own
-            self.parts[part][where] -= rate * g / (np.sqrt(own) + 1e-6)
+            g *= rate
+            g /= np.sqrt(own) + np.float32(1e-6)
+            self.parts[part][where] -= g
 
-        d = _error(h @ out + out_bias, target // low_bias.shape[1], n)
-        back, shared = d @ out.T, (h.T @ d, d.sum(axis=0))
+        one = np.ones(n, self.flat.dtype)
+        d = _error(h @ out + out_bias, group, n)
+        back, shared = d @ out.T, (h.T @ d, one @ d)
         some, weights, biases = [], [], []
-        for g, rows, place in self.by_group(target):
-            own = h[rows]
-            d = _error(own @ low[g] + low_bias[g], place, n)
+        for g, rows in runs:
+            d = _error(h[rows] @ low[g] + low_bias[g], place[rows], n)
             some.append(g)
-            weights.append(own.T @ d)
-            biases.append(d.sum(axis=0))
+            weights.append(h[rows].T @ d)
+            biases.append(one[: len(d)] @ d)
             back[rows] += d @ low[g].T
         back *= 1 - h * h
-        step(1, ..., back.sum(axis=0))
+        step(1, ..., one @ back)
         step(2, ..., shared[0])
         step(3, ..., shared[1])
         step(4, some, np.stack(weights))
         step(5, some, np.stack(biases))
         for k in range(2 * SIDE):
-            order = np.argsort(around[k], kind="stable")
-            starts = _starts(around[k][order])
-            step(0, (k, around[k][order[starts]]), np.add.reduceat(back[order], starts, axis=0))
+            order = _order(around[k], self.classes + 1)
+            found = around[k][order]
+            starts = _starts(found)
+            step(0, (k, found[starts]), np.add.reduceat(back[order], starts, axis=0))
+
+
+def _order(values: np.ndarray, n: int) -> np.ndarray:
+    """Puts values from 0 to n - 1 in order, equal ones as they stand; sorting is several times faster in 16 bits."""
+    return np.argsort(values.astype(np.uint16) if n <= 1 << 16 else values, kind="stable")
 
 
 def _starts(ordered: np.ndarray) -> np.ndarray:
@@ -213,62 +226,106 @@ def _starts(ordered: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
 
 
+def _exp(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The exponentials of logits, which are held within ``STEEP``, and their sums by row. Products with ones take short rows together."""
+    e = np.exp(np.clip(z, -STEEP, STEEP, out=z))
+    return e, e @ np.ones(e.shape[1], e.dtype)
+
+
+def _log_share(z: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """The logarithm of the targets' probabilities by each row's logits."""
+    _, total = _exp(z)
+    return z[np.arange(len(target)), target] - np.log(total)
+
+
 def _error(z: np.ndarray, target: np.ndarray, n: int) -> np.ndarray:
     """The gradient of the mean loss of n rows by these rows' logits."""
-    z -= z.max(axis=1, keepdims=True)
-    d = np.exp(z, out=z)
-    d /= d.sum(axis=1, keepdims=True)
-    d[np.arange(len(target)), target] -= 1
-    d /= n
+    d, total = _exp(z)
+    d *= (1 / (n * total))[:, None]
+    d[np.arange(len(target)), target] -= z.dtype.type(1 / n)
     return d
 
 
-def _joined(words: Words, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word indices of the tokens of texts one after the other, their classes with padding between texts, and where texts end."""
-    sizes = np.array([len(x) for x in texts], np.int64)
-    flat = np.array(words.indices([w for x in texts for w in x]), np.int64)
-    spread = np.arange(len(flat)) + SIDE + SIDE * np.repeat(np.arange(len(texts)), sizes)
-    classes = np.full(len(flat) + SIDE * (len(texts) + 1), len(words.frequency), np.int32)
-    classes[spread] = words.of_class[flat]
-    return flat, classes, sizes
-
-
 def _positions(sizes: np.ndarray) -> np.ndarray:
+    """Places of the tokens of texts one after the other, with padding before, between and after texts."""
     return np.arange(int(sizes.sum())) + SIDE + SIDE * np.repeat(np.arange(len(sizes)), sizes)
 
 
-def _masked(sizes: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Of the tokens of texts one after the other, every ``MASKED``-th of each text from a random one of its first on."""
+def _masked(sizes: np.ndarray, rng: np.random.Generator, turn: int = 0) -> np.ndarray:
+    """Of the tokens of texts one after the other, every ``MASKED``-th of each text, in the first turn from a random one of its first on
+    and in each further turn from the next: as many turns, with the same random numbers, mask each token once."""
     within = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    return within % MASKED == np.repeat(rng.integers(0, np.clip(sizes, 1, MASKED)), sizes)
+    return within % MASKED == np.repeat((rng.integers(0, np.clip(sizes, 1, MASKED)) + turn) % MASKED, sizes)
 
 
 def _around(classes: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.stack([classes[at + k] for k in (*range(-SIDE, 0), *range(1, SIDE + 1))])
 
 
-def train(docs: DataFrame, words: Words) -> Network:
+def indexed(docs: DataFrame, words: Words) -> DataFrame:
+    """row, doc_id, words (indices of the text's tokens, 32 bits each), outside (its tokens that aren't in the vocabulary)."""
     shared = docs.sparkSession.sparkContext.broadcast(words.local())
 
+    def run(batches):
+        known = shared.value
+        held = len(known.index)
+        key = TaskContext.get().partitionId() << 36
+        for b in batches:
+            for low, high in byte_bpe.slices(b.column(1), 2_000_000):
+                parts = [tokens(t) for t in b.column(1).slice(low, high - low).to_pylist()]
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+                every = pa.array([w for x in parts for w in x], pa.string())
+                coded = every.dictionary_encode()  # each word is looked up once
+                flat = np.array(known.indices(coded.dictionary.to_pylist()), np.int32)[coded.indices.to_numpy()]
+                out = flat >= held
+                own = pa.Array.from_buffers(pa.binary(), high - low, [None, pa.py_buffer(ends * np.int32(4)), pa.py_buffer(flat)])
+                outside = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(out)])[ends], pa.int32()), every.filter(pa.array(out)))
+                arrays = [pa.array(np.arange(key, key + high - low), pa.int64()), b.column(0).slice(low, high - low), own, outside]
+                key += high - low
+                yield pa.RecordBatch.from_arrays(arrays, names=["row", "doc_id", "words", "outside"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "row long, doc_id long, words binary, outside array<string>")
+
+
+def _texts(column: pa.Array, words: Words):
+    """For runs of an indexed column: start and end, word indices of the tokens of its texts one after the other, their classes with
+    padding between texts, and the texts' sizes."""
+    for low, high in byte_bpe.slices(column, 1_200_000):
+        own = column.slice(low, high - low).to_pylist()
+        flat = np.frombuffer(b"".join(own), np.int32)
+        sizes = np.array([len(x) // 4 for x in own], np.int64)
+        classes = np.full(len(flat) + SIDE * (len(own) + 1), len(words.frequency), np.int32)
+        classes[_positions(sizes)] = words.of_class[flat]
+        yield low, high, flat, classes, sizes
+
+
+def train(docs: DataFrame, words: Words) -> Network:
+    """The network of documents' texts."""
+    return learned(indexed(docs, words), words)
+
+
+def learned(own: DataFrame, words: Words) -> Network:
+    """The network of indexed texts."""
+    shared = own.sparkSession.sparkContext.broadcast(words.tables())
+
     def run(batches):
         known = shared.value
         net = Network.start(known.frequency)
-        squares, seen, turn = np.full(len(net.flat), 1e-3, np.float32), 0, 0
+        squares, seen, at_text = np.full(len(net.flat), 1e-3, np.float32), 0, 0
         for b in batches:
-            texts = b.column(0).to_pylist()
-            for low, high in byte_bpe.slices(b.column(0), 2_000_000):
-                _, classes, sizes = _joined(known, [tokens(t) for t in texts[low:high]])
-                turn += 1
-                rng = np.random.default_rng(turn)
-                at = rng.permutation(_positions(sizes)[_masked(sizes, rng)])
-                for k in range(0, len(at), BATCH):
-                    own = at[k : k + BATCH]
-                    net.learn(_around(classes, own), classes[own], squares)
-                seen += len(at)
+            for _, _, _, classes, sizes in _texts(b.column(0), known):
+                at_text += 1
+                rng, places = np.random.default_rng(at_text), _positions(sizes)
+                for turn in range(MASKED):
+                    at = rng.permutation(places[_masked(sizes, np.random.default_rng(at_text), turn)])
+                    for k in range(0, len(at), BATCH):
+                        part = at[k : k + BATCH]
+                        net.learn(_around(classes, part), classes[part], squares)
+                    seen += len(at)
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([net.flat.tobytes()], pa.binary())], names=["seen", "network"])
 
-    parts = docs.select("text").mapInArrow(run, "seen long, network binary").rdd.map(lambda r: (r["seen"], np.frombuffer(bytes(r["network"]), np.float32).astype(np.float64) * r["seen"]))
+    parts = own.select("words").mapInArrow(run, "seen long, network binary").rdd.map(lambda r: (r["seen"], np.frombuffer(bytes(r["network"]), np.float32).astype(np.float64) * r["seen"]))
     start = Network.start(words.frequency)
     none = (0, np.zeros(len(start.flat)))
     total, flat = parts.treeAggregate(none, lambda x, y: (x[0] + y[0], x[1] + y[1]), lambda x, y: (x[0] + y[0], x[1] + y[1]), depth=3)
@@ -277,39 +334,36 @@ def train(docs: DataFrame, words: Words) -> Network:
 
 def score(docs: DataFrame, words: Words, net: Network) -> DataFrame:
     """doc_id, n_tokens, log_likelihood (sum over tokens), mean_log_likelihood."""
-    shared = docs.sparkSession.sparkContext.broadcast((words.local(), net.flat))
+    return scored(common.staged(indexed(docs, words), "indexed"), words, net)
+
+
+def scored(own: DataFrame, words: Words, net: Network) -> DataFrame:
+    """The scores of indexed texts, which are staged."""
+    shared = own.sparkSession.sparkContext.broadcast((words.tables(), net.flat))
 
     def run(batches):
         known, flat_net = shared.value
-        own_net, held = Network(flat_net, len(known.frequency)), len(known.index)
-        key = TaskContext.get().partitionId() << 36
+        own_net = Network(flat_net, len(known.frequency))
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for low, high in byte_bpe.slices(b.column(1), 2_000_000):
-                parts = [tokens(t) for t in texts[low:high]]
-                flat, classes, sizes = _joined(known, parts)
+            for low, high, flat, classes, sizes in _texts(b.column(2), known):
                 at = _positions(sizes)
                 each = known.log_share[flat]
                 for k in range(0, len(at), 8192):
                     part = at[k : k + 8192]
                     each[k : k + 8192] += own_net.log_likelihood(_around(classes, part), classes[part])
-                ends = np.concatenate([[0], np.cumsum(sizes)])
-                sums = np.diff(np.concatenate([[0.0], np.cumsum(each)])[ends])
-                out = flat >= held
-                every = [w for x in parts for w in x]
-                outside = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(out)])[ends], pa.int32()), pa.array([every[i] for i in np.flatnonzero(out)], pa.string()))
-                arrays = [pa.array(np.arange(key, key + high - low), pa.int64()), b.column(0).slice(low, high - low), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), outside]
-                key += high - low
-                yield pa.RecordBatch.from_arrays(arrays, names=["row", "doc_id", "n_tokens", "part", "outside"])
+                sums = np.diff(np.concatenate([[0.0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(sizes)])])
+                arrays = [b.column(0).slice(low, high - low), b.column(1).slice(low, high - low), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["row", "doc_id", "n_tokens", "part"])
 
-    parts = common.staged(docs.select("doc_id", "text").mapInArrow(run, "row long, doc_id long, n_tokens long, part double, outside array<string>"), "scores")
-    more = parts.select("row", F.explode("outside").alias("word")).join(words.counts, "word").groupBy("row").agg(F.sum(F.log("n")).alias("more"))
+    parts = own.select("row", "doc_id", "words").mapInArrow(run, "row long, doc_id long, n_tokens long, part double")
+    more = own.select("row", F.explode("outside").alias("word")).join(words.counts, "word").groupBy("row").agg(F.sum(F.log("n")).alias("more"))
     whole = F.col("part") + F.coalesce("more", F.lit(0.0))
-    scored = parts.drop("outside").join(more, "row", "left").select("doc_id", "n_tokens", whole.alias("log_likelihood"))
-    return scored.withColumn("mean_log_likelihood", F.col("log_likelihood") / F.greatest("n_tokens", F.lit(1)))
+    out = parts.join(more, "row", "left").select("doc_id", "n_tokens", whole.alias("log_likelihood"))
+    return out.withColumn("mean_log_likelihood", F.col("log_likelihood") / F.greatest("n_tokens", F.lit(1)))
 
 
 def op6_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
     words = vocabulary(docs)
-    return score(docs, words, train(docs, words))
+    own = common.staged(indexed(docs, words), "indexed")
+    return scored(own, words, learned(own, words))

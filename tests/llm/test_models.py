@@ -171,3 +171,16 @@ def test_each_document_is_trained_on(docs):
     at = [masked_lm._positions(np.array([2] * 40))[masked_lm._masked(np.array([2] * 40), np.random.default_rng(k))] for k in range(2)]
     assert all(len(x) == 40 for x in at) and not np.array_equal(*at)
     assert not np.array_equal(masked_lm.train(own.where("doc_id = 0"), words).flat, masked_lm.Network.start(words.frequency).flat)
+
+
+def test_every_position_is_trained_on(docs):
+    """The turns mask each token once, and each neighbour of each token is learned from."""
+    sizes = np.array([1, 0, 3, 8, 2, 17, 100])
+    turns = [masked_lm._masked(sizes, np.random.default_rng(3), k) for k in range(masked_lm.MASKED)]
+    assert (np.sum(turns, axis=0) == 1).all()
+    own = docs([(1, " ".join(f"w{i}" for i in range(12)))])
+    words = masked_lm.vocabulary(own)
+    start, net = masked_lm.Network.start(words.frequency), masked_lm.train(own, words)
+    moved = (start.parts[0] != net.parts[0]).any(axis=2)
+    for table, off in enumerate((-2, -1, 1, 2)):
+        assert [bool(moved[table][words.of_class[words.index[f"w{i}"]]]) for i in range(12)] == [0 <= i - off < 12 for i in range(12)]
