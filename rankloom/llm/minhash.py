@@ -7,7 +7,8 @@ At a similarity of 0.85, all 24 bands of 5 differ with a probability of 1e-6; th
 0.04 there and goes only when 0.2 under.
 
 Documents with equal sets form a class, which one document stands for. Classes that share a bucket and have a near enough
-estimate make clusters, found from the least class of each bucket, then between what is still apart. Within a cluster, all
+estimate make clusters, found from the least class of each bucket, then between what is still apart. Where a bucket holds many that are apart
+(texts around one common passage), these meet by the rarest shingles of their whole sets instead, which loses none: linked sets share one. Within a cluster, all
 whole sets are compared, in blocks of bounded size, two blocks a task, which leaves a spanning star of the links and never a
 row for each pair. No bucket and no cluster has a cap.
 
@@ -24,7 +25,8 @@ import base64
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common, graph
@@ -32,8 +34,9 @@ from . import common, graph
 WORDS, BANDS, ROWS, BITS = 5, 24, 5, 2
 HASHES = BANDS * ROWS
 MARGIN = 0.2
-#: Sets of a block, the shingles that they have together, on average, and nodes of a block of estimates.
-BLOCK, BLOCK_SHINGLES, APART = 256, 3_000_000, 64
+#: Sets of a block, the shingles that they have together, on average, nodes of a block of estimates, and nodes of a bucket that are
+#: apart from which on they meet by rare shingles.
+BLOCK, BLOCK_SHINGLES, APART, CROWDED = 256, 3_000_000, 64, 256
 WORD_CACHE, LONG_WORD = 250_000, 64  # words kept, and the longest of them in bytes
 _U64 = np.uint64
 _RNG = np.random.default_rng(20_240_229)
@@ -187,14 +190,59 @@ def links_within(docs: DataFrame, clusters: DataFrame, percent: int) -> DataFram
     return entries.groupBy("component", "low", "high").applyInArrow(lambda t: compare_blocks(t, percent), "a long, b long")
 
 
-def candidate_clusters(nodes: DataFrame, least: float) -> DataFrame:
+def rare_shingles(docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(node, bucket): of the whole set of each of the nodes, its first shingles in an order that puts those of more than ``CROWDED`` sets
+    last. A set's links share ``percent`` of it; all but one less than that come first, so that two linked sets have one of these in common."""
+
+    def sets(batches):
+        key = TaskContext.get().partitionId() << 36
+        with common.task_memory(_words):
+            for b in batches:
+                own = [shingle_set(t.as_py() or b"").view(np.int64) for t in b.column(1).cast(pa.binary())]
+                arrays = [pa.array(np.arange(key, key + len(own)), pa.int64()), b.column(0), pa.array(own, pa.list_(pa.int64()))]
+                key += len(own)
+                yield pa.RecordBatch.from_arrays(arrays, names=["key", "node", "shingles"])
+
+    some = nodes.select(F.col("node").alias("doc_id")).hint("merge")
+    own = common.staged(docs.select("doc_id", "text").join(some, "doc_id", "left_semi").mapInArrow(sets, "key long, node long, shingles array<long>"), "sets")
+    size = F.size("shingles")
+    entries = own.select("key", "node", (size - F.ceil(size * percent / 100) + 1).alias("most"), F.explode("shingles").alias("bucket"))
+    frequent = entries.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED)
+    order = Window.partitionBy("key").orderBy(F.coalesce("n", F.lit(0)), "bucket")
+    ranked = entries.join(frequent, "bucket", "left").withColumn("rank", F.row_number().over(order))
+    return ranked.where("rank <= most").select("node", "bucket").distinct()
+
+
+def _labelled(members: DataFrame, found: DataFrame) -> DataFrame:
+    """bucket, node, hub, component, apart: whether it isn't in the component of the bucket's least node."""
+    out = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    of_hub = out.where("node = hub").select("bucket", F.col("component").alias("hub_component")).distinct()
+    return out.join(of_hub, "bucket").select("bucket", "node", "hub", "component", (F.col("component") != F.col("hub_component")).alias("apart"))
+
+
+def _with_hubs(entries: DataFrame) -> DataFrame:
+    """bucket, node, hub: of buckets of several nodes, with the least node."""
+    hubs = entries.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").drop("top")
+    return common.staged(entries.join(hubs, "bucket"), "members")
+
+
+def uncrowded(labelled: DataFrame, found: DataFrame, rare) -> DataFrame:
+    """The members of buckets (``_labelled``), where those of crowded buckets are dealt anew by their rare shingles."""
+    crowded = common.staged(labelled.where("apart").groupBy("bucket").count().where(F.col("count") > CROWDED).select("bucket"), "crowded")
+    if rare is None or not crowded.limit(1).count():
+        return labelled
+    nodes = common.staged(labelled.join(crowded, "bucket", "left_semi").select("node").distinct(), "nodes")
+    by_shingle = _labelled(_with_hubs(rare(nodes)), found)
+    return common.staged(labelled.join(crowded, "bucket", "left_anti").unionByName(by_shingle), "members")
+
+
+def candidate_clusters(nodes: DataFrame, least: float, rare=None) -> DataFrame:
     """(node, component): nodes that a chain of shared buckets with an estimate of at least ``least`` connects.
 
     Each node meets the least node of each of its buckets; where that leaves a bucket in several components, those that
-    aren't with it meet the nodes of the other components, in blocks of ``APART``."""
-    banded = nodes.select("node", F.explode("bands").alias("bucket"))
-    hubs = banded.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").drop("top")
-    members = common.staged(banded.join(hubs, "bucket"), "members")
+    aren't with it meet the nodes of the other components, in blocks of ``APART``. ``rare(nodes)`` gives shingles (node, bucket), by which
+    those of crowded buckets meet."""
+    members = _with_hubs(nodes.select("node", F.explode("bands").alias("bucket")))
     bits = lambda k: nodes.select(F.col("node").alias(k), F.col("bits").alias(f"bits_{k}"))
     near = bit_similarity("bits_a", "bits_b") >= least
 
@@ -202,15 +250,15 @@ def candidate_clusters(nodes: DataFrame, least: float) -> DataFrame:
     star = common.staged(star.join(bits("a"), "a").join(bits("b"), "b").where(near).select("a", "b"), "pairs")
     found = graph.connected_components(star)
 
-    labelled = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    of_hub = labelled.where("node = hub").select("bucket", F.col("component").alias("hub_component"))
-    labelled = common.staged(labelled.where("node <> hub").join(of_hub, "bucket").withColumn("apart", F.col("component") != F.col("hub_component")), "members")
+    labelled = common.staged(_labelled(members, found).where("node <> hub"), "members")
+    labelled = uncrowded(labelled, found, rare)
     # the apart nodes of a bucket are dealt into blocks, and what they meet goes to each block: the pairs of a bucket are spread over tasks
     apart = labelled.where("apart")
     sizes = apart.groupBy("bucket").agg(F.ceil(F.count("*") / APART).cast("int").alias("blocks"))
     left = apart.join(sizes, "bucket").select("bucket", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.col("node").alias("a"), F.col("component").alias("of_a"))
-    right = labelled.join(sizes, "bucket").select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("node").alias("b"), F.col("component").alias("of_b"))
-    across = left.join(bits("a"), "a").join(right.join(bits("b"), "b"), ["bucket", "block"]).where((F.col("of_a") != F.col("of_b")) & near)
+    right = labelled.join(sizes, "bucket").select("bucket", "blocks", F.col("node").alias("b"), F.col("component").alias("of_b")).join(bits("b"), "b")
+    right = right.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    across = left.join(bits("a"), "a").join(right, ["bucket", "block"]).where((F.col("of_a") != F.col("of_b")) & near)
     across = common.staged(across.select("a", "b").distinct(), "pairs")
     return graph.connected_components(star.unionByName(across)) if across.limit(1).count() else found
 
@@ -223,7 +271,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     nodes = common.staged(
         named.join(classes, (named.set_key == classes.set_key) & (named.doc_id == classes.node)).select("node", "bands", "bits", "n_shingles"), "nodes"
     )
-    clusters = candidate_clusters(nodes, percent / 100 - MARGIN).join(nodes.select("node", "n_shingles"), "node")
+    rare = lambda some: rare_shingles(docs, some, percent)
+    clusters = candidate_clusters(nodes, percent / 100 - MARGIN, rare).join(nodes.select("node", "n_shingles"), "node")
     found = graph.connected_components(common.staged(links_within(docs, clusters, percent), "links"))
     by_class = classes.join(found, "node", "left").select("set_key", F.coalesce("component", "node").alias("of_class"))
     out = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(by_class, "set_key", "left")

@@ -83,6 +83,28 @@ def test_a_bucket_of_several_clusters_is_met_in_blocks(spark, monkeypatch):
     assert got == {i: (i - 1) % 5 + 1 for i in range(1, 41)}
 
 
+def test_a_crowded_bucket_meets_by_rare_shingles(docs, spark, monkeypatch):
+    """Texts around one passage share buckets and are apart: they are dealt to buckets that don't grow with their number, and no link is lost."""
+    monkeypatch.setattr(minhash, "CROWDED", 8)
+    rng = random.Random(2)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for i in range(90):
+        own = passage + [f"w{rng.randrange(10**6)}" for _ in range(40)]
+        rows.append((i, " ".join(own)))
+        if i % 9 == 0:  # a near copy
+            rows.append((500 + i, " ".join(own[:-1] + ["other"])))
+    sets = {k: shingles(t) for k, t in rows}
+    want = components(list(sets), lambda a, b: 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]))
+    seen = []
+    real = minhash.uncrowded
+    monkeypatch.setattr(minhash, "uncrowded", lambda labelled, *rest: seen.append((labelled, out := real(labelled, *rest))) or out)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(rows), 85).collect()}
+    assert got == want and len(set(want.values())) == 90
+    before, after = ([r["count"] for r in x.where("apart").groupBy("bucket").count().collect()] for x in seen[0])
+    assert max(before) > 8 and max(after, default=0) <= 8
+
+
 def test_keep_one_keeps_columns_and_one_of_each(docs):
     text = "one two three four five six seven"
     out = minhash.keep_one(docs([(2, text), (1, text), (1, text), (3, "other words in this text here"), (None, text)], clash=True))
@@ -122,6 +144,17 @@ def test_connected_components(spark):
     assert graph.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_read_links_once(spark, monkeypatch):
+    """A large star, a long chain and a star around the greatest node: later rounds have next to nothing left of the links."""
+    held = []
+    real = graph.common.staged
+    monkeypatch.setattr(graph.common, "staged", lambda df, name: held.append((name, (out := real(df, name)).count())) or out)
+    links = [(1, i) for i in range(2, 500)] + [(i, i + 1) for i in range(1000, 1400)] + [(2900, i) for i in range(2000, 2400)]
+    got = {r.node: r.component for r in graph.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {**{i: 1 for i in range(1, 500)}, **{i: 1000 for i in range(1000, 1401)}, **{i: 2000 for i in [*range(2000, 2400), 2900]}}
+    assert sum(n for name, n in held if name == "links") < 1.4 * len(links)
+
+
 VECTORS = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("label", T.IntegerType())])
 
 
