@@ -153,9 +153,10 @@ class Network:
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
         tables, bias = self.parts[0], self.parts[1]
-        h = tables[0][around[0]] + bias
+        h = tables[0].take(around[0], axis=0)
+        h += bias
         for k in range(1, 2 * SIDE):
-            h += tables[k][around[k]]
+            h += tables[k].take(around[k], axis=0)
         return np.tanh(h, out=h)
 
     def by_group(self, target: np.ndarray):
@@ -167,13 +168,18 @@ class Network:
         runs = [(int(group[low]), slice(low, high)) for low, high in zip(starts, [*starts[1:], len(order)])]
         return order, group, place[order], runs
 
+    def within(self, h: np.ndarray, group: np.ndarray, runs: list) -> np.ndarray:
+        """Each row's logits of the classes of its group."""
+        z = self.parts[5].take(group, axis=0)
+        for g, rows in runs:
+            z[rows] += h[rows] @ self.parts[4][g]
+        return z
+
     def log_likelihood(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
-        _, _, out, out_bias, low, low_bias = self.parts
+        out, out_bias = self.parts[2:4]
         order, group, place, runs = self.by_group(target)
         h = self.hidden(around[:, order])
-        own = _log_share(h @ out + out_bias, group)
-        for g, rows in runs:
-            own[rows] += _log_share(h[rows] @ low[g] + low_bias[g], place[rows])
+        own = _log_share(h @ out + out_bias, group) + _log_share(self.within(h, group, runs), place)
         total = np.empty_like(own)
         total[order] = own
         return total
@@ -181,7 +187,7 @@ class Network:
     def learn(self, around: np.ndarray, target: np.ndarray, squares: np.ndarray, rate: float = 0.1) -> None:
         """One step of Adagrad on a batch of masked positions. Only what the batch touches has a gradient, and only that is changed: the
         neighbours' rows of the tables, the targets' groups, and what all share, which grows with the number of groups."""
-        _, _, out, out_bias, low, low_bias = self.parts
+        out, out_bias, low = self.parts[2:5]
         order, group, place, runs = self.by_group(target)
         around = around[:, order]
         n, h, past = len(target), self.hidden(around), Network(squares, self.classes)
@@ -196,13 +202,11 @@ class Network:
         one = np.ones(n, self.flat.dtype)
         d = _error(h @ out + out_bias, group, n)
         back, shared = d @ out.T, (h.T @ d, one @ d)
-        some, weights, biases = [], [], []
+        d = _error(self.within(h, group, runs), place, n)
+        some = [g for g, _ in runs]
+        weights, biases = [h[rows].T @ d[rows] for _, rows in runs], [one[rows] @ d[rows] for _, rows in runs]
         for g, rows in runs:
-            d = _error(h[rows] @ low[g] + low_bias[g], place[rows], n)
-            some.append(g)
-            weights.append(h[rows].T @ d)
-            biases.append(one[: len(d)] @ d)
-            back[rows] += d @ low[g].T
+            back[rows] += d[rows] @ low[g].T
         back *= 1 - h * h
         step(1, ..., one @ back)
         step(2, ..., shared[0])
@@ -213,7 +217,13 @@ class Network:
             order = _order(around[k], self.classes + 1)
             found = around[k][order]
             starts = _starts(found)
-            step(0, (k, found[starts]), np.add.reduceat(back[order], starts, axis=0))
+            step(0, (k, found[starts]), _sums(back.take(order, axis=0), starts))
+
+
+def _sums(rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of the runs of rows that begin at ``starts``. Taken as complex numbers, two columns at a time are added, in half the time."""
+    pairs = {np.float32: np.complex64, np.float64: np.complex128}[rows.dtype.type]
+    return np.add.reduceat(rows.view(pairs), starts, axis=0).view(rows.dtype)
 
 
 def _order(values: np.ndarray, n: int) -> np.ndarray:

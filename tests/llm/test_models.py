@@ -184,3 +184,13 @@ def test_every_position_is_trained_on(docs):
     moved = (start.parts[0] != net.parts[0]).any(axis=2)
     for table, off in enumerate((-2, -1, 1, 2)):
         assert [bool(moved[table][words.of_class[words.index[f"w{i}"]]]) for i in range(12)] == [0 <= i - off < 12 for i in range(12)]
+
+
+def test_steep_logits_and_sums_of_runs():
+    """Logits of any size give finite probabilities in single precision; runs of rows are summed as they are."""
+    z = np.array([[1e6, -1e6, 0.0], [-1e9, 3.0, 3.0]], np.float32)
+    assert masked_lm._log_share(z.copy(), np.array([1, 1])) == pytest.approx([-2 * masked_lm.STEEP, -np.log(2)], abs=1e-4)
+    assert np.isfinite(masked_lm._error(z.copy(), np.array([1, 0]), 2)).all()
+    for kind in (np.float32, np.float64):
+        rows = np.random.default_rng(4).standard_normal((50, masked_lm.HIDDEN)).astype(kind)
+        assert np.allclose(masked_lm._sums(rows, np.array([0, 1, 7, 49])), np.add.reduceat(rows, [0, 1, 7, 49], axis=0), atol=1e-5)
