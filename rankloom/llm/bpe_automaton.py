@@ -10,7 +10,8 @@ no gadget changed: each keeps those that a gadget took from it, and when, and th
 That automaton reads labels. Compiled with it is one that reads symbols: its states are the beginnings of labels, with an arc
 for each symbol that leads to a longer one, a failure arc to the longest that remains, and the labels that end there. A word
 is encoded by one walk through it: after each symbol, of the labels that end there, the longest that the label automaton
-takes after the path before it is the last arc of the prefix's own path. Decoding emits arc labels.
+takes after the path before it is the last arc of the prefix's own path. What a walk found for a beginning holds for all words
+that begin so; sorted words are encoded one after the other, each from where it parts from the one before. Decoding emits arc labels.
 
 Cases: null text counts as empty (no ids, empty decoded text); rows are independent, so null or repeated doc_ids, empty
 tables and other columns need no rule.
@@ -21,20 +22,24 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_bpe, common
 
-#: Bytes of chunks and of words after which a worker starts that cache anew; bounds its memory, not the work.
-CHUNK_BYTES, WORD_BYTES, PAIRS = 96 << 20, 48 << 20, 1_000_000
-#: Longer chunks and words are encoded each time they occur.
-LONGEST = 200
+#: Answers of the label automaton after which a worker starts their record anew; bounds its memory, not the work.
+PAIRS = 1_000_000
 #: The splitting pattern of the vocabulary file, with its white space spelled out.
 SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + SPACE + r"\p{L}\p{N}]+"
+#: Before a special string among chunks: lower-cased text has no such letter.
+SPECIAL = "A"
 
 
 def default_path() -> str:
@@ -125,35 +130,51 @@ class Automaton:
 
     def encode(self, symbols: list[str]) -> list[str]:
         """The labels of the one accepted path that spells the symbols."""
+        return next(self.encode_all([symbols]))
+
+    def encode_all(self, words: Iterable[list[str]]) -> Iterator[list[str]]:
+        """``encode`` of each word. A walk begins where the word parts from the one before it, which sorted words do late."""
         arcs, fails, ends, table, takes = self.arcs, self.fails, self.ends, self.table, self.takes
-        begins, labels, state = [0], [""], 0
-        for i, symbol in enumerate(symbols, 1):
-            to = arcs[state].get(symbol)
-            while to is None:
-                if not state:
-                    raise KeyError(symbol)
-                state = fails[state]
+        begins, labels, states, before = [0], [""], [0], []
+        for symbols in words:
+            i = 0
+            for a, b in zip(before, symbols):
+                if a != b:
+                    break
+                i += 1
+            before = symbols
+            del begins[i + 1 :], labels[i + 1 :], states[i + 1 :]
+            state = states[i]
+            for symbol in symbols[i:]:
+                i += 1
                 to = arcs[state].get(symbol)
-            state = to
-            for x, n in ends[state]:
-                if i > n:
-                    found = table.get((labels[i - n], x))
-                    if found is None:
-                        found = takes(labels[i - n], x)
-                    if not found:
-                        continue
-                begins.append(i - n)
-                labels.append(x)
-                break
-        out, i = [], len(symbols)
-        while i:
-            out.append(labels[i])
-            i = begins[i]
-        return out[::-1]
-
-
-class WordBpe:
-    """Normalises, splits and encodes as the vocabulary file states; special strings are taken as they stand."""
+                while to is None:
+                    if not state:
+                        raise KeyError(symbol)
+                    state = fails[state]
+                    to = arcs[state].get(symbol)
+                state = to
+                for x, n in ends[state]:
+                    if i > n:
+                        found = table.get((labels[i - n], x))
+                        if found is None:
+                            found = takes(labels[i - n], x)
+                        if not found:
+                            continue
+                    begins.append(i - n)
+                    labels.append(x)
+                    break
+                states.append(state)
+            out = []
+            while i:
+                out.append(labels[i])
+                i = begins[i]
+            yield out[::-1]
+
+
+class WordBpe(byte_bpe.ByteBpe):
+    """Normalises, splits and encodes as the vocabulary file states; special strings are taken as they stand. No word crosses
+    a space, so texts are cut into chunks there; ids are kept of chunks (known after a space) and of their words (known after nothing)."""
 
     def __init__(self, path: str):
         import regex
@@ -167,74 +188,81 @@ class WordBpe:
         self.suffix = model["end_of_word_suffix"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.labels = {i: x for x, i in [*self.vocab.items(), *self.special.items()]}  # arc labels, by id
+        n = max(self.labels) + 1
+        self.dtype = np.dtype("<u2" if n <= 1 << 16 else "<u4")
+        self.written = [pa.array(x, pa.large_string()) for x in ([str(i) for i in range(n)], [self.labels.get(i) for i in range(n)])]
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.plain = regex.compile("[\\x00-\u052f\u2010-\u2027]*")
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
-        self.split = regex.compile(SPLIT)
-        self.symbols = byte_bpe.byte_symbols()
+        self.split = regex.compile(SPLIT + "| ")
+        self.symbols = dict(enumerate(byte_bpe.byte_symbols()))
         self.clear()
 
     def clear(self) -> None:
-        self.words: dict[str, list[int]] = {}
-        self.chunks: dict[str, tuple[int, str, str]] = {}
-        self.word_bytes = self.chunk_bytes = 0
-        self.automaton.table.clear()
-
-    def word_ids(self, word: str) -> list[int]:
-        ids = self.words.get(word)
-        if ids is None:
-            symbols = [self.symbols[b] for b in word.encode()]
-            symbols[-1] += self.suffix
-            ids = [self.vocab[x] for x in self.automaton.encode(symbols)]
-            if len(word) <= LONGEST:
-                if self.word_bytes > WORD_BYTES:
-                    self.words.clear()
-                    self.word_bytes = 0
-                self.words[word] = ids
-                self.word_bytes += 220 + 8 * len(ids) + len(word)
-        return ids
+        super().clear()
+        self._keep([" "], "", np.zeros(0, self.dtype), np.zeros(1, np.int64))
+        self._keep([SPECIAL + x for x in self.special], " ", np.array([*self.special.values()], self.dtype), np.ones(len(self.special), np.int64))
+
+    def normal(self, text: str) -> str:
+        """The text as the library normalises it, but for white space, whose kind doesn't matter. Special strings are taken out
+        before, and stand marked between spaces. Scripts whose letters depend on the version of Unicode are left to the library itself."""
+        parts = self.cut.split(text)
+        for k in range(0, len(parts), 2):
+            if self.plain.fullmatch(parts[k]):
+                parts[k] = unicodedata.normalize("NFC", parts[k]).replace("Σ", "σ").replace("\n", " ").lower()
+            else:
+                parts[k] = self.library.normalizer.normalize_str(parts[k])
+        parts[1::2] = [SPECIAL + x for x in parts[1::2]]
+        return " ".join(parts)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        lists = pc.split_pattern(pa.array([self.normal(t or "") for t in texts.to_pylist()], pa.large_string()), " ")
+        chunks = lists.flatten()
+        return self.encode_chunks(np.asarray(lists.offsets), len(chunks), [(" ", slice(None), chunks.dictionary_encode())])
+
+    def _learn(self, missing: pa.Array, before: str) -> None:
+        strings = missing.to_pylist()
+        if before:
+            self._learn_chunks(strings)
+            return
+        strings.sort()
+        ids = [[self.vocab[x] for x in labels] for labels in self.automaton.encode_all(map(self._spelled, strings))]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        self._keep(strings, "", np.fromiter(chain.from_iterable(ids), self.dtype, int(size.sum())), size)
+
+    def _learn_chunks(self, chunks: list[str]) -> None:
+        """Words of normalised chunks, each chunk's followed by a space, which has no ids; split by the same rule as ``normal``."""
+        other = [c for c in chunks if not c.isascii() and not self.plain.fullmatch(c)]
+        if other:
+            apart = set(other)
+            chunks = [c for c in chunks if c not in apart]
+        words = self.split.findall(" ".join([*chunks, ""]))
+        for c in other:
+            words += [c[low:high] for _, (low, high) in self.library.pre_tokenizer.pre_tokenize_str(c)]
+            words.append(" ")
+        words = pa.array(words, pa.large_string())
+        number = self._numbers(words.dictionary_encode(), "")
+        size, ends = self.size[number], np.flatnonzero(pc.equal(words, " ").to_numpy(zero_copy_only=False))
+        self._keep(chunks + other, " ", self.flat[byte_bpe.ranges(self.begin[number], size)], np.diff(np.cumsum(size)[ends], prepend=0))
+
+    def _spelled(self, word: str) -> list[str]:
+        symbols = [*word.encode().decode("latin-1").translate(self.symbols)]
+        symbols[-1] += self.suffix
+        return symbols
 
     def ids(self, text: str) -> list[int]:
-        out = []
-        for k, part in enumerate(self.cut.split(text)):
-            if k % 2:
-                out.append(self.special[part])
-                continue
-            for word in self.words_of(part):
-                out.extend(self.word_ids(word))
-        return out
-
-    def words_of(self, part: str) -> list[str]:
-        """Normalised words. Scripts whose letters depend on the version of Unicode are split by the library itself."""
-        if self.plain.fullmatch(part):
-            return self.split.findall(unicodedata.normalize("NFC", part).replace("Σ", "σ").lower())
-        part = self.library.normalizer.normalize_str(part)
-        return [part[low:high] for _, (low, high) in self.library.pre_tokenizer.pre_tokenize_str(part)]
+        return self.encode(pa.array([text], pa.string()))[0].tolist()
 
     def decode(self, ids: list[int]) -> str:
         return " ".join([self.labels[i] for i in ids])
 
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, their decimals, the decoded text. No word crosses a space, so chunks are kept and joined."""
-        chunks, found = self.chunks, []
-        for chunk in text.split(" "):
-            if not chunk:
-                continue
-            e = chunks.get(chunk)
-            if e is None:
-                ids = self.ids(chunk)
-                e = (len(ids), " ".join(map(str, ids)), self.decode(ids))
-                if len(chunk) <= LONGEST:
-                    if self.chunk_bytes > CHUNK_BYTES:
-                        chunks.clear()
-                        self.chunk_bytes = 0
-                    chunks[chunk] = e
-                    self.chunk_bytes += 320 + len(chunk) + len(e[1]) + len(e[2])
-            if e[0]:
-                found.append(e)
-        return sum([e[0] for e in found]), " ".join([e[1] for e in found]), " ".join([e[2] for e in found])
+    def digests(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array, pa.Array]:
+        """Of each text: number of ids, their decimals, the decoded text."""
+        ids, at = self.encode(texts)
+        ids, offsets, space = pa.array(ids), pa.array(at, pa.int32()), pa.scalar(" ", pa.large_string())
+        return np.diff(at), *[pc.binary_join(pa.ListArray.from_arrays(offsets, x.take(ids)), space) for x in self.written]
 
 
 _LOADED: dict[str, WordBpe] = {}
@@ -251,10 +279,11 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         bpe = loaded(path)
-        with common.task_memory(bpe):
+        with common.task_memory(bpe, bpe.automaton.table):
             for b in batches:
                 for low, high in byte_bpe.slices(b.column(1)):
-                    ids = pa.array([bpe.ids(t or "") for t in b.column(1).slice(low, high - low).to_pylist()], pa.list_(pa.int32()))
+                    ids, at = bpe.encode(b.column(1).slice(low, high - low))
+                    ids = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
                     yield pa.RecordBatch.from_arrays([b.column(0).slice(low, high - low), ids], names=["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
@@ -276,12 +305,12 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         bpe, sha = loaded(path), hashlib.sha256
-        with common.task_memory(bpe):
+        with common.task_memory(bpe, bpe.automaton.table):
             for b in batches:
                 for low, high in byte_bpe.slices(b.column(1)):
-                    own = [bpe.digest(t or "") for t in b.column(1).slice(low, high - low).to_pylist()]
-                    arrays = [b.column(0).slice(low, high - low), pa.array([x[0] for x in own], pa.int64())]
-                    arrays += [pa.array([sha(x[k].encode()).hexdigest() for x in own], pa.string()) for k in (1, 2)]
+                    n, *joined = bpe.digests(b.column(1).slice(low, high - low))
+                    arrays = [b.column(0).slice(low, high - low), pa.array(n)]
+                    arrays += [pa.array([sha(x.as_buffer()).hexdigest() for x in column], pa.string()) for column in joined]
                     yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", F.col("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

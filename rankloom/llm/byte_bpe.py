@@ -63,7 +63,7 @@ def _strings(column: pa.Array) -> list[str]:
     return column.to_numpy(zero_copy_only=False).tolist()
 
 
-def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+def ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """begin, begin + 1, ... of each range, one range after the other."""
     before = np.cumsum(size) - size
     at = np.repeat(begin - before, size)
@@ -121,7 +121,7 @@ class ByteBpe:
             own = [(c, i) for b, c, i in kept if b == before]
             if own:
                 at = np.array([i for _, i in own])
-                self._keep([c for c, _ in own], before, flat[_ranges(begin[at], size[at])], size[at])
+                self._keep([c for c, _ in own], before, flat[ranges(begin[at], size[at])], size[at])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, without special tokens added, and where each text's begin, then their
@@ -138,7 +138,7 @@ class ByteBpe:
         for before, some, coded in parts:
             number[some] = self._numbers(coded, before)
         size = self.size[number]
-        return self.flat[_ranges(self.begin[number], size)], np.concatenate([[0], np.cumsum(size)])[offsets]
+        return self.flat[ranges(self.begin[number], size)], np.concatenate([[0], np.cumsum(size)])[offsets]
 
     def _numbers(self, coded: pa.DictionaryArray, before: str) -> np.ndarray:
         known = self.known[before]

@@ -189,3 +189,37 @@ def test_symbol_automaton_is_deterministic_and_complete():
     for state in np.random.default_rng(1).integers(1, len(auto.arcs), 3000).tolist():
         text = spelled[state]
         assert [x for x, _ in auto.ends[state]] == [x for k in range(len(text)) if (x := "".join(text[k:])) in auto.alive]
+
+
+def test_words_of_a_slice_share_the_walk_of_their_beginnings(word_library):
+    """Words that begin alike, in any order: the automaton reads a common beginning once, not once for each word."""
+    word = bpe_automaton.WordBpe(bpe_automaton.default_path())
+    words = ["unforeseeable" * 6 + a + b for a in "abcdefghij" for b in "klmnopqrst"]
+    text = " ".join(words[k] for k in np.random.default_rng(2).permutation(len(words)))
+
+    class Counted(list):
+        read = 0
+
+        def __getitem__(self, at):
+            Counted.read += 1
+            return list.__getitem__(self, at)
+
+    word.automaton.arcs = Counted(word.automaton.arcs)
+    assert word.ids(text) == word_library.encode(text, add_special_tokens=False).ids
+    assert Counted.read < len(text) / 5
+
+
+def test_word_encoder_forgets_and_learns_anew(word_library, monkeypatch):
+    """Slices of texts whose words return, with special strings, other scripts and long words, under a small bound of the cache."""
+    monkeypatch.setattr(byte_bpe, "CACHE_BYTES", 20_000)
+    word, rng = bpe_automaton.WordBpe(bpe_automaton.default_path()), np.random.default_rng(4)
+    hard = [None, *TEXTS, "A<|endoftext|>A <|startoftext|>\n", "<|ENDOFTEXT|> 日本語 Ⱥb 漢字's J̌", "z" * 900 + "é", "\x1c\x85  x"]
+    for turn in range(8):
+        texts = [*hard, *(" ".join(f"w{rng.integers(0, 300 * (1 + turn % 3))}{'!' * (k % 3)}" for k in range(n)) for n in rng.integers(1, 300, 6))]
+        texts = [texts[k] for k in rng.permutation(len(texts))]
+        n, ids, decoded = word.digests(pa.array(["before", *texts], pa.string()).slice(1))
+        want = [word_library.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert n.tolist() == [len(x) for x in want]
+        assert ids.to_pylist() == [" ".join(map(str, x)) for x in want]
+        assert decoded.to_pylist() == [word_library.decode(x, skip_special_tokens=False) for x in want]
+        assert word.held < 400_000
