@@ -20,11 +20,12 @@ gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from dataclasses import dataclass, replace
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,37 +39,39 @@ HIDDEN, SIDE, MASKED, BATCH = 24, 2, 8, 4096
 PAD = CLASSES
 #: Logits at most; their exponentials and sums stay within single precision.
 STEEP = 60
-#: Words counted at once, and characters of those longer than LONG_WORD.
-COUNTED, LONG_WORD, MOST_HELD = 400_000, 64, 16 << 20
+#: Words and bytes of counts held at once.
+COUNTED, MOST_HELD = 400_000, 16 << 20
 
 
-def tokens(text: str | None) -> list[str]:
-    return (text or "").lower().split()
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The tokens of texts one after the other, those of Python's ``lower().split()``, and each text's number of them. Arrow cuts
+    at the same characters, without an object for each token."""
+    own = [(t or "").lower().strip() or None for t in texts.to_pylist()]
+    parts = pc.utf8_split_whitespace(pa.array(own, pa.string()))
+    return parts.flatten(), pc.fill_null(parts.value_lengths(), 0).to_numpy().astype(np.int64)
 
 
 def count_words(docs: DataFrame) -> DataFrame:
     """word, n: over all documents."""
 
     def run(batches):
-        counts: Counter = Counter()
-        held = 0  # characters of long words, beside which the others' count bounds what is held
-
-        def rows():
-            nonlocal held
-            held = 0
-            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
-            counts.clear()
-            return out
-
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                own = tokens(text)
-                counts.update(own)
-                if own and max(map(len, own)) > LONG_WORD:
-                    held += sum(len(w) for w in own if len(w) > LONG_WORD)
-                if len(counts) > COUNTED or held > MOST_HELD:
-                    yield rows()
-        yield rows()
+        held = []  # the first: of all slices merged so far
+
+        def merged() -> pa.Table:
+            whole = pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")])
+            held[:] = [whole.select(["word", "n_sum"]).rename_columns(["word", "n"])]
+            return held[0]
+
+        with common.task_memory(held):
+            for b in batches:
+                for low, high in byte_bpe.slices(b.column(0), 2_000_000):
+                    counts = split(b.column(0).slice(low, high - low))[0].value_counts()
+                    held.append(pa.table({"word": counts.field("values"), "n": counts.field("counts")}))
+                    if sum(map(len, held[1:])) > COUNTED or sum(t.nbytes for t in held) > MOST_HELD:
+                        if len(merged()) > COUNTED or held[0].nbytes > MOST_HELD // 2:
+                            yield from held.pop().to_batches()
+            if held:
+                yield from merged().to_batches()
 
     return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -84,11 +87,13 @@ class Words:
     frequency: np.ndarray
     counts: DataFrame | None
 
-    def indices(self, words: list[str]) -> list[int]:
-        get, n = self.index.get, len(self.index)
-        other = len(self.of_class) - n
-        found = [get(w, -1) for w in words]
-        return [i if i >= 0 else n + zlib.crc32(w.encode("utf-8", "surrogatepass")) % other for i, w in zip(found, words)]
+    def indices(self, words: list[str]) -> np.ndarray:
+        n = len(self.index)
+        found = np.fromiter(map(self.index.get, words, repeat(-1)), np.int32, len(words))
+        out = np.flatnonzero(found < 0)
+        hashes = np.fromiter((zlib.crc32(words[i].encode("utf-8", "surrogatepass")) for i in out.tolist()), np.int64, len(out))
+        found[out] = n + hashes % (len(self.of_class) - n)
+        return found
 
     def local(self) -> Words:
         """What tasks need."""
@@ -127,7 +132,7 @@ class Network:
     group, of its classes: one flat vector of parameters."""
 
     def __init__(self, flat: np.ndarray, classes: int):
-        self.flat, self.classes, self.parts, at = flat, classes, [], 0
+        self.flat, self.classes, self.parts, self.kept, at = flat, classes, [], {}, 0
         for shape in self.shapes(classes):
             size = int(np.prod(shape))
             self.parts.append(flat[at : at + size].reshape(shape))
@@ -151,73 +156,103 @@ class Network:
         net.parts[5][:] = np.where(members > 0, np.log(np.maximum(members, 1e-30)), -1e9)
         return net
 
+    def room(self, use: str, *shape: int) -> np.ndarray:
+        """Memory for one use of each batch. Taken anew for each, the system would often clear it first, which costs as much as what is done in it."""
+        kept = self.kept.get(use)
+        if kept is None or len(kept) < shape[0]:
+            kept = self.kept[use] = np.empty(shape, self.flat.dtype)
+        return kept[: shape[0]]
+
     def hidden(self, around: np.ndarray) -> np.ndarray:
-        tables, bias = self.parts[0], self.parts[1]
-        h = tables[0].take(around[0], axis=0)
-        h += bias
+        """Each row's hidden layer, then a one, which the biases are multiplied with."""
+        n, (tables, bias) = around.shape[1], self.parts[:2]
+        h, more, whole = self.room("sum", n, HIDDEN), self.room("rows", n, HIDDEN), self.room("hidden", n, HIDDEN + 1)
+        _rows(tables[0], around[0], h)
         for k in range(1, 2 * SIDE):
-            h += tables[k].take(around[k], axis=0)
-        return np.tanh(h, out=h)
+            h += _rows(tables[k], around[k], more)
+        h += bias
+        np.tanh(h, out=whole[:, :HIDDEN])
+        whole[:, HIDDEN] = 1
+        return whole
+
+    def logits(self, h: np.ndarray, runs: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each row's logits of the groups and of the classes of its group; the weights of these, with the biases as their last row."""
+        groups, _, size = self.parts[4].shape
+        low = self.room("low", groups, HIDDEN + 1, size)
+        low[:, :HIDDEN], low[:, HIDDEN] = self.parts[4], self.parts[5]
+        of_groups, own = self.room("groups", len(h), groups), self.room("own", len(h), size)
+        np.matmul(h, np.concatenate([self.parts[2], self.parts[3][None]]), out=of_groups)
+        for g, first, last in runs:
+            np.matmul(h[first:last], low[g], out=own[first:last])
+        return of_groups, own, low
 
     def by_group(self, target: np.ndarray):
-        """Rows in the order of their targets' groups; in that order, each target's group and place in it, and each group's number and rows."""
+        """Rows in the order of their targets' groups; in that order, each target's group and place in it, and each group's number, first and last row."""
         group, place = np.divmod(target, self.parts[5].shape[1])
         order = _order(group, self.parts[5].shape[0])
         group = group[order]
         starts = _starts(group)
-        runs = [(int(group[low]), slice(low, high)) for low, high in zip(starts, [*starts[1:], len(order)])]
-        return order, group, place[order], runs
-
-    def within(self, h: np.ndarray, group: np.ndarray, runs: list) -> np.ndarray:
-        """Each row's logits of the classes of its group."""
-        z = self.parts[5].take(group, axis=0)
-        for g, rows in runs:
-            z[rows] += h[rows] @ self.parts[4][g]
-        return z
+        return order, group, place[order], list(zip(group[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(order)]))
 
     def log_likelihood(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
-        out, out_bias = self.parts[2:4]
         order, group, place, runs = self.by_group(target)
-        h = self.hidden(around[:, order])
-        own = _log_share(h @ out + out_bias, group) + _log_share(self.within(h, group, runs), place)
-        total = np.empty_like(own)
-        total[order] = own
+        of_groups, own, _ = self.logits(self.hidden(around[:, order]), runs)
+        share = _log_share(of_groups, group) + _log_share(own, place)
+        total = np.empty_like(share)
+        total[order] = share
         return total
 
     def learn(self, around: np.ndarray, target: np.ndarray, squares: np.ndarray, rate: float = 0.1) -> None:
         """One step of Adagrad on a batch of masked positions. Only what the batch touches has a gradient, and only that is changed: the
         neighbours' rows of the tables, the targets' groups, and what all share, which grows with the number of groups."""
-        out, out_bias, low = self.parts[2:5]
         order, group, place, runs = self.by_group(target)
         around = around[:, order]
         n, h, past = len(target), self.hidden(around), Network(squares, self.classes)
 
-        def step(part: int, where, g: np.ndarray) -> None:
-            own = past.parts[part][where] + g * g
-            past.parts[part][where] = own
+        def step(part: int, g: np.ndarray, where=None) -> None:
+            """On all of a part, or on its rows of these numbers."""
+            value, before = self.parts[part], past.parts[part]
+            if where is not None:
+                value, before = (x.reshape(-1, *x.shape[x.ndim - g.ndim + 1 :]) for x in (value, before))
+            own = g * g
+            own += before if where is None else before.take(where, axis=0)
+            before[... if where is None else where] = own
+            np.sqrt(own, out=own)
+            own += np.float32(1e-6)
             g *= rate
-            g /= np.sqrt(own) + np.float32(1e-6)
-            self.parts[part][where] -= g
-
-        one = np.ones(n, self.flat.dtype)
-        d = _error(h @ out + out_bias, group, n)
-        back, shared = d @ out.T, (h.T @ d, one @ d)
-        d = _error(self.within(h, group, runs), place, n)
-        some = [g for g, _ in runs]
-        weights, biases = [h[rows].T @ d[rows] for _, rows in runs], [one[rows] @ d[rows] for _, rows in runs]
-        for g, rows in runs:
-            back[rows] += d[rows] @ low[g].T
-        back *= 1 - h * h
-        step(1, ..., one @ back)
-        step(2, ..., shared[0])
-        step(3, ..., shared[1])
-        step(4, some, np.stack(weights))
-        step(5, some, np.stack(biases))
+            g /= own
+            if where is None:
+                value -= g
+            else:
+                value[where] = value.take(where, axis=0) - g
+
+        of_groups, own, low = self.logits(h, runs)
+        d = _error(of_groups, group, n)
+        back, shared = np.matmul(d, self.parts[2].T, out=self.room("back", n, HIDDEN)), h.T @ d
+        own, weights = _error(own, place, n), self.room("weights", *low.shape)
+        for g, first, last in runs:
+            d = own[first:last]
+            np.matmul(h[first:last].T, d, out=weights[g])
+            back[first:last] += d @ low[g, :HIDDEN].T
+        slope = np.square(h[:, :HIDDEN], out=self.room("sum", n, HIDDEN))
+        back *= np.subtract(1, slope, out=slope)
+        step(1, np.ones(n, back.dtype) @ back)
+        step(2, shared[:HIDDEN])
+        step(3, shared[HIDDEN])
+        some = None if len(runs) == len(low) else [g for g, _, _ in runs]
+        weights = weights if some is None else weights[some]
+        step(4, weights[:, :HIDDEN], some)
+        step(5, weights[:, HIDDEN], some)
         for k in range(2 * SIDE):
             order = _order(around[k], self.classes + 1)
-            found = around[k][order]
+            found = around[k].take(order)
             starts = _starts(found)
-            step(0, (k, found[starts]), _sums(back.take(order, axis=0), starts))
+            step(0, _sums(_rows(back, order, self.room("rows", n, HIDDEN)), starts), k * (self.classes + 1) + found[starts])
+
+
+def _rows(table: np.ndarray, at: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """Rows of a table, put into memory at hand; ``clip`` as numpy else copies ``out`` once more."""
+    return np.take(table, at, axis=0, out=out, mode="clip")
 
 
 def _sums(rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -236,24 +271,24 @@ def _starts(ordered: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
 
 
-def _exp(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The exponentials of logits, which are held within ``STEEP``, and their sums by row. Products with ones take short rows together."""
-    e = np.exp(np.clip(z, -STEEP, STEEP, out=z))
-    return e, e @ np.ones(e.shape[1], e.dtype)
+def _exp(z: np.ndarray) -> np.ndarray:
+    """Puts the exponentials of logits that are held within ``STEEP`` in their place; gives their sums by row. Products with ones take short rows together."""
+    np.exp(z, out=z)
+    return z @ np.ones(z.shape[1], z.dtype)
 
 
 def _log_share(z: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """The logarithm of the targets' probabilities by each row's logits."""
-    _, total = _exp(z)
-    return z[np.arange(len(target)), target] - np.log(total)
+    """The logarithm of the targets' probabilities by each row's logits, whose memory it uses."""
+    own = np.clip(z, -STEEP, STEEP, out=z)[np.arange(len(target)), target]
+    return own - np.log(_exp(z))
 
 
 def _error(z: np.ndarray, target: np.ndarray, n: int) -> np.ndarray:
-    """The gradient of the mean loss of n rows by these rows' logits."""
-    d, total = _exp(z)
-    d *= (1 / (n * total))[:, None]
-    d[np.arange(len(target)), target] -= z.dtype.type(1 / n)
-    return d
+    """The gradient of the mean loss of n rows by these rows' logits, in whose memory it is given."""
+    total = _exp(np.clip(z, -STEEP, STEEP, out=z))
+    z *= (1 / (n * total))[:, None]
+    z[np.arange(len(target)), target] -= z.dtype.type(1 / n)
+    return z
 
 
 def _positions(sizes: np.ndarray) -> np.ndarray:
@@ -261,11 +296,16 @@ def _positions(sizes: np.ndarray) -> np.ndarray:
     return np.arange(int(sizes.sum())) + SIDE + SIDE * np.repeat(np.arange(len(sizes)), sizes)
 
 
+def _turns(sizes: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """The turn, of ``MASKED``, that masks each of the tokens of texts one after the other: the first masks every ``MASKED``-th of each
+    text from a random one of its first on, each further turn those after the ones of the turn before."""
+    first = np.cumsum(sizes) - sizes + rng.integers(0, np.clip(sizes, 1, MASKED))
+    return (np.arange(int(sizes.sum())) - np.repeat(first, sizes)) % MASKED
+
+
 def _masked(sizes: np.ndarray, rng: np.random.Generator, turn: int = 0) -> np.ndarray:
-    """Of the tokens of texts one after the other, every ``MASKED``-th of each text, in the first turn from a random one of its first on
-    and in each further turn from the next: as many turns, with the same random numbers, mask each token once."""
-    within = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    return within % MASKED == np.repeat((rng.integers(0, np.clip(sizes, 1, MASKED)) + turn) % MASKED, sizes)
+    """Whether a turn masks each of the tokens."""
+    return _turns(sizes, rng) == turn
 
 
 def _around(classes: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -280,19 +320,19 @@ def indexed(docs: DataFrame, words: Words) -> DataFrame:
         known = shared.value
         held = len(known.index)
         key = TaskContext.get().partitionId() << 36
-        for b in batches:
-            for low, high in byte_bpe.slices(b.column(1), 2_000_000):
-                parts = [tokens(t) for t in b.column(1).slice(low, high - low).to_pylist()]
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
-                every = pa.array([w for x in parts for w in x], pa.string())
-                coded = every.dictionary_encode()  # each word is looked up once
-                flat = np.array(known.indices(coded.dictionary.to_pylist()), np.int32)[coded.indices.to_numpy()]
-                out = flat >= held
-                own = pa.Array.from_buffers(pa.binary(), high - low, [None, pa.py_buffer(ends * np.int32(4)), pa.py_buffer(flat)])
-                outside = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(out)])[ends], pa.int32()), every.filter(pa.array(out)))
-                arrays = [pa.array(np.arange(key, key + high - low), pa.int64()), b.column(0).slice(low, high - low), own, outside]
-                key += high - low
-                yield pa.RecordBatch.from_arrays(arrays, names=["row", "doc_id", "words", "outside"])
+        with common.task_memory():
+            for b in batches:
+                for low, high in byte_bpe.slices(b.column(1), 2_000_000):
+                    every, sizes = split(b.column(1).slice(low, high - low))
+                    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                    coded = every.dictionary_encode()  # each word is looked up once
+                    flat = known.indices(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()]
+                    out = flat >= held
+                    own = pa.Array.from_buffers(pa.binary(), high - low, [None, pa.py_buffer(ends * np.int32(4)), pa.py_buffer(flat)])
+                    outside = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(out)])[ends], pa.int32()), every.filter(pa.array(out)))
+                    arrays = [pa.array(np.arange(key, key + high - low), pa.int64()), b.column(0).slice(low, high - low), own, outside]
+                    key += high - low
+                    yield pa.RecordBatch.from_arrays(arrays, names=["row", "doc_id", "words", "outside"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "row long, doc_id long, words binary, outside array<string>")
 
@@ -322,16 +362,17 @@ def learned(own: DataFrame, words: Words) -> Network:
         known = shared.value
         net = Network.start(known.frequency)
         squares, seen, at_text = np.full(len(net.flat), 1e-3, np.float32), 0, 0
-        for b in batches:
-            for _, _, _, classes, sizes in _texts(b.column(0), known):
-                at_text += 1
-                rng, places = np.random.default_rng(at_text), _positions(sizes)
-                for turn in range(MASKED):
-                    at = rng.permutation(places[_masked(sizes, np.random.default_rng(at_text), turn)])
-                    for k in range(0, len(at), BATCH):
-                        part = at[k : k + BATCH]
-                        net.learn(_around(classes, part), classes[part], squares)
-                    seen += len(at)
+        with common.task_memory(net.kept):
+            for b in batches:
+                for _, _, _, classes, sizes in _texts(b.column(0), known):
+                    at_text += 1
+                    rng, places, turns = np.random.default_rng(at_text), _positions(sizes), _turns(sizes, np.random.default_rng(at_text))
+                    for turn in range(MASKED):
+                        at = rng.permutation(places[turns == turn])
+                        for k in range(0, len(at), BATCH):
+                            part = at[k : k + BATCH]
+                            net.learn(_around(classes, part), classes[part], squares)
+                        seen += len(at)
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([net.flat.tobytes()], pa.binary())], names=["seen", "network"])
 
@@ -354,16 +395,17 @@ def scored(own: DataFrame, words: Words, net: Network) -> DataFrame:
     def run(batches):
         known, flat_net = shared.value
         own_net = Network(flat_net, len(known.frequency))
-        for b in batches:
-            for low, high, flat, classes, sizes in _texts(b.column(2), known):
-                at = _positions(sizes)
-                each = known.log_share[flat]
-                for k in range(0, len(at), 8192):
-                    part = at[k : k + 8192]
-                    each[k : k + 8192] += own_net.log_likelihood(_around(classes, part), classes[part])
-                sums = np.diff(np.concatenate([[0.0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(sizes)])])
-                arrays = [b.column(0).slice(low, high - low), b.column(1).slice(low, high - low), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["row", "doc_id", "n_tokens", "part"])
+        with common.task_memory(own_net.kept):
+            for b in batches:
+                for low, high, flat, classes, sizes in _texts(b.column(2), known):
+                    at = _positions(sizes)
+                    each = known.log_share[flat]
+                    for k in range(0, len(at), BATCH):
+                        part = at[k : k + BATCH]
+                        each[k : k + BATCH] += own_net.log_likelihood(_around(classes, part), classes[part])
+                    sums = np.diff(np.concatenate([[0.0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(sizes)])])
+                    arrays = [b.column(0).slice(low, high - low), b.column(1).slice(low, high - low), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64())]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["row", "doc_id", "n_tokens", "part"])
 
     parts = own.select("row", "doc_id", "words").mapInArrow(run, "row long, doc_id long, n_tokens long, part double")
     more = own.select("row", F.explode("outside").alias("word")).join(words.counts, "word").groupBy("row").agg(F.sum(F.log("n")).alias("more"))
