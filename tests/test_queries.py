@@ -126,6 +126,37 @@ def test_lossless_join_compares_few_pairs(spark, monkeypatch):
     assert alone[0] < 20 and all(c.count() < 0.27 * len(names) * len(others) for c in compared)
 
 
+def test_numbered_names_meet_few_others(spark, monkeypatch):
+    """Names that differ from all others by a few digits: the k best are found by what deletions leave, and no name is left to be compared with all."""
+    others = [f"supplier {i:09d}" for i in range(0, 1200, 3)]
+    names = {o[:12] + o[13:] for o in others[::7]} | {o[:-1] + "x" for o in others[::50]}
+    monkeypatch.setattr(sm, "candidates", lambda *a: pytest.fail("pairs by bigrams"))
+    monkeypatch.setattr(sm, "exhaustive", lambda *a: pytest.fail("all pairs"))
+    got = sm.fuzzy_topk(spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame([(o, i) for i, o in enumerate(others)], "other string, idx long")).collect()
+    ordered = lambda n: " ".join(sorted(n.split()))
+    want = {}
+    for n in names:
+        for score, i in sorted((-sm._ratio(ordered(n), ordered(o)), i) for i, o in enumerate(others))[:5]:
+            want[n, i] = -score
+    assert {(r.name, r.idx): r.score for r in got} == want and len(got) == len(want)
+
+
+def test_near_names_are_the_best(spark):
+    """Short texts over few letters, of many lengths, some longer than those whose deletions are tried: what is called sure equals all pairs."""
+    rng = random.Random(11)
+    text = lambda: "".join(rng.choice("abc") for _ in range(rng.choice([0, 1, 2, 3, 5, 6, 6, 7, 7, 7, 8, 8, 9, 22, 24, 25, 27])))
+    others, names = sorted({text() for _ in range(250)}), {text() for _ in range(120)}
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    for floor in (0.0, 50.0, 90.0):
+        found, rest = sm.near(frame([(n, n) for n in names], "name string, sorted string"), frame([(o, i, o) for i, o in enumerate(others)], "other string, idx long, sorted string"), 3, floor)
+        got, unsure = {(r.name, r.idx): r.score for r in found.collect()}, {r.name for r in rest.collect()}
+        want = {}
+        for n in names - unsure:
+            for score, i in [x for x in sorted((-sm._ratio(n, o), i) for i, o in enumerate(others)) if x[0] <= -floor][:3]:
+                want[n, i] = -score
+        assert got == want and len(unsure) < len(names)
+
+
 @given(st.text("abcd", min_size=2, max_size=14), st.text("abcd", min_size=2, max_size=14))
 def test_bound_of_shared_bigrams(a, b):
     from collections import Counter
