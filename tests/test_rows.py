@@ -176,3 +176,34 @@ def test_numbers_follow_the_order(spark):
     assert [r["name"] for r in got] == sorted((r[0] for r in rows), key=lambda n: (n is not None, n or ""))
     assert sorted(r["k"] for r in got) == list(range(400))
     assert ag.numbered(df.where("k < 0"), [F.col("name")]).collect() == []
+
+
+def test_a_batch_goes_in_slices(spark, tmp_path, monkeypatch):
+    """A batch of many rows is ingested slice by slice: continuations stay with their rows, rows of other slices aren't added again, and nothing
+    but the facts is left on the disk, neither of what was staged nor of what was shuffled."""
+    from rankloom.sources import workspace
+
+    def one(i):
+        page = [f"f{i % 3}", 2 + i // 6, i % 2]
+        cells = [str(i), str(100 + i // 2), "AI", f"Inst {i}", "M.D.", "UR", "UR", "-"]
+        return [(*page, 10 * i, cells), (*page, 10 * i + 1, [None, None, None, "Goa", *[None] * 4]), ("again", *page[1:], 10 * i, cells)]
+
+    rows = [r for i in range(120) for r in one(i)]
+    source, target, shared = f"{tmp_path}/raw", f"{tmp_path}/facts", f"{tmp_path}/shared"
+    spark.createDataFrame(rows, rw.RAW).write.parquet(source)
+    monkeypatch.setattr(workspace, "shared_root", lambda spark: f"file://{shared}")
+    monkeypatch.setattr(ingest, "SLICE", 130)
+    sizes, key = [], "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def make(batch):
+        sizes.append(batch.count())
+        assert batch.sparkSession.conf.get(key) == "true"
+        return ingest.facts(batch, 2025, 1, stage=True)
+
+    kept = spark.conf.get(key, None)
+    for name in ("first", "forced"):
+        ingest.ingest_stream(spark, source, rw.RAW, make, target, f"{tmp_path}/{name}", ingest.FACT_KEY, apart=rw.TABLE).awaitTermination()
+        got = spark.read.parquet(target).select("sno", "institute_raw").collect()
+        assert sorted(map(tuple, got)) == sorted((i, f"Inst {i}{end}") for i in range(120) for end in ("", " Goa"))
+    assert len(sizes) >= 4 and sum(sizes) == 2 * len(rows) and max(sizes) < len(rows)
+    assert not list((tmp_path / "shared").rglob("*.parquet")) and spark.conf.get(key, None) == kept
