@@ -157,6 +157,22 @@ def test_near_names_are_the_best(spark):
         assert got == want and len(unsure) < len(names)
 
 
+def test_names_meet_blocks_within_reach():
+    """A name goes to each block with a text that is similar enough, and names unlike all texts go to none."""
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    text = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(0, 9)))
+    blocks = [[text("abc") for _ in range(4)] for _ in range(20)] + [[text("xyz0") for _ in range(4)] for _ in range(20)] + [[f"{i:09d} supplier" for i in range(500)]]
+    names = [text("abcxyz") for _ in range(60)] + ["", *[f"qqq{i}" for i in range(1000, 1040)]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int64()), pa.array(blocks)], names=["block", "words"])
+    hulls = [h for b in sm._hulls([batch]) for h in b.to_pylist()]
+    pair = pa.RecordBatch.from_pylist([{"names": [{"name": n, "sorted": n} for n in names], "hulls": hulls}])
+    met = {(n["name"], r["block"]) for b in sm._reachable([pair], 50.0) for r in b.to_pylist() for n in r["names"]}
+    want = {(n, i) for n in names for i, block in enumerate(blocks) if any(sm._ratio(n, o) >= 50 for o in block)}
+    assert want <= met and not any(n.startswith("qqq") and i == len(blocks) - 1 for n, i in met) and len(met) < len(set(names)) * len(blocks) / 2
+
+
 @given(st.text("abcd", min_size=2, max_size=14), st.text("abcd", min_size=2, max_size=14))
 def test_bound_of_shared_bigrams(a, b):
     from collections import Counter
